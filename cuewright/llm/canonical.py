@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from cuewright.runtime import col, require
 
 NONE = "none"
-THRESHOLD = 0.40
+THRESHOLD = 0.25
 MARGIN = 0.04
 #: Terms of up to this length are codes: they match only whole.
 CODE_LENGTH = 3

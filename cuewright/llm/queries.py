@@ -6,14 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuewright.llm.canonical import map_values
+from cuewright.llm.markup import find_markup, strip_markup
 from cuewright.llm.runs import event_runs
 from cuewright.runtime import table
 
 
+def _events(spark: SparkSession, sf_dir: str, srt_name: str, ass_name: str) -> DataFrame:
+    srt = table(spark, sf_dir, "subtitle_events").select(F.lit(srt_name).alias("source"), F.lit(False).alias("ass"), "path", "seq", "text", "start_ms", "end_ms")
+    ass = table(spark, sf_dir, "ass_events").select(F.lit(ass_name).alias("source"), F.lit(True).alias("ass"), "path", "seq", F.col("fields").alias("text"), "start_ms", "end_ms")
+    return srt.unionByName(ass)
+
+
 def p1_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    srt = table(spark, sf_dir, "subtitle_events").select(F.lit("srt").alias("source"), F.lit(False).alias("ass"), "path", "seq", "text", "start_ms", "end_ms")
-    ass = table(spark, sf_dir, "ass_events").select(F.lit("ass").alias("source"), F.lit(True).alias("ass"), "path", "seq", F.col("fields").alias("text"), "start_ms", "end_ms")
-    return event_runs(srt.unionByName(ass), ["source", "path"], "seq", "text", "start_ms", "end_ms", "ass")
+    return event_runs(_events(spark, sf_dir, "srt", "ass"), ["source", "path"], "seq", "text", "start_ms", "end_ms", "ass")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,10 +35,20 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return free.join(mapped, "language").select("source", "record_id", F.col("code").alias("lang_code")).distinct()
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_markup(_events(spark, sf_dir, "subtitle_events", "ass_events"), ["source", "path", "seq"], "text", "ass")
+
+
+def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strip_markup(_events(spark, sf_dir, "subtitle_events", "ass_events"), ["source", "path", "seq"], "text", "ass")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_runs": p1_runs,
     "p3_found": p3_found,
+    "p6_found": p6_found,
+    "p6_clean": p6_clean,
 }
 
 SQL: dict[str, str] = {}
