@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cuewright.llm.canonical import map_values
 from cuewright.llm.markup import find_markup, strip_markup
 from cuewright.llm.runs import event_runs
+from cuewright.llm.tokens import encode_corpus
 from cuewright.runtime import table
 
 
@@ -43,12 +44,17 @@ def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strip_markup(_events(spark, sf_dir, "subtitle_events", "ass_events"), ["source", "path", "seq"], "text", "ass")
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_runs": p1_runs,
     "p3_found": p3_found,
     "p6_found": p6_found,
     "p6_clean": p6_clean,
+    "p8_ids": p8_ids,
 }
 
 SQL: dict[str, str] = {}
