@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cuewright.llm.canonical import map_values
 from cuewright.llm.markup import find_markup, strip_markup
+from cuewright.llm.packing import pack_items, token_counts
 from cuewright.llm.runs import event_runs
 from cuewright.llm.tokens import encode_corpus
 from cuewright.runtime import table
@@ -48,6 +49,19 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+#: More pack sizes than this would be an input of another kind; the list is read to the driver.
+MOST_PACK_SIZES = 1000
+
+
+def p9_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sizes = [tuple(r) for r in table(spark, sf_dir, "pack_sizes").select("pack_id", "capacity_tokens").distinct().limit(MOST_PACK_SIZES + 1).collect()]
+    if len(sizes) > MOST_PACK_SIZES:
+        raise ValueError(f"more than {MOST_PACK_SIZES} pack sizes")
+    counted = token_counts(docs, ["doc_id"], "text")
+    return pack_items(counted, "doc_id", "n_tokens", "n_loss_tokens", sizes, n_items=docs.count())
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_runs": p1_runs,
@@ -55,6 +69,7 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_clean": p6_clean,
     "p8_ids": p8_ids,
+    "p9_packs": p9_packs,
 }
 
 SQL: dict[str, str] = {}
