@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 import xxhash
@@ -29,7 +30,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Characters under the rolling hash, mean distance of cuts, least and greatest length of a chunk.
-WINDOW, MEAN, LEAST, MOST = 16, 64, 24, 2048
+WINDOW, MEAN, LEAST, MOST = 16, 128, 32, 2048
 #: How far a cut may move to a sure boundary.
 REACH = 128
 #: Chunks with this share of all occurrences or more are broadcast: at most 1 / HOT_SHARE of them.
@@ -39,6 +40,11 @@ _SPACES = np.array([0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029,
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WINDOW)], dtype=np.uint64)
 
 
+def _width(n_ids: int) -> np.dtype:
+    """How ids travel between stages: two bytes each where the vocabulary allows it."""
+    return np.dtype("<u2") if n_ids <= 1 << 16 else np.dtype("<u4")
+
+
 class Codec:
     """A byte-level BPE vocabulary; one is kept for each file and worker."""
 
@@ -49,6 +55,13 @@ class Codec:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.encoding = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.pattern = regex.compile(pattern)
+        self.width = _width(max(ranks.values(), default=0) + 1)
+
+    def packed(self, ids: list[int]) -> bytes:
+        return np.asarray(ids, dtype=self.width).tobytes()
+
+    def unpacked(self, data: bytes) -> list[int]:
+        return np.frombuffer(data, dtype=self.width).tolist()
 
     @classmethod
     def of(cls, path: str, pattern: str = PATTERN) -> Codec:
@@ -173,8 +186,8 @@ def encode_corpus(df: DataFrame, key: str, text: str, folder: str = TOKENIZER_FO
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path)
         for batch in batches:
-            ids = codec.encode_batch(batch.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(ids, pa.list_(pa.int32()))], ["h1", "h2", "n", "ids"])
+            ids = [codec.packed(x) for x in codec.encode_batch(batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(ids, pa.binary())], ["h1", "h2", "n", "ids"])
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The chunks of each document in order; a text without any has one row without a hash."""
@@ -201,7 +214,7 @@ def encode_corpus(df: DataFrame, key: str, text: str, folder: str = TOKENIZER_FO
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pick, pa.int64())), *arrays], ["key", "whole", "pos", "safe", "h1", "h2"])
 
     distinct = docs.select("t").mapInArrow(pieces, "h1 bigint, h2 bigint, piece string, n bigint").groupBy("h1", "h2").agg(F.first("piece").alias("piece"), F.sum("n").alias("n"))
-    book = settle_table(distinct.select("h1", "h2", "piece", "n").mapInArrow(encode, "h1 bigint, h2 bigint, n bigint, ids array<int>"), "chunks")
+    book = settle_table(distinct.select("h1", "h2", "piece", "n").mapInArrow(encode, "h1 bigint, h2 bigint, n bigint, ids binary"), "chunks")
     total = book.agg(F.sum("n")).first()[0] or 0
     # At most 1 / HOT_SHARE chunks of at most MOST characters: a few MB at any size of corpus.
     hot = F.broadcast(book.where(F.col("n") >= max(2, total * HOT_SHARE)).select("h1", "h2", F.col("ids").alias("hot_ids")))
@@ -216,31 +229,38 @@ def encode_corpus(df: DataFrame, key: str, text: str, folder: str = TOKENIZER_FO
     grouped = joined.groupBy("key", "whole").agg(F.sort_array(F.collect_list(part)).alias("parts"))
     twice = F.size(F.filter("parts", lambda p: p.pos == 0)) > 1
     grouped = grouped.withColumn("parts", F.when(twice, F.array_distinct("parts")).otherwise(F.col("parts")))
-    loose = F.exists("parts", lambda p: ~p.safe)
-    flat = F.flatten(F.transform("parts", lambda p: F.coalesce(p.ids, F.array().cast("array<int>"))))
-    grouped = grouped.select("key", F.when(~loose, flat).alias("ids"), F.when(loose, F.col("parts")).alias("parts"))
+    grouped = grouped.select("key", F.transform("parts", lambda p: F.struct(p.safe.alias("safe"), F.coalesce(p.ids, F.lit(b"")).alias("ids"))).alias("parts"))
 
-    def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Parts follow each other in the batch's memory, so ids of sure joins need no copying."""
+        codec = Codec.of(path)
         for batch in batches:
-            parts = batch.column(2)
-            if parts.null_count == len(parts):
-                yield pa.RecordBatch.from_arrays(batch.columns[:2], ["key", "ids"])
-                continue
-            codec = Codec.of(path)
-            out = batch.column(1).to_pylist()
-            for i, row in enumerate(parts.to_pylist()):
-                if row is not None:
+            parts = batch.column(1)
+            flat = parts.flatten()
+            safe, data = flat.field("safe"), flat.field("ids")
+            starts = np.asarray(parts.offsets, dtype=np.int64) - parts.offsets[0].as_py()
+            sizes = np.asarray(pc.binary_length(data), dtype=np.int64)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            if pc.all(safe, min_count=0).as_py():
+                stream = np.frombuffer(b"".join(data.to_pylist()), dtype=codec.width).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends[starts] // codec.width.itemsize, pa.int32()), pa.array(stream))
+            else:
+                out = []
+                sure_list, data_list = safe.to_pylist(), data.to_pylist()
+                for a, b in zip(starts[:-1], starts[1:]):
                     done: list[int] = []
                     tail: list[int] = []  # since the last sure join
                     sure = True
-                    for p in row:
+                    for s, d in zip(sure_list[a:b], data_list[a:b]):
+                        piece = codec.unpacked(d)
                         if sure:
                             done += tail
-                            tail = p["ids"]
+                            tail = piece
                         else:
-                            tail = codec.join(tail, p["ids"])
-                        sure = p["safe"]
-                    out[i] = done + tail
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["key", "ids"])
+                            tail = codec.join(tail, piece)
+                        sure = s
+                    out.append(done + tail)
+                ids = pa.array(out, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["key", "ids"])
 
-    return grouped.mapInArrow(repair, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    return grouped.mapInArrow(assemble, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
