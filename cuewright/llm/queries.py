@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cuewright.llm.canonical import map_values
 from cuewright.llm.markup import find_markup, strip_markup
 from cuewright.llm.packing import pack_items, token_counts
+from cuewright.llm.residue import label_residue
 from cuewright.llm.runs import event_runs
 from cuewright.llm.tokens import encode_corpus
 from cuewright.runtime import table
@@ -62,6 +63,14 @@ def p9_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_items(counted, "doc_id", "n_tokens", "n_loss_tokens", sizes, n_items=docs.count())
 
 
+def p10_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_residue(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_labels(spark, sf_dir).select("doc_id").distinct()
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_runs": p1_runs,
@@ -70,6 +79,8 @@ QUERIES = {
     "p6_clean": p6_clean,
     "p8_ids": p8_ids,
     "p9_packs": p9_packs,
+    "p10_found": p10_found,
+    "p10_labels": p10_labels,
 }
 
 SQL: dict[str, str] = {}
