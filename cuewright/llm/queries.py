@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuewright.llm.canonical import map_values
+from cuewright.llm.encoding import garbled_records
 from cuewright.llm.markup import find_markup, strip_markup
 from cuewright.llm.packing import pack_items, token_counts
 from cuewright.llm.residue import label_residue
@@ -38,6 +39,23 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return free.join(mapped, "language").select("source", "record_id", F.col("code").alias("lang_code")).distinct()
 
 
+def _named_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = []
+    for name, text, pos in (("subtitle_events", "text", "seq"), ("tracks", "name", "track_index"), ("chapters", "title", "node")):
+        parts.append(table(spark, sf_dir, name).select(F.lit(name).alias("source"), "path", F.col(pos).cast("int").alias("pos"), F.col(text).alias("text")))
+    # The pool of a path is its top folder: where its files came from.
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("origin", F.regexp_extract("path", "^/?([^/]*)/", 1))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = garbled_records(_named_texts(spark, sf_dir), ["source", "path", "pos"], "text", "origin", "source")
+    return found.select("source", "path", "pos").distinct()
+
+
+def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled_records(_named_texts(spark, sf_dir), ["source", "path", "pos"], "text", "origin", "source", repaired=True).select("source", "path", "pos", "chain", "restored_text")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_markup(_events(spark, sf_dir, "subtitle_events", "ass_events"), ["source", "path", "seq"], "text", "ass")
 
@@ -75,6 +93,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_runs": p1_runs,
     "p3_found": p3_found,
+    "p5_found": p5_found,
+    "p5_restored": p5_restored,
     "p6_found": p6_found,
     "p6_clean": p6_clean,
     "p8_ids": p8_ids,
