@@ -11,10 +11,12 @@ records. A record is then judged, and repaired, by its posterior.
 
 from __future__ import annotations
 
+import codecs
 import math
 import re
 import zlib
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -74,41 +76,62 @@ def _chains() -> list[tuple[Step, ...]]:
 CHAINS = _chains()
 
 
-def _byte_table(name: str) -> dict[str, int]:
-    table = {}
+def _byte_table(name: str) -> dict[int, int]:
+    table: dict[int, int] = {}
     for b in range(256):
         try:
             c = bytes([b]).decode(name)
         except UnicodeDecodeError:
             c = chr(b)
-        table.setdefault(c, b)
+        table.setdefault(ord(c), b)
     for b in range(0x80, 0xA0):
-        table.setdefault(chr(b), b)
+        table.setdefault(b, b)
     return table
 
 
 _BYTES = {name: _byte_table(name) for name in _SINGLE}
 
 
+def _pair(name: str) -> re.Pattern:
+    """A lead byte of UTF-8 and a continuation byte, as characters of the encoding."""
+    lead = "".join(re.escape(chr(c)) for c, b in _BYTES[name].items() if 0xC2 <= b <= 0xF4)
+    rest = "".join(re.escape(chr(c)) for c, b in _BYTES[name].items() if 0x80 <= b <= 0xBF)
+    return re.compile(f"[{lead}][{rest}]")
+
+
+_PAIR = {name: _pair(name) for name in _SINGLE}
+
+
+@lru_cache(maxsize=64)
+def _encoded(token: str, name: str) -> bytes | None:
+    try:
+        return codecs.charmap_encode(token, "strict", _BYTES[name])[0]
+    except UnicodeEncodeError:
+        return None
+
+
 def _undo(token: str, step: Step) -> str | None:
     wrong, right = step
+    if right != "utf-8":
+        data = _encoded(token, wrong)
+        try:
+            return None if data is None else data.decode(right)
+        except UnicodeDecodeError:
+            return None
+    if not _PAIR[wrong].search(token):
+        return None
     table = _BYTES[wrong]
     try:
-        return bytes([table[c] for c in token]).decode(right)
-    except KeyError:
+        return codecs.charmap_encode(token, "strict", table)[0].decode(right)
+    except UnicodeError:
         pass
-    except UnicodeDecodeError:
-        if right != "utf-8":
-            return None
-    if right != "utf-8":
-        return None
     changed = False
 
     def run(m: re.Match) -> str:
         nonlocal changed
         try:
-            out = bytes([table[c] for c in m[0]]).decode(right)
-        except (KeyError, UnicodeDecodeError):
+            out = codecs.charmap_encode(m[0], "strict", table)[0].decode(right)
+        except UnicodeError:
             return m[0]
         changed = True
         return out
@@ -174,7 +197,8 @@ class Model:
     def _n(self, gram: str) -> float:
         return float(self.counts[_slot(gram)])
 
-    def log_probability(self, token: str) -> float:
+    def log_probability(self, token: str, least: float = -math.inf) -> float:
+        """Of the whole token; once it falls below least, whatever it has come to."""
         t = "\x02" + token + "\x03"
         out = 0.0
         for i in range(1, len(t)):
@@ -192,6 +216,8 @@ class Model:
                     p = (self._n(gram) + 2.0 * p) / (self._n("\x04" + t[i - 2 : i]) + 2.0)
                 p = self.probabilities[gram] = math.log(max(p, 1e-12))
             out += p
+            if out < least:
+                break
         return out
 
     def gain(self, token: str) -> list[tuple[int, float]]:
@@ -210,7 +236,7 @@ class Model:
                 own = self.log_probability(token)
             p = seen.get(back)
             if p is None:
-                p = seen[back] = self.log_probability(back)
+                p = seen[back] = self.log_probability(back, own + GAIN)
             if p - own >= GAIN:
                 out.append((k, p - own - GAIN))
         if len(self.gains) > 200_000:
@@ -266,6 +292,8 @@ def _count_model(tokens: DataFrame, before: np.ndarray | None) -> np.ndarray:
     """Hashed n-gram counts of the tokens, repaired by the model before."""
     spark = tokens.sparkSession
     shared = None if before is None else spark.sparkContext.broadcast(before)
+    # The table is small and its rows costly: let every core have some.
+    tokens = tokens.repartition(2 * spark.sparkContext.defaultParallelism)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None if shared is None else Model(shared.value)
