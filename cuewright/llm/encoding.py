@@ -29,15 +29,20 @@ from cuewright.runtime import col, require, settle, settle_table
 BUCKETS = 1 << 18
 #: Sources and fields share this many pools at most.
 POOLS = 4096
-MODEL_ROUNDS, EM_ROUNDS = 3, 6
+MODEL_ROUNDS, EM_ROUNDS = 4, 6
 #: Log-likelihood that a token's repair must gain, which is also its price; the gain from which it counts for the
 #: character model; the log-likelihood ratio of characters that are gone for good.
-GAIN, SURE_GAIN, LOSSY = 2.0, 3.0, 25.0
+GAIN, SURE_GAIN, LOSSY = 2.0, 0.5, 25.0
 #: Pseudo-count of each chain in a pool, over all chains together.
 SMOOTHING = 1.0
 
 _SPACE = re.compile(r"[ \t\n\r]+")
+#: Letters, digits and all that isn't ASCII: what the character model sees; the rest is markup and punctuation.
+_PIECE = re.compile(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 _HIGH_RUN = re.compile(r"[^\x00-\x7f]+")
+_TOKEN = re.compile(r"[^ \t\n\r]+")
+#: Two signs on end that several-byte text misread as western has.
+_FOREIGN = re.compile(r"[\x80-\xff‚ƒ„…†‡ˆ‰Š‹Œ‘’“”•–—˜™š›œžŸŽ€]{2}")
 _LOST = re.compile(r"�")
 _LATIN = re.compile(r"[A-Za-z0-9\u00c0-\u024f]")
 _IDEOGRAPH = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
@@ -74,6 +79,8 @@ def _chains() -> list[tuple[Step, ...]]:
 
 #: The chains beside 'as it stands'; a step's wrong encoding is encoded to, its right one decoded from.
 CHAINS = _chains()
+_WIDE_CHAINS = [k for k, chain in enumerate(CHAINS) if chain[0][1] in _WIDE]
+_OTHER_CHAINS = [k for k, chain in enumerate(CHAINS) if chain[0][1] not in _WIDE]
 
 
 def _byte_table(name: str) -> dict[int, int]:
@@ -191,7 +198,7 @@ class Model:
     def __init__(self, counts: np.ndarray) -> None:
         self.counts = counts
         self.total = max(1.0, float(counts[_slot("\x05")]))
-        self.gains: dict[str, list[tuple[int, float]]] = {}
+        self.gains: dict[tuple[str, bool], list[tuple[int, float]]] = {}
         self.probabilities: dict[str, float] = {}
 
     def _n(self, gram: str) -> float:
@@ -220,43 +227,64 @@ class Model:
                 break
         return out
 
-    def gain(self, token: str) -> list[tuple[int, float]]:
-        """(chain, log-likelihood gained) of the chains that make a token likelier by GAIN or more."""
-        known = self.gains.get(token)
+    def _text_probability(self, text: str, least: float = -math.inf) -> float:
+        out = 0.0
+        for piece in _PIECE.findall(text):
+            out += self.log_probability(piece, least - out)
+            if out < least:
+                break
+        return out
+
+    def gain(self, token: str, wide: bool = False) -> list[tuple[int, float]]:
+        """(chain, log-likelihood gained, its price off) of the chains that make a token likelier by more.
+
+        Chains of encodings with several bytes a character look at tokens between
+        spaces, since signs may be their bytes; the others at the pieces of these.
+        """
+        key = (token, wide)
+        known = self.gains.get(key)
         if known is not None:
             return known
         out = []
         own = None
         seen: dict[str, float] = {}
-        for k, chain in enumerate(CHAINS):
-            back = undo_chain(token, chain)
+        for k in _WIDE_CHAINS if wide else _OTHER_CHAINS:
+            back = undo_chain(token, CHAINS[k])
             if back is None:
                 continue
             if own is None:
-                own = self.log_probability(token)
+                own = self._text_probability(token)
             p = seen.get(back)
             if p is None:
-                p = seen[back] = self.log_probability(back, own + GAIN)
+                p = seen[back] = self._text_probability(back, own + GAIN)
             if p - own >= GAIN:
                 out.append((k, p - own - GAIN))
         if len(self.gains) > 200_000:
             self.gains.clear()
-        self.gains[token] = out
+        self.gains[key] = out
         return out
 
-    def likeliest(self, token: str) -> str:
-        gains = [g for g in self.gain(token) if g[1] >= SURE_GAIN]
+    def likeliest(self, piece: str) -> str | None:
+        """A piece as it was most likely meant; None if it can't be told."""
+        gains = [g for g in self.gain(piece) + self.gain(piece, True) if g[1] >= SURE_GAIN]
+        doubtful = untrusted(piece)
         if not gains:
-            return token
-        back = undo_chain(token, CHAINS[max(gains, key=lambda g: (g[1], -g[0]))[0]]) or token
-        return back if untrusted(token) or self._n("\x06" + back) >= self._n("\x06" + token) else token
+            return None if doubtful else piece
+        back = undo_chain(piece, CHAINS[max(gains, key=lambda g: (g[1], -g[0]))[0]]) or piece
+        return back if doubtful or self._n("\x06" + back) >= self._n("\x06" + piece) else piece
 
     def evidence(self, text: str) -> dict[int, float]:
         """Log-likelihood ratio of each chain with any; -1 stands for loss that no chain explains."""
         out: dict[int, float] = {}
         for token in _SPACE.split(text):
-            if not token.isascii():
-                for k, g in self.gain(token):
+            if token.isascii():
+                continue
+            for piece in _PIECE.findall(token):
+                if not piece.isascii():
+                    for k, g in self.gain(piece):
+                        out[k] = out.get(k, 0.0) + g
+            if _FOREIGN.search(token):
+                for k, g in self.gain(token, True):
                     out[k] = out.get(k, 0.0) + g
         if _LOST.search(text):
             out[-1] = LOSSY
@@ -265,24 +293,27 @@ class Model:
         return out
 
     def repair(self, text: str, chain: int) -> str:
-        """The text with the tokens undone that the chain makes likelier; spaces stay as they are."""
-        parts = re.split(r"([ \t\n\r]+)", text)
-        for i in range(0, len(parts), 2):
-            if not parts[i].isascii() and any(k == chain for k, _ in self.gain(parts[i])):
-                parts[i] = undo_chain(parts[i], CHAINS[chain]) or parts[i]
-        return "".join(parts)
+        """The text with the parts undone that the chain makes likelier; all else stays as it is."""
+        wide = CHAINS[chain][0][1] in _WIDE
+
+        def undone(m: re.Match) -> str:
+            if m[0].isascii() or not any(k == chain for k, _ in self.gain(m[0], wide)):
+                return m[0]
+            return undo_chain(m[0], CHAINS[chain]) or m[0]
+
+        return (_TOKEN if wide else _PIECE).sub(undone, text)
 
 
 def _tokens(rows: DataFrame) -> DataFrame:
-    """token, n: the tokens with other than ASCII characters, over all rows."""
+    """token, n: the pieces with other than ASCII characters, over all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             count: dict[str, int] = {}
             for t in batch.column(0).to_pylist():
-                for token in _SPACE.split(t):
-                    if not token.isascii():
-                        count[token] = count.get(token, 0) + 1
+                for piece in _PIECE.findall(t):
+                    if not piece.isascii():
+                        count[piece] = count.get(piece, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["token", "n"])
 
     return rows.select("t").mapInArrow(run, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
@@ -305,9 +336,8 @@ def _count_model(tokens: DataFrame, before: np.ndarray | None) -> np.ndarray:
                 if _LOST.search(token):
                     continue
                 # At first only tokens that can't be bytes of UTF-8 are believed, later all in their likeliest form.
-                if model is not None:
-                    token = model.likeliest(token)
-                elif untrusted(token):
+                token = (None if untrusted(token) else token) if model is None else model.likeliest(token)
+                if token is None:
                     continue
                 counts[_slot("\x06" + token)] += weight
                 for gram in _grams(token):
