@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuewright.runtime import col, require
+from cuewright.runtime import col, require, settle_table
 
 SHARD_MS = 600_000
 NO_GAP_FROM_MS = 6 * 3600 * 1000
@@ -58,12 +58,14 @@ def covered_periods(df: DataFrame, keys: Sequence[str], start: str, end: str, sh
     pieces = pieces.groupBy(*ks, "shard", "long", "lo").agg(F.max("hi").alias("hi"))
     local = _islands(pieces.where("not long").select(*ks, "shard", "lo", "hi"), [*ks, "shard"])
     edge = (F.col("lo") == F.col("shard") * width) | (F.col("hi") == (F.col("shard") + 1) * width)
-    local = local.withColumn("_edge", edge)
-    inner = local.where("not _edge").drop("_edge")
+    # Written once: four consumers read it.
+    local = local.select(*ks, "shard", "lo", "hi", edge.alias("_edge"), F.lit(False).alias("long"))
+    local = settle_table(local.unionByName(pieces.where("long").select(*ks, "shard", "lo", "hi", F.lit(True).alias("_edge"), "long")), "coverage")
+    inner = local.where("not _edge").select(*ks, "shard", "lo", "hi")
 
     # Second level: coverage at boundaries, whole shards, and a mark for each shard that has inner pieces.
-    touching = local.where("_edge").select(*ks, "lo", "hi", F.lit(None).cast("long").alias("mark"))
-    whole = pieces.where("long").select(*ks, "lo", "hi", F.lit(None).cast("long").alias("mark"))
+    touching = local.where("_edge and not long").select(*ks, "lo", "hi", F.lit(None).cast("long").alias("mark"))
+    whole = local.where("long").select(*ks, "lo", "hi", F.lit(None).cast("long").alias("mark"))
     marks = inner.groupBy(*ks, "shard").agg(F.lit(1).alias("_n")).select(*ks, (F.col("shard") * width).alias("lo"), F.lit(None).cast("long").alias("hi"), F.col("shard").alias("mark"))
     w = Window.partitionBy(*ks).orderBy(F.col("lo"), F.col("mark").asc_nulls_first(), F.col("hi"))
     before = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -101,6 +103,6 @@ def gaps_between(periods: DataFrame, keys: Sequence[str], shard_ms: int = SHARD_
 
 def periods_and_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str, shard_ms: int = SHARD_MS, no_gap_from_ms: int | None = NO_GAP_FROM_MS) -> DataFrame:
     """keys + (kind, start_ms, end_ms); kind is 'period' or 'gap'."""
-    periods = covered_periods(df, keys, start, end, shard_ms)
+    periods = settle_table(covered_periods(df, keys, start, end, shard_ms), "periods")
     gaps = gaps_between(periods, keys, shard_ms, no_gap_from_ms)
     return periods.select(*[col(k) for k in keys], F.lit("period").alias("kind"), "start_ms", "end_ms").unionByName(gaps.select(*[col(k) for k in keys], F.lit("gap").alias("kind"), "start_ms", "end_ms"))
