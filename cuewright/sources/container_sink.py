@@ -230,11 +230,11 @@ def _packed(df: DataFrame | None, columns: Sequence[str], name: str) -> DataFram
     return df.groupBy("path").agg(F.collect_list(F.struct(*have)).alias(name))
 
 
-def write_containers(folder: str, segments: DataFrame, tracks: DataFrame, blocks: DataFrame | None = None, chapters: DataFrame | None = None, attachments: DataFrame | None = None, tags: DataFrame | None = None, simple_tags: DataFrame | None = None, compat_duration: bool = True) -> list[tuple[str, str, int, int]]:
+def write_containers(folder: str, segments: DataFrame, tracks: DataFrame, blocks: DataFrame | None = None, chapters: DataFrame | None = None, attachments: DataFrame | None = None, tags: DataFrame | None = None, simple_tags: DataFrame | None = None, compat_duration: bool = True, order: Sequence[str] = ("block_seq",)) -> list[tuple[str, str, int, int]]:
     """Writes one file for each path of segments; returns (path, file, n_blocks, n_bytes) of each.
 
-    Blocks are written in the order of block_seq (and lace_index if given) in
-    clusters of a second. compat_duration keeps the duration of segments;
+    Blocks are written in the order of the order columns (numbers) in clusters
+    of a second. compat_duration keeps the duration of segments;
     otherwise it is that of the blocks. The metadata of one path is held
     together in memory; its blocks aren't.
     """
@@ -259,20 +259,22 @@ def write_containers(folder: str, segments: DataFrame, tracks: DataFrame, blocks
             parts = [metadata_parts(r, *[r.get(n) or [] for n in columns], duration_ms=r.get("computed_ms")) for r in rows]
             data = [len(p).to_bytes(1, "big") + b"".join(len(x).to_bytes(8, "big") for x in p) + b"".join(p) for p in parts]
             scale = [r.get("timecode_scale") or X.DEFAULT_SCALE for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([-(1 << 62)] * len(rows), pa.int64()), pa.array([0] * len(rows), pa.int64()), pa.array(scale, pa.int64()), pa.array([False] * len(rows)), pa.array(data, pa.binary())], ["path", "seq", "track_number", "timecode_ms", "keyframe", "data"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([0] * len(rows), pa.int64()), pa.array(scale, pa.int64()), pa.array([False] * len(rows)), pa.array(data, pa.binary())], ["path", "track_number", "timecode_ms", "keyframe", "data"])
 
-    stream = meta.mapInArrow(heads, "path string, seq bigint, track_number bigint, timecode_ms bigint, keyframe boolean, data binary")
+    stream = meta.mapInArrow(heads, "path string, track_number bigint, timecode_ms bigint, keyframe boolean, data binary").withColumn("head", F.lit(True))
+    places = [f"o{i}" for i in range(len(order))]
+    stream = stream.select("*", *[F.lit(None).cast("bigint").alias(o) for o in places])
     if blocks is not None:
-        seq = F.col("block_seq").cast("bigint")
-        stream = stream.unionByName(blocks.select("path", seq.alias("seq"), "track_number", "timecode_ms", F.coalesce("keyframe", F.lit(False)).alias("keyframe"), "data"))
+        own = blocks.select("path", F.col("track_number").cast("bigint").alias("track_number"), F.col("timecode_ms").cast("bigint").alias("timecode_ms"), F.coalesce("keyframe", F.lit(False)).alias("keyframe"), "data", F.lit(False).alias("head"), *[F.col(c).cast("bigint").alias(o) for c, o in zip(order, places)])
+        stream = stream.unionByName(own)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []
         path, target, writer = None, None, None
         try:
             for batch in batches:
-                for p, seq, track, ms, key, data in zip(*[c.to_pylist() for c in batch.columns]):
-                    if seq == -(1 << 62):
+                for p, track, ms, key, data, head in zip(*[c.to_pylist() for c in batch.columns[:6]]):
+                    if head:
                         if writer is not None:
                             n = writer.finish()
                             target.close()
@@ -301,7 +303,7 @@ def write_containers(folder: str, segments: DataFrame, tracks: DataFrame, blocks
         cols = list(zip(*done)) or [()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["path", "file", "n_blocks", "n_bytes"])
 
-    written = stream.repartition("path").sortWithinPartitions("path", "seq").mapInArrow(write, "path string, file string, n_blocks bigint, n_bytes bigint")
+    written = stream.repartition("path").sortWithinPartitions("path", F.col("head").desc(), *places).mapInArrow(write, "path string, file string, n_blocks bigint, n_bytes bigint")
     return [tuple(r) for r in written.collect()]
 
 
