@@ -35,8 +35,10 @@ SPLICED, CLOSE = 18.0, 0.85
 LONGEST, WINDOW, STEP = 40, 16, 8
 
 _WORD = re.compile(r"[^\W\d]+(?:['’-][^\W\d]+)*|\d[\w/.-]*|\x02[a-z ]+\x02")
+_PLAIN_WORD = re.compile(r"[^\W\d]+(?:['’-][^\W\d]+)*")
 _SPLIT = re.compile(r"[.!?…]+(?=[\s\"”’)\]]|$)|[\n|]|[;:]\s")
-_SLOT_SIGN = re.compile(r"[{<$#%@_«\[]|XXX")
+#: What a placeholder has at least one of; cheaper than trying all shapes everywhere.
+_SLOT_SIGN = re.compile(r"\{[{%A-Za-z_]|<[%a-z]|[$#]\{|%[(A-Z]|\$[A-Z]|\[\[|@@|__[A-Z]|«[a-z]|\[(?:INSERT|TK|TB|TODO)| to be (?:inserted|added|confirmed|supplied)\]|XXX")
 _SLOT = re.compile("|".join(f"(?P<s{i}>{p})" for i, p in enumerate(SLOTS.values())))
 _SLOT_NAMES = list(SLOTS)
 
@@ -51,8 +53,13 @@ def marked(text: str) -> str:
 
 
 def words(text: str) -> list[str]:
-    """Words in lower case; anything with a digit is '0' and weighs nothing."""
-    return ["0" if w[0].isdigit() or (any(c.isdigit() for c in w) and w[0] != "\x02") else w for w in (x.lower() for x in _WORD.findall(text))]
+    """Words in lower case; numbers are '0' and weigh nothing."""
+    return ["0" if w[0].isdigit() else w for w in _WORD.findall(text.lower())]
+
+
+def vocabulary(text: str) -> set[str]:
+    """The different words of a text, without those of digits."""
+    return set(_PLAIN_WORD.findall(text.lower()))
 
 
 def bucket(word: str) -> int:
@@ -151,7 +158,7 @@ class Index:
         text = marked(text)
         if "\x02" in text:
             return "slot"
-        if self.anchors.keys().isdisjoint(words(text)):
+        if self.anchors.keys().isdisjoint(vocabulary(text)):
             return None
         for ws in windows(text):
             share, label = self.covered(ws)
@@ -179,7 +186,7 @@ def document_frequencies(df: DataFrame, text: str) -> tuple[np.ndarray, int]:
                     continue
                 n += 1
                 here = set()
-                for w in set(words(t)):
+                for w in vocabulary(t):
                     b = known.get(w)
                     if b is None:
                         if len(known) > 500_000:

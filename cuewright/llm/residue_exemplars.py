@@ -60,8 +60,12 @@ confirm that you are not a robot to go on
 the record you asked for could not be found
 the page you asked for could not be opened
 the transcript you asked for could not be displayed
+the file you asked for could not be loaded
+this page has been moved or deleted
+this record has been moved or deleted
 you do not have permission to view this record
 you do not have permission to view this page
+you do not have permission to view this transcript
 seite nicht gefunden
 ein interner fehler ist aufgetreten
 der zugriff wurde verweigert
@@ -76,6 +80,14 @@ el servicio no está disponible en este momento
     "script": """
 please enable javascript to read the reader
 please enable javascript to view this page
+please enable javascript to open the debate
+please enable scripts to load this transcript
+please enable client-side scripting to read the record
+kindly switch on client-side scripting to load this transcript
+you need to enable client-side scripting to load the debate
+you need to enable scripts to open this page
+activate scripts to load this transcript
+activate client-side scripting to view the record
 activate javascript to load this page
 turn on javascript to load the record
 kindly switch on javascript to view this transcript
@@ -146,6 +158,8 @@ inicie sesión para continuar
     "filler": """
 lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat
 asdf asdf asdf asdf
+aaa aaa aaa aaa
+xyz xyz xyz xyz
 qwer qwer qwer qwer
 foo bar foo bar foo bar
 text text text text
