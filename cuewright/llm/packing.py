@@ -22,7 +22,7 @@ from cuewright.llm.tokens import TOKENIZER_FOLDER, VOCABULARY, Codec
 from cuewright.runtime import col, require
 
 #: Rows of a shard on average; it bounds what one task holds.
-SHARD_ROWS = 20_000
+SHARD_ROWS = 10_000
 #: A container of capacity c takes at most c / TOKENS_A_SEGMENT segments, at least LEAST_SEGMENTS.
 TOKENS_A_SEGMENT, LEAST_SEGMENTS = 8, 16
 
@@ -47,25 +47,33 @@ def pack_vectors(demand: np.ndarray, limits: Sequence[float]) -> list[list[int]]
     # Demand that is scarce in total weighs more.
     weight = (sizes * left[:, None]).sum(axis=0)
     weight = weight / weight.sum() if weight.sum() else np.ones(len(limit))
-    weighted = sizes * weight
     out: list[list[int]] = []
     remaining = int(left.sum())
     order = np.arange(len(classes))
     while remaining:
-        free = np.ones(len(limit))
+        free = [1.0] * len(limit)
         now: list[int] = []
-        live = order[left[order] > 0]
-        order = live
-        while len(live):
-            live = live[(sizes[live] <= free + 1e-12).all(axis=1) & (left[live] > 0)]
+        live = order = order[left[order] > 0]
+        columns = [sizes[live, j] for j in range(len(limit))]
+        while True:
+            fits = columns[0] <= free[0] + 1e-12
+            for c, f in zip(columns[1:], free[1:]):
+                fits &= c <= f + 1e-12
+            if now:
+                fits &= left[live] > 0
+            if not fits.all():
+                live = live[fits]
+                columns = [c[fits] for c in columns]
             if not len(live):
                 break
-            score = weighted[live] @ free
-            best = live[len(score) - 1 - int(np.argmax(score[::-1]))]
-            # As many of the class at once as stay best: one, unless it is the only one left.
-            now.append(members[int(best)].pop())
+            score = columns[0] * (weight[0] * free[0])
+            for c, w, f in zip(columns[1:], weight[1:], free[1:]):
+                score = score + c * (w * f)
+            at = len(score) - 1 - int(score[::-1].argmax())
+            best = int(live[at])
+            now.append(members[best].pop())
             left[best] -= 1
-            free = free - sizes[best]
+            free = [f - float(c[at]) for f, c in zip(free, columns)]
         out.append(now)
         remaining -= len(now)
     return out
