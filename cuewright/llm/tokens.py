@@ -31,6 +31,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 #: Characters under the rolling hash, mean distance of cuts, least and greatest length of a chunk.
 WINDOW, MEAN, LEAST, MOST = 16, 128, 32, 2048
+#: Characters hashed at once.
+AT_ONCE = 1 << 19
 #: How far a cut may move to a sure boundary.
 REACH = 128
 #: Chunks with this share of all occurrences or more are broadcast: at most 1 / HOT_SHARE of them.
@@ -151,6 +153,19 @@ def cuts(texts: list[str]) -> list[tuple[list[int], list[bool]]]:
     return out
 
 
+def cuts_in_turn(texts: list[str]) -> Iterator[tuple[str, list[int], list[bool]]]:
+    """(text, ends, sure joins) of each text, some at a time so that the arrays stay small."""
+    at = 0
+    while at < len(texts):
+        end, held = at, 0
+        while end < len(texts) and (end == at or held + len(texts[end]) <= AT_ONCE):
+            held += len(texts[end])
+            end += 1
+        for t, (ends, safe) in zip(texts[at:end], cuts(texts[at:end])):
+            yield t, ends, safe
+        at = end
+
+
 def _halves(text: str) -> tuple[int, int]:
     d = xxhash.xxh3_128_intdigest(text.encode("utf-8", "surrogatepass"))
     return (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63)
@@ -173,7 +188,7 @@ def encode_corpus(df: DataFrame, key: str, text: str, folder: str = TOKENIZER_FO
         for batch in batches:
             texts = [t for t in batch.column(0).to_pylist() if t]
             count: dict[str, int] = {}
-            for t, (ends, _) in zip(texts, cuts(texts)):
+            for t, ends, _ in cuts_in_turn(texts):
                 at = 0
                 for e in ends:
                     piece = t[at:e]
@@ -196,7 +211,7 @@ def encode_corpus(df: DataFrame, key: str, text: str, folder: str = TOKENIZER_FO
             pick: list[int] = []
             rows: list[tuple] = []
             known: dict[str, tuple[int, int]] = {}
-            for i, (t, (ends, safe)) in enumerate(zip(texts, cuts(texts))):
+            for i, (t, ends, safe) in enumerate(cuts_in_turn(texts)):
                 whole = _halves(t)[0]
                 at = 0
                 for j, (e, s) in enumerate(zip(ends, safe)):

@@ -4,7 +4,7 @@ import random
 import pytest
 from tokenizers import Tokenizer
 
-from cuewright.llm.tokens import MOST, TOKENIZER_FOLDER, VOCABULARY, Codec, cuts, encode_corpus
+from cuewright.llm.tokens import AT_ONCE, MOST, TOKENIZER_FOLDER, VOCABULARY, Codec, cuts, cuts_in_turn, encode_corpus
 
 PATH = f"{TOKENIZER_FOLDER}/{VOCABULARY}"
 pytestmark = pytest.mark.skipif(not os.path.exists(PATH), reason="no vocabulary files here")
@@ -52,3 +52,8 @@ def test_corpus_against_the_tokenizer(spark):
     want = sorted(((i, tok.encode(t or "", add_special_tokens=False).ids) for i, t in set(rows)), key=str)
     assert got == want
     assert encode_corpus(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_texts_cut_in_turn_are_cut_alike():
+    texts = [*hard_texts(), "long text " * (AT_ONCE // 10 + 7), "", "end"]
+    assert [(e, s) for _, e, s in cuts_in_turn(texts)] == [c for t in texts for c in cuts([t])]
