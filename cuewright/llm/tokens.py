@@ -118,6 +118,10 @@ def cuts(texts: list[str]) -> list[tuple[list[int], list[bool]]]:
         h[k:] += wide[: n - k] * _POWERS[k]
     h ^= h >> np.uint64(29)
     hits = np.flatnonzero((h >> np.uint64(17)) % np.uint64(MEAN) == 0) + 1
+    # Cuts hang on their own text alone: no window reaches into the text before, no cut moves into the one after.
+    own = np.searchsorted(offsets, hits - 1, side="right") - 1
+    inside = hits - offsets[own] >= WINDOW
+    hits, ends_at = hits[inside], offsets[own[inside] + 1]
     blank = (points <= 0x20) | np.isin(points, _SPACES) | ((points >= 0x7F) & (points <= 0x9F))
     sure = np.zeros(n + 1, dtype=bool)
     if n > 2:
@@ -125,7 +129,8 @@ def cuts(texts: list[str]) -> list[tuple[list[int], list[bool]]]:
     places = np.flatnonzero(sure)
     after = np.searchsorted(places, hits)
     moved = np.where(after < len(places), places[np.minimum(after, max(0, len(places) - 1))] if len(places) else n + REACH + 1, n + REACH + 1)
-    chosen = np.where(moved - hits <= REACH, moved, hits)
+    near = moved - hits <= REACH
+    chosen = np.where(near, moved, hits)[~near | (moved < ends_at)]
     order = np.argsort(chosen, kind="stable")
     chosen = chosen[order]
     firsts = np.searchsorted(chosen, offsets[:-1], side="right")
@@ -136,7 +141,7 @@ def cuts(texts: list[str]) -> list[tuple[list[int], list[bool]]]:
         ends: list[int] = []
         safe: list[bool] = []
         at = start
-        # A hash whose window began in the text before, a cut too near, or one at an edge is passed over.
+        # A cut too near the one before, or an edge, is passed over.
         for c in (*(int(x) for x in chosen[firsts[i] : lasts[i]]), end):
             while c - at > MOST:
                 at = at + MOST
@@ -144,7 +149,7 @@ def cuts(texts: list[str]) -> list[tuple[list[int], list[bool]]]:
                     break
                 ends.append(at - start)
                 safe.append(bool(sure[at]))
-            if c == end or (c - at >= LEAST and c - start >= WINDOW and end - c >= LEAST):
+            if c == end or (c - at >= LEAST and end - c >= LEAST):
                 if c > at:
                     ends.append(c - start)
                     safe.append(c == end or bool(sure[c]))
@@ -240,7 +245,9 @@ def encode_corpus(df: DataFrame, key: str, text: str, folder: str = TOKENIZER_FO
     cold = book.select(F.col("h1").alias("j1"), F.col("h2").alias("j2"), "ids")
     cold = cold.withColumn("j2", F.coalesce("j2", F.lit(0).cast("bigint")))
     joined = at.withColumn("j2", F.coalesce("j2", F.lit(-1).cast("bigint"))).join(cold, ["j1", "j2"], "left")
-    part = F.struct("pos", "safe", F.coalesce("hot_ids", "ids").alias("ids"))
+    lost = F.col("h1").isNotNull() & F.col("hot_ids").isNull() & F.col("ids").isNull()
+    found = F.when(lost, F.raise_error(F.lit("a chunk is missing from the book of chunks")).cast("binary")).otherwise(F.coalesce("hot_ids", "ids"))
+    part = F.struct("pos", "safe", found.alias("ids"))
     grouped = joined.groupBy("key", "whole").agg(F.sort_array(F.collect_list(part)).alias("parts"))
     twice = F.size(F.filter("parts", lambda p: p.pos == 0)) > 1
     grouped = grouped.withColumn("parts", F.when(twice, F.array_distinct("parts")).otherwise(F.col("parts")))

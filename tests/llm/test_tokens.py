@@ -56,4 +56,8 @@ def test_corpus_against_the_tokenizer(spark):
 
 def test_texts_cut_in_turn_are_cut_alike():
     texts = [*hard_texts(), "long text " * (AT_ONCE // 10 + 7), "", "end"]
-    assert [(e, s) for _, e, s in cuts_in_turn(texts)] == [c for t in texts for c in cuts([t])]
+    alone = [c for t in texts for c in cuts([t])]
+    assert [(e, s) for _, e, s in cuts_in_turn(texts)] == alone
+    for seed in range(5):
+        mixed = random.Random(seed).sample(list(zip(texts, alone)), len(texts))
+        assert [e for e, _ in cuts([t for t, _ in mixed])] == [c[0] for _, c in mixed]
