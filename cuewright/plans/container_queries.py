@@ -579,10 +579,9 @@ def codec_names(spark, d):
     return _tracks(spark, d).select("path", "track_index", codec_short_name(c).alias("short_name"), codec_id_from_short(c).alias("codec_id"), S.sanitize_codec(c).alias("file_part"))
 
 
-@query(_with("s") + "select path, case when duration > 0 and timecode_scale > 0 then cast(trunc(duration * timecode_scale / 1e6) as bigint) else 0 end as computed_ms, (epoch_us(date_utc) // 1000000 - 978307200) * 1000000000 as date_ns, date_utc as date_back from s")
+@query(_with("s") + "select path, case when duration > 0 and timecode_scale > 0 then cast(trunc(duration * timecode_scale / 1e6) as bigint) else 0 end as computed_ms, (epoch_us(date_utc) // 1000000 - 978307200) * 1000000000 as date_ns from s")
 def durations_and_dates(spark, d):
-    ns = S.ns_from_date(F.col("date_utc"))
-    return _segments(spark, d).select("path", S.duration_ms(F.col("duration"), F.col("timecode_scale")).alias("computed_ms"), ns.alias("date_ns"), S.date_from_ns(ns).alias("date_back"))
+    return _segments(spark, d).select("path", S.duration_ms(F.col("duration"), F.col("timecode_scale")).alias("computed_ms"), S.ns_from_date(F.col("date_utc")).alias("date_ns"))
 
 
 @query(_with("sb") + "select b.path, block_seq, timecode_ms * timecode_scale // 1000000 as ticks_ms from b join s using (path)")
@@ -592,7 +591,7 @@ def rescaled_timecodes(spark, d):
 
 @query(
     _with("b", "n as (select path, block_seq, octet_length(data) as a, octet_length(data) * 60 as m, octet_length(data) * 7 as z from b)")
-    + f"""select path, block_seq, a // 255 + 1 + m // 255 + 1 as xiph, cast(0 as bigint) as fixed, {_least("a", [126, 16382], 3)} + case when m - a >= -64 and m - a < 64 then 1 when m - a >= -8192 and m - a < 8192 then 2 else 3 end as ebml from n"""
+    + f"""select path, block_seq, a // 255 + 1 + m // 255 + 1 as xiph, cast(0 as bigint) as fixed, cast({_least("a", [126, 16382], 3)} + case when m - a >= -64 and m - a < 64 then 1 when m - a >= -8192 and m - a < 8192 then 2 else 3 end as bigint) as ebml from n"""
 )
 def lacing_headers(spark, d):
     n = F.length("data").cast("long")

@@ -6,7 +6,8 @@
 Options: table (see schemas.TABLES), payload (false leaves data columns null
 and frame bytes unread beyond their headers' needs), mode (PERMISSIVE skips a
 broken file or its rest, FAILFAST raises), laces (standard or compat: the bias
-of size differences, see ebml.lace_sizes), splitBytes (how much of a file one
+of size differences, see ebml.lace_sizes), startMs and endMs (blocks of that
+time only; clusters that can't hold any are passed over unread), splitBytes (how much of a file one
 task reads when blocks are read). Files are read through pyarrow's file
 systems, so any URI that those know will do.
 """
@@ -146,15 +147,32 @@ class Container:
             raw = p.last("cue_time", 0)
             yield (self.path, i, raw, raw * scale // 1_000_000, where.last("cue_track", 0), where.last("cue_cluster", 0))
 
-    def blocks(self, start: int = 0, end: int | None = None, payload: bool = True) -> Iterator[tuple]:
-        """Frames of the clusters that begin in [start, end) of the file; block_seq is the byte offset, plus the place in a lace."""
+    def _cluster_ticks(self, head: X.Head) -> int | None:
+        """A cluster's time, where it is the first of its elements, as it should be."""
+        first = X.read_head(self.f, head.body)
+        if first is None or first.element != X.IDS["timestamp"]:
+            return None
+        return X.decode_value("u", X.read_body(self.f, first))
+
+    def blocks(self, start: int = 0, end: int | None = None, payload: bool = True, start_ms: int | None = None, end_ms: int | None = None) -> Iterator[tuple]:
+        """Frames of the clusters that begin in [start, end) of the file and of [start_ms, end_ms).
+
+        block_seq is the byte offset, plus the place in a lace.
+        """
         scale = self.scale()
         for head in self.parts():
             if head.element != X.CLUSTER_ID or head.offset < start:
                 continue
             if end is not None and head.offset >= end:
                 return
+            if start_ms is not None or end_ms is not None:
+                ticks = self._cluster_ticks(head)
+                # A block lies at most 2^15 ticks from its cluster's time.
+                if ticks is not None and ((start_ms is not None and (ticks + 32768) * scale // 1_000_000 < start_ms) or (end_ms is not None and (ticks - 32768) * scale // 1_000_000 >= end_ms)):
+                    continue
             for offset, lace, track, ms, key, data, ticks in X.cluster_blocks(self.f, head, scale, self.standard_laces):
+                if (start_ms is not None and ms < start_ms) or (end_ms is not None and ms >= end_ms):
+                    continue
                 yield (self.path, offset + lace, lace, head.offset - self.segment.body, ticks, track, ms, key, data if payload else None, len(data))
 
     def elements(self) -> Iterator[tuple]:
@@ -188,6 +206,8 @@ class ContainerReader(DataSourceReader):
         self.payload = options.get("payload", "true").lower() == "true"
         self.laces = options.get("laces", "compat").lower() == "standard"
         self.failfast = options.get("mode", "PERMISSIVE").upper() == "FAILFAST"
+        low = {k.lower(): v for k, v in options.items()}
+        self.start_ms, self.end_ms = (int(low[k]) if k in low else None for k in ("startms", "endms"))
         self.split = int(options.get("splitbytes", options.get("splitBytes", DEFAULT_SPLIT)))
 
     def partitions(self) -> list[InputPartition]:
@@ -205,7 +225,7 @@ class ContainerReader(DataSourceReader):
     def _rows(self, part: _Part) -> Iterator[tuple]:
         c = Container(part.path, self.laces)
         if self.table == "blocks":
-            yield from c.blocks(part.start, part.end, self.payload)
+            yield from c.blocks(part.start, part.end, self.payload, self.start_ms, self.end_ms)
         elif self.table == "attachments":
             yield from c.attachments(self.payload)
         elif self.table == "errors":

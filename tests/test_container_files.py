@@ -94,6 +94,7 @@ def test_write_and_read_back(spark, tmp_path):
         rows = read("blocks", splitBytes=split).orderBy("path", "block_seq").collect()
         want = [tuple(r)[2:] for r in blocks.orderBy("path", "block_seq").collect()]
         assert [(r["track_number"], r["timecode_ms"], r["keyframe"], r["data"]) for r in rows] == want
+    assert [r["timecode_ms"] for r in read("blocks", startMs=1000, endMs=60_000).where("path = '/in/b.mkv'").orderBy("block_seq").collect()] == [20_000, 40_000]
     assert read("blocks", payload=False).where("data is not null").count() == 0
     assert [(r["node"], r["parent_node"], r["depth"], r["title"], r["end_ms"]) for r in read("chapters").orderBy("node").collect()] == [(0, -1, 0, "One", 100), (1, 0, 1, "Sub", 50), (2, -1, 0, "", 0)]
     a = read("attachments").first()
