@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuewright.runtime import col, require
+from cuewright.runtime import col, require, settle_table
 
 NONE = "none"
 THRESHOLD = 0.25
@@ -101,8 +101,9 @@ def map_values(values: DataFrame, value: str, ref: DataFrame, code: str, term_co
     require(values, value)
     distinct = values.groupBy(col(value).cast("string").alias("value")).agg(F.lit(1).alias("_one")).select("value")
     keyed = distinct.where("value is not null").select(F.col("value").alias("key"), "value")
-    spread = _spread(keyed, "string")
-    terms = reference_terms(ref, code, term_columns)
+    # Written once: the value side is normalised in Python and read by three consumers, the list's by five.
+    spread = settle_table(_spread(keyed, "string"), "readings")
+    terms = settle_table(reference_terms(ref, code, term_columns), "terms")
     # IDF over the reference terms; one row for each (gram, term): the inverted index.
     postings = terms.where(F.length("term") > CODE_LENGTH).select("code", "term", F.explode("grams").alias("gram"))
     n_terms = terms.agg(F.count(F.lit(1)).alias("n_terms"))
