@@ -23,7 +23,7 @@ from cuewright.runtime import col, require
 
 BLOCK = 4096
 #: Keys that a task remembers to drop repeated deliveries before the shuffle.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 
 _TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>|<\d+:\d\d(?::\d\d)?[.,]\d+>", re.S)
 _CODE = re.compile(r"\{\s*\\[^{}]*\}|\{[A-Za-z]:[^{}]*\}")
@@ -152,18 +152,19 @@ def event_runs(df: DataFrame, keys: Sequence[str], seq: str, text: str, start: s
     nk = len(ks)
 
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: dict[tuple, tuple] = {}
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns]
             pick, out = [], []
             for i, (t, ass_row) in enumerate(zip(cols[nk + 1], cols[nk + 2])):
                 form = canonical(ass_text(t) if ass_row else t, ass_row)
-                mark = hash((*[c[i] for c in cols[: nk + 1]], form, cols[nk + 3][i], cols[nk + 4][i]))
-                if mark in seen:
+                at_key = tuple(c[i] for c in cols[: nk + 1])
+                content = (form, cols[nk + 3][i], cols[nk + 4][i])
+                if seen.get(at_key) == content:
                     continue
                 if len(seen) >= REMEMBERED:
                     seen.clear()
-                seen.add(mark)
+                seen[at_key] = content
                 pick.append(i)
                 out.append(form)
             at = pa.array(pick, pa.int64())
