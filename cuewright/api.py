@@ -161,7 +161,7 @@ def split(spark: SparkSession, path: str, folder: str, ranges: Sequence[tuple[in
         raise ValueError("no ranges and no chapters")
     name = F.format_string(pattern, F.col("range_id"))
     blocks = B.split_at_keyframes(m.blocks, spans, m.tracks).withColumn("path", name)
-    each = lambda df: df.drop("path").crossJoin(F.broadcast(spans.select(name.alias("path"))))
+    each = lambda df: df.drop("path").crossJoin(spans.select(name.alias("path")))
     # The parts keep the metadata of the whole but for the duration, which is theirs.
     return write_containers(folder, each(m.segments), each(m.tracks), blocks, each(m.chapters), each(m.attachments), each(m.tags), each(m.simple_tags), compat_duration=False)
 

@@ -16,6 +16,8 @@ from cuewright.runtime import settle
 CLUSTER_MS = 1000
 CUE_INTERVAL_MS = 500
 BACKWARD_TOLERANCE_MS = 1000
+#: Ranges that are sent to every task; a time bucket in which more of them meet the blocks.
+MOST_RANGES, RANGE_BUCKET_MS = 10_000, 60_000
 #: Blocks folded by one call when clusters are built; a longer stream is cut into such pieces.
 FOLD_CHUNK = 65_536
 
@@ -100,15 +102,31 @@ def backward_timecodes(blocks: DataFrame, tolerance_ms: int = BACKWARD_TOLERANCE
     return out.where(F.col("timecode_ms") < F.col("previous_ms") - tolerance_ms)
 
 
+def few_ranges(ranges: DataFrame) -> bool:
+    """Whether there are at most MOST_RANGES, so that all of them may go to every task."""
+    return ranges.limit(MOST_RANGES + 1).count() <= MOST_RANGES
+
+
 def split_by_ranges(blocks: DataFrame, ranges: DataFrame) -> DataFrame:
     """Blocks of each range (range_id, start_ms, end_ms; end 0 is open), times from the range's start.
 
-    ranges without a path column hold for every path and are few: they go to
-    every task. With one they are matched by it. Ranges may overlap.
+    ranges without a path column hold for every path: up to MOST_RANGES of
+    them go to every task, more are met in time buckets. With a path column
+    they are matched by it. Ranges may overlap.
     """
     spans = ranges.withColumnRenamed("start_ms", "_s").withColumnRenamed("end_ms", "_e")
     inside = (F.col("timecode_ms") >= F.col("_s")) & ((F.col("_e") == 0) | (F.col("timecode_ms") < F.col("_e")))
-    pairs = blocks.join(spans, "path") if "path" in ranges.columns else blocks.crossJoin(F.broadcast(spans))
+    if "path" in ranges.columns:
+        pairs = blocks.join(spans, "path")
+    elif few_ranges(ranges):
+        pairs = blocks.crossJoin(F.broadcast(spans))
+    else:
+        last = blocks.agg(F.max("timecode_ms")).first()[0]
+        end = F.when(F.col("_e") == 0, F.lit(last)).otherwise(F.least(F.col("_e") - 1, F.lit(last)))
+        bucket = lambda c: F.floor(c / F.lit(RANGE_BUCKET_MS)).cast("long")
+        # A range that ends before it starts holds nothing; sequence() would count down.
+        live = spans.where(F.col("_s") <= end).withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_s")), bucket(end))))
+        pairs = blocks.withColumn("_bucket", bucket(F.col("timecode_ms"))).join(live, "_bucket")
     return pairs.where(inside).withColumn("timecode_ms", F.col("timecode_ms") - F.col("_s")).select("range_id", *blocks.columns)
 
 
@@ -117,8 +135,11 @@ def split_at_keyframes(blocks: DataFrame, ranges: DataFrame, tracks: DataFrame |
 
     ranges: (range_id, start_ms, end_ms), for every path; bounds of 0 are off.
     A keyframe of any track ends a part; only one of the given tracks begins
-    it. Blocks at or past the end that are no keyframes are dropped.
+    it. Blocks at or past the end that are no keyframes are dropped. Each cut
+    looks at all keyframes, so there may be at most MOST_RANGES.
     """
+    if not few_ranges(ranges):
+        raise ValueError(f"more than {MOST_RANGES} ranges to cut at keyframes")
     spans = F.broadcast(ranges.select("range_id", F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e")))
     chosen = blocks if tracks is None else blocks_of(blocks, tracks)
     keys = lambda df: df.where("keyframe").select("path", "block_seq", "timecode_ms").crossJoin(spans)
@@ -134,7 +155,7 @@ def split_at_keyframes(blocks: DataFrame, ranges: DataFrame, tracks: DataFrame |
     return cut.where(begun & open_).withColumn("timecode_ms", F.col("timecode_ms") - F.col("_s") + offset_ms).select("range_id", *blocks.columns)
 
 
-def _exits(times: list[int], width: int) -> tuple[list[tuple[int, int]], None]:
+def _exits(times: list[int], width: int) -> list[tuple[int, int]]:
     """Steps (t, exit): a fold that enters with c leaves with the exit of the first step t >= c + width, or c.
 
     The fold opens a cluster at the first time that is width past its own
@@ -160,7 +181,7 @@ def _exits(times: list[int], width: int) -> tuple[list[tuple[int, int]], None]:
                 steps[-1] = (t, leave[j])
             else:
                 steps.append((t, leave[j]))
-    return steps, None
+    return steps
 
 
 def greedy_clusters(blocks: DataFrame, width_ms: int = CLUSTER_MS, chunk: int = FOLD_CHUNK) -> DataFrame:
@@ -188,7 +209,7 @@ def greedy_clusters(blocks: DataFrame, width_ms: int = CLUSTER_MS, chunk: int =
         out: list[tuple] = []
         for (path, piece), held in groups(batches, 2):
             times = [h[1] for h in held]
-            steps, _ = _exits(times, width_ms)
+            steps = _exits(times, width_ms)
             # Where the fold begins here: its state after the chunk.
             first = times[0]
             out.append((path, piece, first, [s[0] for s in steps], [s[1] for s in steps]))
@@ -217,8 +238,7 @@ def greedy_clusters(blocks: DataFrame, width_ms: int = CLUSTER_MS, chunk: int =
     entered = told.repartition("path").sortWithinPartitions("path", "_chunk").mapInArrow(chain, "path string, _chunk bigint, _enter bigint")
 
     names, schema = rows.columns, rows.schema
-    at_path, at_chunk, at_seq, at_time = (names.index(c) for c in ("path", "_chunk", "block_seq", "timecode_ms"))
-    del at_seq
+    at_path, at_chunk, at_time = (names.index(c) for c in ("path", "_chunk", "timecode_ms"))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, None

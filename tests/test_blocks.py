@@ -151,3 +151,14 @@ def test_parts_of_keyframe_cuts_are_disjoint_and_cover(spark):
     cuts = [(1, 0, 6000), (2, 6000, 12000), (3, 12000, 0)]
     got = B.split_at_keyframes(frame(spark, rows), spark.createDataFrame(cuts, "range_id int, start_ms long, end_ms long")).select("block_seq").collect()
     assert sorted(r[0] for r in got) == list(range(40))
+
+
+def test_many_ranges_meet_in_buckets(spark, monkeypatch):
+    rows = stream(9, n=80)
+    ranges = [(i, i * 7000 % 90_000, [0, 50_000, 100, i * 7000 % 90_000 + 9000][i % 4]) for i in range(40)]
+    df = spark.createDataFrame(ranges, "range_id int, start_ms long, end_ms long")
+    few = sorted(tuple(r)[:5] for r in B.split_by_ranges(frame(spark, rows), df).collect())
+    monkeypatch.setattr(B, "MOST_RANGES", 3)
+    assert sorted(tuple(r)[:5] for r in B.split_by_ranges(frame(spark, rows), df).collect()) == few and few
+    with pytest.raises(ValueError, match="ranges"):
+        B.split_at_keyframes(frame(spark, rows), df)
