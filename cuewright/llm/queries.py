@@ -34,7 +34,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     patches = table(spark, sf_dir, "track_patches").select(F.lit("track_patches").alias("source"), F.col("patch_id").alias("record_id"), "language")
     ref = table(spark, sf_dir, "language_ref")
     given = tracks.unionByName(patches).where(F.trim("language") != "").groupBy("source", "record_id", "language").agg(F.lit(1).alias("_one")).drop("_one")
-    free = given.join(F.broadcast(ref.select(F.col("lang_code").alias("language"))), "language", "left_anti")
+    free = given.join(ref.select(F.col("lang_code").alias("language")), "language", "left_anti")
     mapped = map_values(free, "language", ref, "lang_code", ["lang_code", "alt_code", "short_code", "lang_name", "native_name"])
     return free.join(mapped, "language").select("source", "record_id", F.col("code").alias("lang_code")).distinct()
 
