@@ -45,6 +45,30 @@ QUERIES = {
 }
 
 SQL = {
+    "p2_found": r"""
+        with recursive src as (
+          select scan_id, max(probe_json) as j from containers where json_valid(probe_json) group by scan_id),
+        n(scan_id, kind, d, pkind, pd, obj) as (
+          select scan_id, 'container', cast([] as integer[]), cast(null as varchar), cast(null as integer[]), cast(j as json) from src where json_type(j) = 'OBJECT'
+          union all
+          select scan_id, ckind, list_append(cd, i), kind, cd, e from (
+            select scan_id, kind, cd, ckind, i, case when json_type(e) = 'VARCHAR' and json_valid(e->>'$') then cast(e->>'$' as json) else e end as e from (
+              select scan_id, kind, d as cd, ckind, unnest(list) as e, unnest(range(len(list))) as i from (
+                select scan_id, kind, d, ckind,
+                  case when json_type(v) = 'ARRAY' then json_extract(v, '$[*]')
+                       when json_type(v) = 'OBJECT' and len(list_filter(json_keys(v), lambda x: not regexp_full_match(x, '[0-9]+'))) = 0
+                         then list_transform(list_sort(list_transform(json_keys(v), lambda x: cast(x as integer))), lambda x: json_extract(v, '$."' || x || '"'))
+                       when json_type(v) = 'OBJECT' then [v] else cast([] as json[]) end as list
+                from (
+                  select scan_id, kind, d, ckind, case when json_type(v) = 'VARCHAR' and json_valid(v->>'$') then cast(v->>'$' as json) else v end as v from (
+                    select scan_id, kind, d, json_extract(obj, '$."' || k || '"') as v,
+                      case kind || '.' || replace(lower(k), '_', '') when 'container.tracks' then 'track' when 'container.chapters' then 'chapter' when 'container.tags' then 'tag'
+                        when 'chapter.subchapters' then 'chapter' when 'tag.simpletags' then 'simple_tag' when 'simple_tag.subtags' then 'simple_tag' end as ckind
+                    from (select scan_id, kind, d, obj, unnest(json_keys(obj)) as k from n))
+                  where ckind is not null)))
+          ) where json_type(e) = 'OBJECT'),
+        m as (select *, cast(row_number() over (partition by scan_id, kind order by d) - 1 as integer) as node from n)
+        select a.scan_id, a.kind, a.node, a.pkind as parent_kind, b.node as parent_node from m a join m b on b.scan_id = a.scan_id and b.kind = a.pkind and b.d = a.pd""",
     "p4_found": """
         with spans as (
           select 'subtitle_events' as source, path, start_ms, end_ms from subtitle_events where end_ms > start_ms
