@@ -103,4 +103,17 @@ QUERIES = {
     "p10_labels": p10_labels,
 }
 
-SQL: dict[str, str] = {}
+#: Written apart from the operator: plain patterns over the text with its line breaks shown.
+SQL: dict[str, str] = {
+    "p6_found": r"""
+        with ev as (
+          select distinct 'subtitle_events' as source, false as ass, path, seq, text as body from subtitle_events
+          union all
+          select distinct 'ass_events', true, path, seq, case when len(string_split(fields, ',')) >= 7 then array_to_string(string_split(fields, ',')[7:], ',') end from ass_events),
+        shown as (select source, path, seq, ass, case when ass then regexp_replace(body, '\\N', chr(10), 'g') else body end as t, body from ev)
+        select distinct source, path, seq from shown where
+          regexp_matches(t, '</?[A-Za-z][^<>]*>|<!--') or regexp_matches(t, '&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);') or regexp_matches(t, '\{\s*\\|\{[A-Za-z]:') or (ass and regexp_matches(body, '\{|\\[Nnh]'))
+          or regexp_matches(t, '\\[A-Za-z&%$#_(\[]') or regexp_matches(t, '\*\*[^*\n]+\*\*|~~[^~\n]+~~|`[^`\n]+`|```|\]\([^()\n]*\)|\[\[[^\[\]]+\]\]|\{\{[^{}]*\}\}')
+          or regexp_matches(t, '(?m)^\{\||^#{1,6} |^[*+] |^> |^\|.*\|$|^={2,6} .* ={2,6}$|^={3,}$') or regexp_matches(t, '(?s)(^|\n)[0-9]{1,3}\. .*\n[0-9]{1,3}\. ')
+          or regexp_matches(t, '''''[^'']+''''|``[^`'']+''''') or regexp_matches(t, '(^|[^A-Za-z0-9$])\$\$?[^0-9 $\n][^$\n]*[^ $\n]\$') or regexp_matches(t, '(^|[^A-Za-z0-9_])_[^ _][^_\n]*_($|[^A-Za-z0-9_])')""",
+}
