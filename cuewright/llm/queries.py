@@ -103,8 +103,26 @@ QUERIES = {
     "p10_labels": p10_labels,
 }
 
-#: Written apart from the operator: plain patterns over the text with its line breaks shown.
+#: Written apart from the operators, with plain patterns over the texts.
 SQL: dict[str, str] = {
+    # The edit distance is the full table of costs, a row at a time: the built-in one counts bytes.
+    "p1_found": r"""
+        with recursive ev as (
+          select distinct 'srt' as source, false as ass, path, seq, text as body from subtitle_events
+          union all
+          select distinct 'ass', true, path, seq, case when len(string_split(fields, ',')) >= 7 then array_to_string(string_split(fields, ',')[7:], ',') end from ass_events),
+        v as (select source, path, seq, regexp_replace(regexp_replace(regexp_replace(replace(body, '&nbsp;', ' '), '</?[A-Za-z][^<>]*>|<!--.*?-->', '', 'gs'), case when ass then '\{[^{}]*\}' else '\{\s*\\[^{}]*\}|\{[A-Za-z]:[^{}]*\}' end, '', 'g'), '\\[Nnh]', ' ', 'g') as t from ev),
+        f as (select source, path, seq, nullif(regexp_replace(replace(replace(lower(nfc_normalize(t)), 'ß', 'ss'), 'ς', 'σ'), '[^\p{L}\p{N}]', '', 'g'), '') as form from v),
+        g as (select *, lag(form) over (partition by source, path order by seq) as b from f),
+        pairs as (select distinct form as a, b from g where form <> b and length(form) >= 12 and length(b) >= 12 and abs(length(form) - length(b)) <= 2 and levenshtein(form, b) <= 8 and regexp_extract_all(form, '[0-9]+') = regexp_extract_all(b, '[0-9]+')),
+        dp(a, b, i, costs) as (
+          select a, b, 0, range(0, length(b) + 1) from pairs
+          union all
+          select a, b, i + 1, list_reduce(list_prepend([i + 1], list_transform(range(1, length(b) + 1), lambda j: [j])), lambda acc, x: list_append(acc, least(acc[-1] + 1, costs[x[1] + 1] + 1, costs[x[1]] + case when a[i + 1] = b[x[1]] then 0 else 1 end))) from dp where i < length(a)),
+        near as (select a, b from dp where i = length(a) and costs[-1] <= 2),
+        h as (select g.*, case when form = g.b or near.a is not null then 0 else 1 end as opens from g left join near on near.a = form and near.b = g.b),
+        r as (select *, sum(opens) over (partition by source, path order by seq rows unbounded preceding) as run from h)
+        select source, path, min(seq) as first_seq, max(seq) as last_seq from r group by source, path, run having count(*) > 1""",
     "p6_found": r"""
         with ev as (
           select distinct 'subtitle_events' as source, false as ass, path, seq, text as body from subtitle_events
