@@ -3,15 +3,40 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
+import sysconfig
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in the session's Python workers, wherever they run.
+
+    Nothing is done where it is installed or on PYTHONPATH, which workers
+    share; otherwise its sources go along with the session's Python files.
+    """
+    root, sc = Path(__file__).resolve().parents[1], spark.sparkContext
+    known = [sysconfig.get_paths()[k] for k in ("purelib", "platlib")] + os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if getattr(sc, "_cuewright_shipped", False) or str(root) in known:
+        return
+    folder = tempfile.mkdtemp(prefix="cuewright-files-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = f"{folder}/cuewright.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted((root / "cuewright").rglob("*.py")):
+            z.write(path, path.relative_to(root))
+    sc.addPyFile(archive)
+    sc._cuewright_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one parquet table; every timestamp comes as a UTC timestamp."""
+    ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     for field in df.schema.fields:
         if field.dataType.typeName() == "timestamp_ntz":

@@ -26,6 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from cuewright.functions.codecs import CODEC_NAMES
+from cuewright.runtime import ship
 from cuewright.schemas import TABLES
 from cuewright.sources import ebml as X
 
@@ -281,6 +282,7 @@ class ContainerSource(DataSource):
 
 def read_container(spark: Any, path: str, table: str, **options: Any):
     """A relation of the container files at a path."""
+    ship(spark)
     spark.dataSource.register(ContainerSource)
     reader = spark.read.format("container").option("table", table)
     for k, v in options.items():

@@ -20,6 +20,9 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from cuewright.runtime import ship
+
+    ship(session)
     yield session
 
 
