@@ -123,6 +123,30 @@ SQL: dict[str, str] = {
         h as (select g.*, case when form = g.b or near.a is not null then 0 else 1 end as opens from g left join near on near.a = form and near.b = g.b),
         r as (select *, sum(opens) over (partition by source, path order by seq rows unbounded preceding) as run from h)
         select source, path, min(seq) as first_seq, max(seq) as last_seq from r group by source, path, run having count(*) > 1""",
+    # Here by the edit distance alone: whole readings first, then abbreviations, then the one nearest entry.
+    "p3_found": r"""
+        with recursive given as (
+          select distinct 'tracks' as source, track_uid as record_id, language from tracks where trim(language) <> ''
+          union select distinct 'track_patches', patch_id, language from track_patches where trim(language) <> ''),
+        free as (select * from given where language not in (select lang_code from language_ref)),
+        terms as (select distinct lang_code as code, trim(lower(nfc_normalize(regexp_replace(unnest([lang_code, alt_code, short_code, lang_name, native_name]), '[\x{00AD}\x{200B}-\x{200F}\x{FEFF}]', '', 'g'))), ' .,;:!?*#-') as term from language_ref),
+        vals as (select distinct language, trim(lower(nfc_normalize(regexp_replace(language, '[\x{00AD}\x{200B}-\x{200F}\x{FEFF}]', '', 'g'))), ' .,;:!?*#-') as whole, ends_with(trim(language), '.') and not contains(trim(language), ' ') as abbreviated from free),
+        parts as (
+          select language, 0 as place, whole as form, true as loose from vals
+          union all select language, 1 + i, trim(lower(nfc_normalize(regexp_replace(part, '[\x{00AD}\x{200B}-\x{200F}\x{FEFF}]', '', 'g'))), ' .,;:!?*#-'), true from (select language, unnest(list) as part, unnest(range(len(list))) as i from (select language, regexp_split_to_array(lower(nfc_normalize(language)), '\s*[/,;:=|()\[\]_&+]+\s*|\s+[-–—]+\s+|[-–—]') as list from vals))
+          union all select language, 100 + i, trim(lower(nfc_normalize(regexp_replace(word, '[\x{00AD}\x{200B}-\x{200F}\x{FEFF}]', '', 'g'))), ' .,;:!?*#-'), false from (select language, unnest(list) as word, unnest(range(len(list))) as i from (select language, regexp_split_to_array(lower(nfc_normalize(language)), '[\s/,;:=|()\[\]_&+–—-]+') as list from vals))),
+        exact as (select language, arg_min(code, place) as code from parts join terms on form = term group by language),
+        rest as (select distinct language, form from parts where loose and length(form) >= 4 and language not in (select language from exact)),
+        pairs as (select distinct form as a, term as b from rest, terms where length(term) > 3 and abs(length(form) - length(term)) <= 2),
+        dp(a, b, i, costs) as (
+          select a, b, 0, range(0, length(b) + 1) from pairs
+          union all
+          select a, b, i + 1, list_reduce(list_prepend([i + 1], list_transform(range(1, length(b) + 1), lambda j: [j])), lambda acc, x: list_append(acc, least(acc[-1] + 1, costs[x[1] + 1] + 1, costs[x[1]] + case when a[i + 1] = b[x[1]] then 0 else 1 end))) from dp where i < length(a)),
+        near as (select a, b, costs[-1] as cost from dp where i = length(a) and costs[-1] <= case when length(a) >= 5 then 2 else 1 end),
+        short as (select language, min(code) as code from vals join terms on abbreviated and length(whole) >= 3 and starts_with(term, whole) group by language having count(distinct code) = 1),
+        fuzzy as (select language, code, min(cost) as cost from rest join near on form = a join terms on term = b where language not in (select language from short) group by language, code),
+        best as (select language, min(code) as code from (select *, min(cost) over (partition by language) as least_cost from fuzzy) where cost = least_cost group by language having count(*) = 1)
+        select source, record_id, coalesce(e.code, s.code, b.code, 'none') as lang_code from free left join exact e using (language) left join short s using (language) left join best b using (language)""",
     "p6_found": r"""
         with ev as (
           select distinct 'subtitle_events' as source, false as ass, path, seq, text as body from subtitle_events
