@@ -158,4 +158,15 @@ SQL: dict[str, str] = {
           or regexp_matches(t, '\\[A-Za-z&%$#_(\[]') or regexp_matches(t, '\*\*[^*\n]+\*\*|~~[^~\n]+~~|`[^`\n]+`|```|\]\([^()\n]*\)|\[\[[^\[\]]+\]\]|\{\{[^{}]*\}\}')
           or regexp_matches(t, '(?m)^\{\||^#{1,6} |^[*+] |^> |^\|.*\|$|^={2,6} .* ={2,6}$|^={3,}$') or regexp_matches(t, '(?s)(^|\n)[0-9]{1,3}\. .*\n[0-9]{1,3}\. ')
           or regexp_matches(t, '''''[^'']+''''|``[^`'']+''''') or regexp_matches(t, '(^|[^A-Za-z0-9$])\$\$?[^0-9 $\n][^$\n]*[^ $\n]\$') or regexp_matches(t, '(^|[^A-Za-z0-9_])_[^ _][^_\n]*_($|[^A-Za-z0-9_])')""",
+    "p10_found": r"""
+        select doc_id from documents where
+          regexp_matches(text, '\{\{[^{}]*\}\}|\{%[^{}]*%\}|<%[^<>]*%>|[$#]\{[^{}]*\}|%\([a-z_.]+\)s|\[\[[A-Z_. ]+\]\]|@@[a-z_.]+@@|__[A-Z_.]+__|%[A-Z_.]+%|\$[A-Z_.]+\$|«[a-z]+([_.][a-z]+)*»|\{[a-z_.]+\}|<[a-z ]+ here>|\[(INSERT|TK) [^\]]*\]|\[[a-z ]+ to be inserted\]|XXX')
+          or regexp_matches(text, '(?i)(not found|page missing|gone|forbidden|service unavailable|bad gateway|gateway timed out|too many requests|internal server error)(\n|$|\.? *(\||$)|\.? (the server|something went|please|retry|request id|unhandled|undefined|warning|the archive|we cannot|the [a-z]+ |this [a-z]+ has|you do not|we noticed|confirm|seite|ein interner|der zugriff|das gew|la page|erreur|veuillez|página|compruebe|el servicio|your session|sign in|back to|search|contact|home|sitting|status|error|[a-z]+ not found))')
+          or regexp_matches(text, '(?i)error [0-9]{3}($|\n|\.| [^,]{0,40}(\.|\n|$|\|))|server (could not complete|refused|gave up on) your request|went wrong on our side|please try again later|retry after [0-9]+ seconds|request id [0-9a-f]+|unhandled exception in|undefined variable|did not answer within|we cannot find that|does not exist on this server|unusual traffic|not a robot|you asked for could not|has been moved or deleted|do not have permission to view')
+          or regexp_matches(text, '(?i)seite nicht gefunden|interner fehler ist aufgetreten|zugriff wurde verweigert|protokoll ist nicht verfügbar|demandée est introuvable|erreur interne du serveur|veuillez réessayer|página no encontrada|compruebe la dirección|servicio no está disponible')
+          or regexp_matches(text, '(?i)(please enable|activate|turn on|switch on|need to enable|must allow|veuillez activer|aktivieren sie|active|needs|requires|relies on|allow) (javascript|scripts|client-side scripting)($|[^a-z])')
+          or regexp_matches(text, '(?i)(javascript|scripts|scripting) (is|are|may be) (required|blocked|disabled|turned off|not supported)|browser is out of date|change your settings and reload|loading (this|the) [a-z]+(\.|…|\n|$)')
+          or regexp_matches(text, '(?i)we use cookies|manage choices|(accept|agree) to read|sign in to continue|subscribe or log in|your session has expired|bitte melden sie sich an|vous connecter|inicie sesión|identifíquese')
+          or regexp_matches(text, '(?i)(dolor|adipiscing|eiusmod|ullamco|incididunt|consectetur)|((asdf|qwer|foo bar|text|blah|test|aaa|xyz|lorem)( |$)){3}')
+          or regexp_matches(text, '(?i)sample (transcript|speech|contribution|remarks|paragraph|body text)|goes here|text of the [a-z ]+ to follow|in this box|, do not publish|before release|beispieltext|hier steht später|platzhalter für|texte provisoire|à compléter par|texte d’exemple|texto de relleno|sustituir por|this is a placeholder for')""",
 }

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuewright.llm.residue_exemplars import EXEMPLARS, SLOTS
+from cuewright.llm.residue_exemplars import EXEMPLARS, SLOTS, spelled_out
 from cuewright.runtime import col, require
 
 #: Document frequencies are kept in this many hash buckets, whatever the size of the corpus (2 MB).
@@ -30,7 +30,7 @@ CONTAINED, COVERED = 0.7, 0.6
 #: Matched weight that stands for containment in long exemplars (eight words that one document in 150 has).
 EVIDENCE = 40.0
 #: A window as long as an exemplar that holds this much weight of it, and CLOSE of all its words, is residue inside running text.
-SPLICED, CLOSE = 18.0, 0.85
+SPLICED, CLOSE = 12.0, 0.85
 #: Windows of a passage longer than this many words, and their step.
 LONGEST, WINDOW, STEP = 40, 16, 8
 
@@ -87,7 +87,7 @@ class Index:
         self.exemplars: list[tuple[Counter, float, str]] = []
         self.anchors: dict[str, list[int]] = {}
         for label, text in EXEMPLARS.items():
-            for line in text.strip().split("\n"):
+            for line in spelled_out(text):
                 self._add(Counter(words(line)), label)
         for shape in SLOTS:
             self._add(Counter([f"\x02{shape}\x02"]), "slot")

@@ -1,10 +1,16 @@
 """Labelled residue exemplars.
 
 Fixed values: notices and filler as sites and templates write them, one a
-line, grouped by label. A word that changes from case to case (a thing, a
-place, a number) is left out or given in its usual forms.
+line, grouped by label. Words that change from case to case stand in braces
+and are spelled out by rule; places and numbers are left out.
 """
 
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from itertools import product
+
 EXEMPLARS: dict[str, str] = {
     "error": """
 error not found
@@ -34,38 +40,17 @@ something went wrong on our side
 please try again later
 retry after seconds
 request id
-unhandled exception in render_page at line
-unhandled exception in render_record at line
-unhandled exception in render_transcript at line
-unhandled exception in render_document at line
-unhandled exception in render_file at line
-unhandled exception in render_sitting at line
+unhandled exception in {render_page|render_record|render_document|render_file|render_transcript|render_sitting} at line
 undefined variable speaker on line
 warning undefined variable speaker on line
 the archive did not answer within seconds
-we cannot find that document
-we cannot find that page
-we cannot find that record
-we cannot find that transcript
-we cannot find that file
-we cannot find that sitting
-the page sittings does not exist on this server
-the record sittings does not exist on this server
-the document sittings does not exist on this server
-the file sittings does not exist on this server
-the transcript sittings does not exist on this server
-the sitting sittings does not exist on this server
+we cannot find that {page|record|document|file|transcript|sitting}
+the {page|record|document|file|transcript|sitting} sittings does not exist on this server
 we noticed unusual traffic
 confirm that you are not a robot to go on
-the record you asked for could not be found
-the page you asked for could not be opened
-the transcript you asked for could not be displayed
-the file you asked for could not be loaded
-this page has been moved or deleted
-this record has been moved or deleted
-you do not have permission to view this record
-you do not have permission to view this page
-you do not have permission to view this transcript
+the {page|record|document|file|transcript|sitting} you asked for could not be {found|opened|displayed|loaded}
+this {page|record|document|file|transcript|sitting} has been moved or deleted
+you do not have permission to view this {page|record|document|file|transcript|sitting}
 seite nicht gefunden
 ein interner fehler ist aufgetreten
 der zugriff wurde verweigert
@@ -78,65 +63,19 @@ compruebe la dirección
 el servicio no está disponible en este momento
 """,
     "script": """
-please enable javascript to read the reader
-please enable javascript to view this page
-please enable javascript to open the debate
-please enable scripts to load this transcript
-please enable client-side scripting to read the record
-kindly switch on client-side scripting to load this transcript
-you need to enable client-side scripting to load the debate
-you need to enable scripts to open this page
-activate scripts to load this transcript
-activate client-side scripting to view the record
-activate javascript to load this page
-turn on javascript to load the record
-kindly switch on javascript to view this transcript
-you need to enable javascript to view the debate
-you must allow scripts to view the reader
-this site needs javascript
-this site requires javascript
-this site relies on javascript
-this site needs scripts
-this site requires client-side scripting
-this site relies on client-side scripting
-javascript is required for the record
-scripts are required for this transcript
-client-side scripting is required for the debate
-javascript is blocked in your browser
-javascript is disabled in your browser
-javascript is turned off in your browser
-javascript is not supported in your browser
-scripts are blocked in your browser
-scripts are disabled in your browser
-scripts are turned off in your browser
-scripts are not supported in your browser
-client-side scripting is blocked in your browser
-client-side scripting is disabled in your browser
-client-side scripting is turned off in your browser
-client-side scripting is not supported in your browser
-so this page cannot be shown
-so the record cannot be loaded
-so this transcript cannot be displayed
-your browser is out of date and cannot display the debate
-update it or allow javascript
-update it or allow scripts
-update it or allow client-side scripting
+{please enable|activate|turn on|switch on|kindly switch on|you need to enable|you must allow} {javascript|scripts|client-side scripting} to {read|view|open|load} {the reader|this page|the record|the debate|this transcript}
+this site {needs|requires|relies on} {javascript|scripts|client-side scripting}
+{javascript is|scripts are|client-side scripting is} required for {the reader|this page|the record|the debate|this transcript}
+{javascript is|scripts are|client-side scripting is} {blocked|disabled|turned off|not supported} in your browser
+{javascript is|scripts are|client-side scripting is} {blocked|disabled|turned off|not supported} in your browser so {the reader|this page|the record|the debate|this transcript} cannot be {shown|displayed|loaded}
+your browser is out of date and cannot display {the reader|this page|the record|the debate|this transcript}
+update it or allow {javascript|scripts|client-side scripting}
 change your settings and reload
-if nothing appears javascript may be blocked
-if nothing appears scripts may be blocked
-if nothing appears client-side scripting may be blocked
-loading this page
-loading this transcript
-loading the reader
-bitte aktivieren sie javascript um das protokoll zu laden
-bitte aktivieren sie scripts um die debatte zu lesen
-bitte aktivieren sie client-side scripting um das protokoll zu lesen
-veuillez activer javascript pour lire le compte rendu
-veuillez activer scripts pour afficher le compte rendu
-veuillez activer client-side scripting pour afficher le compte rendu
-active javascript en su navegador para leer el acta
-active scripts en su navegador para ver el acta
-active client-side scripting en su navegador para ver el acta
+if nothing appears {javascript|scripts|client-side scripting} may be blocked
+loading {the reader|this page|the record|the debate|this transcript}
+bitte aktivieren sie {javascript|scripts|client-side scripting} um {das protokoll|die debatte} zu {laden|lesen}
+veuillez activer {javascript|scripts|client-side scripting} pour {lire|afficher} le compte rendu
+active {javascript|scripts|client-side scripting} en su navegador para {leer|ver} el acta
 """,
     "cookie": """
 we use cookies
@@ -165,47 +104,14 @@ foo bar foo bar foo bar
 text text text text
 blah blah blah blah
 test test test test
-sample transcript
-sample speech
-sample contribution
-sample remarks
-sample paragraph
-sample body text
-body text goes here
-remarks goes here
-speech goes here
-contribution goes here
-transcript goes here
-paragraph goes here
-text of the transcript to follow
-text of the speech to follow
-text of the remarks to follow
-text of the contribution to follow
-text of the paragraph to follow
-text of the body text to follow
-type the speech in this box
-type the remarks in this box
-type the transcript in this box
-type the contribution in this box
-type the paragraph in this box
-type the body text in this box
-dummy speech do not publish
-dummy remarks do not publish
-dummy transcript do not publish
-dummy contribution do not publish
-dummy paragraph do not publish
-dummy body text do not publish
-replace this speech before release
-replace this remarks before release
-replace this transcript before release
-replace this contribution before release
-replace this paragraph before release
-replace this body text before release
-this is a placeholder for the speech
-this is a placeholder for the remarks
-this is a placeholder for the transcript
-this is a placeholder for the contribution
-this is a placeholder for the paragraph
+test test test test ok
+sample {speech|remarks|transcript|contribution|paragraph|body text}
+{speech|remarks|transcript|contribution|paragraph|body text} goes here
+text of the {speech|remarks|transcript|contribution|paragraph|body text} to follow
+type the {speech|remarks|transcript|contribution|paragraph|body text} in this box
+dummy {speech|remarks|transcript|contribution|paragraph|body text} do not publish
+replace this {speech|remarks|transcript|contribution|paragraph|body text} before release
+this is a placeholder for the {speech|remarks|transcript|contribution|paragraph|body text}
 beispieltext bitte ersetzen
 hier steht später die rede
 platzhalter für den redebeitrag nr
@@ -237,3 +143,11 @@ SLOTS: dict[str, str] = {
     "to be inserted": r"\[[^\[\]\n]{1,60} to be (?:inserted|added|confirmed|supplied)\]",
     "crosses": r"\bX{3,}(?: X{3,})*\b",
 }
+
+
+def spelled_out(lines: str) -> Iterator[str]:
+    """Every exemplar of a group, one for each choice of the words in braces."""
+    for line in lines.strip().split("\n"):
+        parts = re.split(r"\{([^{}]*)\}", line)
+        for choice in product(*[p.split("|") if i % 2 else [p] for i, p in enumerate(parts)]):
+            yield "".join(choice)
