@@ -241,12 +241,12 @@ def encode_corpus(df: DataFrame, key: str, text: str, folder: str = TOKENIZER_FO
     at = docs.mapInArrow(places, f"key {kind}, whole bigint, pos int, safe boolean, h1 bigint, h2 bigint").join(hot, ["h1", "h2"], "left")
     settled = F.col("hot_ids").isNotNull() | F.col("h1").isNull()
     # Rows that need no join any more get a key of their own, so that none gathers in one partition.
-    at = at.withColumn("j1", F.when(settled, F.xxhash64("key", "whole", "pos")).otherwise(F.col("h1"))).withColumn("j2", F.when(settled, F.lit(None).cast("bigint")).otherwise(F.col("h2")))
+    own1 = F.when(settled, F.xxhash64("key", "whole", "pos")).otherwise(F.col("h1")).alias("j1")
+    own2 = F.when(settled, F.lit(-1).cast("bigint")).otherwise(F.coalesce("h2", F.lit(0).cast("bigint"))).alias("j2")
+    at = at.select("key", "whole", "pos", "safe", "hot_ids", settled.alias("settled"), own1, own2)
     cold = book.select(F.col("h1").alias("j1"), F.col("h2").alias("j2"), "ids")
-    cold = cold.withColumn("j2", F.coalesce("j2", F.lit(0).cast("bigint")))
-    joined = at.withColumn("j2", F.coalesce("j2", F.lit(-1).cast("bigint"))).join(cold, ["j1", "j2"], "left")
-    lost = F.col("h1").isNotNull() & F.col("hot_ids").isNull() & F.col("ids").isNull()
-    found = F.when(lost, F.raise_error(F.lit("a chunk is missing from the book of chunks")).cast("binary")).otherwise(F.coalesce("hot_ids", "ids"))
+    joined = at.join(cold, ["j1", "j2"], "left")
+    found = F.when(~F.col("settled") & F.col("ids").isNull(), F.raise_error(F.lit("a chunk is missing from the book of chunks")).cast("binary")).otherwise(F.when(F.col("settled"), F.col("hot_ids")).otherwise(F.col("ids")))
     part = F.struct("pos", "safe", found.alias("ids"))
     grouped = joined.groupBy("key", "whole").agg(F.sort_array(F.collect_list(part)).alias("parts"))
     twice = F.size(F.filter("parts", lambda p: p.pos == 0)) > 1
