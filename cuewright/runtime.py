@@ -72,7 +72,7 @@ def settle_table(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     _checkpoint_folder(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/{label}-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
