@@ -30,7 +30,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Characters under the rolling hash, mean distance of cuts, least and greatest length of a chunk.
-WINDOW, MEAN, LEAST, MOST = 16, 128, 32, 2048
+WINDOW, MEAN, LEAST, MOST = 16, 256, 64, 4096
 #: Characters hashed at once.
 AT_ONCE = 1 << 19
 #: How far a cut may move to a sure boundary.
