@@ -38,8 +38,38 @@ REACH = 128
 #: Chunks with this share of all occurrences or more are broadcast: at most 1 / HOT_SHARE of them.
 HOT_SHARE = 0.001
 
-_SPACES = np.array([0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], dtype=np.uint32)
-_POWERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WINDOW)], dtype=np.uint64)
+#: White space and controls by code point; all above the table is neither.
+_BLANK = np.zeros(0x3002, dtype=bool)
+_BLANK[[*range(0x21), *range(0x7F, 0xA1), 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_kept_powers: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64, n of each."""
+    if not _kept_powers or len(_kept_powers[0]) < n:
+        size = max(n, 1 << 16)
+        made = []
+        for x in (_BASE, _INVERSE):
+            steps = np.full(size, x, dtype=np.uint64)
+            steps[0] = 1
+            made.append(np.cumprod(steps, dtype=np.uint64))
+        _kept_powers[:] = made
+    return _kept_powers[0][:n], _kept_powers[1][:n]
+
+
+def rolling_hash(points: np.ndarray) -> np.ndarray:
+    """At each place the sum of (point + 1) x base^age over the last WINDOW points, modulo 2^64.
+
+    It is a difference of two prefix sums, scaled back, so it costs the same
+    for any window and hangs on the window's points alone.
+    """
+    up, down = _powers(len(points))
+    sums = np.cumsum((points.astype(np.uint64) + np.uint64(1)) * down, dtype=np.uint64)
+    h = sums.copy()
+    h[WINDOW:] -= sums[:-WINDOW]
+    return h * up
 
 
 def _width(n_ids: int) -> np.dtype:
@@ -112,17 +142,14 @@ def cuts(texts: list[str]) -> list[tuple[list[int], list[bool]]]:
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     n = len(points)
-    h = np.zeros(n, dtype=np.uint64)
-    wide = points.astype(np.uint64) + np.uint64(1)
-    for k in range(min(WINDOW, n)):
-        h[k:] += wide[: n - k] * _POWERS[k]
+    h = rolling_hash(points)
     h ^= h >> np.uint64(29)
     hits = np.flatnonzero((h >> np.uint64(17)) % np.uint64(MEAN) == 0) + 1
     # Cuts hang on their own text alone: no window reaches into the text before, no cut moves into the one after.
     own = np.searchsorted(offsets, hits - 1, side="right") - 1
     inside = hits - offsets[own] >= WINDOW
     hits, ends_at = hits[inside], offsets[own[inside] + 1]
-    blank = (points <= 0x20) | np.isin(points, _SPACES) | ((points >= 0x7F) & (points <= 0x9F))
+    blank = _BLANK[np.minimum(points, 0x3001)]
     sure = np.zeros(n + 1, dtype=bool)
     if n > 2:
         sure[1 : n - 1] = (points[1:-1] == 0x20) & ~blank[:-2] & ~blank[2:]

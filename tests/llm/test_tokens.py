@@ -1,10 +1,11 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from cuewright.llm.tokens import AT_ONCE, MOST, TOKENIZER_FOLDER, VOCABULARY, Codec, cuts, cuts_in_turn, encode_corpus
+from cuewright.llm.tokens import AT_ONCE, MOST, TOKENIZER_FOLDER, VOCABULARY, Codec, cuts, cuts_in_turn, encode_corpus, rolling_hash
 
 PATH = f"{TOKENIZER_FOLDER}/{VOCABULARY}"
 pytestmark = pytest.mark.skipif(not os.path.exists(PATH), reason="no vocabulary files here")
@@ -19,6 +20,14 @@ def test_joins_of_random_halves():
         assert codec.join(codec.encode(text[:at]), codec.encode(text[at:])) == codec.encode(text)
 
 
+def test_rolling_hash_is_the_plain_sum():
+    points = np.array([random.Random(3).randrange(1 << 20) for _ in range(200)], dtype=np.uint32)
+    base = 0x9E3779B97F4A7C15
+    for i, h in enumerate(rolling_hash(points)):
+        assert int(h) == sum((int(points[i - k]) + 1) * pow(base, k, 1 << 64) for k in range(min(16, i + 1))) % (1 << 64)
+    assert len(rolling_hash(points[:3])) == 3 and len(rolling_hash(points[:0])) == 0
+
+
 def hard_texts():
     rnd = random.Random(7)
     words = ["harbour", "the", "of", "Zoë’s", "120", "(Applause.)", "中文文本没有空格", "—"]
