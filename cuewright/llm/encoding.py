@@ -47,6 +47,8 @@ _LOST = re.compile(r"�")
 _LATIN = re.compile(r"[A-Za-z0-9\u00c0-\u024f]")
 _IDEOGRAPH = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 _MIXED = re.compile(r"[A-Za-z][\u0370-\u04ff]|[\u0370-\u04ff][A-Za-z]")
+_LETTERLIKE = re.compile(r"[^\x00-\x7f‘’“”„–—…«»°§·¿¡]")
+_BOXES = re.compile(r"[\u2500-\u259f]")
 _WORD_WITH_PLAIN = re.compile(r"[A-Za-z][^\x00-\x7f]|[^\x00-\x7f][A-Za-z]")
 #: Signs between letters, or several on end: words have none.
 _SIGNS = re.compile(r"\w[¡-©«-±´¶¸»¿\xa0‚„†‡‰‹›€™]\w|[¤¦¨©¬®±¶¸¹²³¼½¾¿][ª²³¹¤¦¨©¬®±¶¸¼½¾¿]|[\w][²³¹][^\W\d]")
@@ -160,6 +162,9 @@ def undo_chain(token: str, chain: Sequence[Step]) -> str | None:
     if chain[0][1] in _WIDE and (_LATIN.search(now) or not _IDEOGRAPH.search(now)):
         return None
     if chain[0][1] != "utf-8":
+        # Punctuation alone is no sign of a wrong single-byte encoding, nor do words hold box-drawing characters.
+        if not _LETTERLIKE.search(token) or _BOXES.search(now):
+            return None
         # A word is of one script; and a western word that was misread keeps its plain letters.
         if _MIXED.search(now) and not _MIXED.search(token):
             return None
