@@ -30,8 +30,10 @@ from cuewright.runtime import col, require
 PAGE_LINES = 12
 SIGMA = 1.0
 
-#: What a record with markup has at least one of (Java regex, evaluated before Python sees a row).
-SUSPECT = r"[<&{}\\*_#|`~=$\[\]>]|''|(?m)^\s*(?:\+|\d{1,3}[.)])\s"
+#: What a record with markup has at least one of (Java regex, evaluated before Python sees a row). Signs that count at the
+#: start of a line only are let through anywhere where a Dialogue line's fields may stand before its Text part; \S stands
+#: for the digits of any script.
+SUSPECT = r"[<&{}\\*_#|`~=$\[\]>]|''|\+[ \t]|-[ \t]*-[ \t]*-|(?m)^[ \t]*\S{1,3}[.)][ \t]"
 
 _ENTITY = re.compile(r"&(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 

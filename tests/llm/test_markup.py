@@ -65,3 +65,12 @@ def test_rows(spark):
     clean = strip_markup(df, ["p", "n"], "t", "a")
     assert clean.count() == 8 and clean.where("p = 'b' and n = 1").first()["clean_text"] == "x"
     assert find_markup(df.limit(0), ["p"], "t").count() == 0
+
+
+def test_first_filter_lets_everything_through_that_the_parser_finds(spark):
+    plain = ["Opening words\n---\nThe mill is shut.", "Head\n-----", "---", "- - -", "a\n- - - -\nb", "  -----  ", "+ a\n+ b", "١. a\n٢. b"]
+    ass = [f"Default,,0,0,0,,{t}" for t in ("---", "- - -", "+ a", "1. a\n2. b")]
+    rows = [(t, False) for t in plain] + [(t, True) for t in ass] + [("- Who?\n- Me.", False), ("well -- no", False), ("Mr. X\nNo. 2", False)]
+    df = spark.createDataFrame(rows, "t string, a boolean")
+    found = {r["t"] for r in find_markup(df, ["t"], "t", "a").collect()}
+    assert found == {*plain, *ass} == {r["t"] for r in strip_markup(df, ["t"], "t", "a").where("had_markup").collect()}
