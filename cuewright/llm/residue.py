@@ -38,7 +38,7 @@ _WORD = re.compile(r"[^\W\d]+(?:['’-][^\W\d]+)*|\d[\w/.-]*|\x02[a-z ]+\x02")
 _PLAIN_WORD = re.compile(r"[^\W\d]+(?:['’-][^\W\d]+)*")
 _SPLIT = re.compile(r"[.!?…]+(?=[\s\"”’)\]]|$)|[\n|]|[;:]\s")
 #: What a placeholder has at least one of; cheaper than trying all shapes everywhere.
-_SLOT_SIGN = re.compile(r"\{[{%A-Za-z_]|<[%a-z]|[$#]\{|%[(A-Z]|\$[A-Z]|\[\[|@@|__[A-Z]|«[a-z]|\[(?:INSERT|TK|TB|TODO)| to be (?:inserted|added|confirmed|supplied)\]|XXX")
+_SLOT_SIGN = re.compile(r"\{[{%A-Za-z_]|<[%a-z]|[$#]\{|%[(A-Z]|\$[A-Z]|\[\[|@@|__[A-Z]|«[a-z]|\[(?:INSERT|TK|TB|TODO)|\sto\s+be\s+(?:inserted|added|confirmed|supplied)\]|XXX")
 _SLOT = re.compile("|".join(f"(?P<s{i}>{p})" for i, p in enumerate(SLOTS.values())))
 _SLOT_NAMES = list(SLOTS)
 

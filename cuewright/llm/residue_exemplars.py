@@ -123,13 +123,13 @@ sustituir por la intervención
 """,
 }
 
-#: Unfilled placeholders by shape; each shape is a token of its own, and an exemplar of itself.
+#: Unfilled placeholders by shape, of any length and over line breaks; each shape is a token of its own, and an exemplar of itself.
 SLOTS: dict[str, str] = {
-    "double braces": r"\{\{[^{}\n]{0,60}\}\}",
-    "template tag": r"\{%[^{}%\n]{0,80}%\}",
-    "server tag": r"<%[^<>%\n]{0,80}%>",
-    "dollar braces": r"\$\{[^{}\n]{0,60}\}",
-    "hash braces": r"#\{[^{}\n]{0,60}\}",
+    "double braces": r"\{\{[^{}]*\}\}",
+    "template tag": r"\{%[^{}%]*%\}",
+    "server tag": r"<%[^<>%]*%>",
+    "dollar braces": r"\$\{[^{}]*\}",
+    "hash braces": r"#\{[^{}]*\}",
     "percent name": r"%\([A-Za-z_][\w.]*\)[sdifr]",
     "double brackets": r"\[\[[A-Z][A-Z0-9_. ]*\]\]",
     "at signs": r"@@[A-Za-z_][\w.]*@@",
@@ -138,9 +138,9 @@ SLOTS: dict[str, str] = {
     "dollar signs": r"\$[A-Z][A-Z0-9_]*\$",
     "guillemets": r"«[a-z]+(?:[_.][a-z]+)*»",
     "braces": r"\{[A-Za-z_][A-Za-z0-9_.]*\}",
-    "angle brackets": r"<[a-z][a-z_ .]{0,40} here>",
-    "insert": r"\[(?:INSERT|TK|TBC|TBD|TODO)\b[^\[\]\n]{0,60}\]",
-    "to be inserted": r"\[[^\[\]\n]{1,60} to be (?:inserted|added|confirmed|supplied)\]",
+    "angle brackets": r"<[a-z][a-z_.\s]*\shere>",
+    "insert": r"\[(?:INSERT|TK|TBC|TBD|TODO)\b[^\[\]]*\]",
+    "to be inserted": r"\[[^\[\]]+\sto\s+be\s+(?:inserted|added|confirmed|supplied)\]",
     "crosses": r"\bX{3,}(?: X{3,})*\b",
 }
 

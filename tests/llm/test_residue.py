@@ -58,3 +58,12 @@ def test_edges(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as label", "2 as `key`", "3 as bucket")
     assert sorted(map(tuple, label_residue(df, "doc_id", "text").collect()), key=str) == [(5, "cookie"), (6, "slot"), (None, "slot")]
     assert label_residue(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_placeholders_of_any_length_and_over_line_breaks():
+    long = "the full text of the contribution as delivered from the floor of the chamber " * 3
+    for text in ("{{ speech.body | default('the full text of the contribution will appear here') }}", f"{{% include '{long}' %}}", f"<% {long} %>", f"${{{long}}}", f"#{{{long}}}",
+                 f"<{long}here>", f"[INSERT {long}]", "[INSERT the full text of the contribution as delivered from the floor of the chamber]", f"[{long} to be inserted]", "{{ speech\n.body }}", "[TK the\nfull text]", "[the speech to\n  be supplied]", "<the\nspeaker\nhere>"):
+        assert "\x02" in marked(f"He rose. {text} He sat."), text
+    for text in ("[lines 239 to 283] to be inserted", "a {b and} c}}", "<b and here", "{{ " * 200_000, "[ to be" * 200_000):
+        assert "\x02" not in marked(text), text[:40]
