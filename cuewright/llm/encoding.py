@@ -44,7 +44,9 @@ _TOKEN = re.compile(r"[^ \t\n\r]+")
 #: Two signs on end that several-byte text misread as western has.
 _FOREIGN = re.compile(r"[\x80-\xff‚ƒ„…†‡ˆ‰Š‹Œ‘’“”•–—˜™š›œžŸŽ€]{2}")
 _LOST = re.compile(r"�")
-_LATIN = re.compile(r"[A-Za-z0-9\u00c0-\u024f]")
+_ACCENTED = re.compile(r"[\u00c0-\u024f]")
+_LATIN = re.compile(r"[A-Za-z]")
+_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _IDEOGRAPH = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 _MIXED = re.compile(r"[A-Za-z][\u0370-\u04ff]|[\u0370-\u04ff][A-Za-z]")
 _LETTERLIKE = re.compile(r"[^\x00-\x7f‘’“”„–—…«»°§·¿¡]")
@@ -149,6 +151,15 @@ def _undo(token: str, step: Step) -> str | None:
     return out if changed else None
 
 
+def _westernish(text: str, right: str) -> bool:
+    """Whether Latin letters stand beside decoded ones in a word of which they are a third of the bytes or more."""
+    for m in _WORD.finditer(text):
+        latin = len(_LATIN.findall(m[0]))
+        if latin and not m[0].isascii() and 2 * latin >= sum(b >= 0x80 for b in m[0].encode(right, "replace")):
+            return True
+    return False
+
+
 def undo_chain(token: str, chain: Sequence[Step]) -> str | None:
     """The token before the chain, or None where it can't have come from it."""
     now: str | None = token
@@ -158,8 +169,8 @@ def undo_chain(token: str, chain: Sequence[Step]) -> str | None:
             return None
     if now == token or not now or _LOST.search(now):
         return None
-    # Text of the scripts that need several bytes a character isn't mixed with Latin letters inside a word.
-    if chain[0][1] in _WIDE and (_LATIN.search(now) or not _IDEOGRAPH.search(now)):
+    # Text of the scripts that need several bytes a character may hold digits, tags and Latin words, but western words hold none of it.
+    if chain[0][1] in _WIDE and (_ACCENTED.search(now) or not _IDEOGRAPH.search(now) or _westernish(now, chain[0][1])):
         return None
     if chain[0][1] != "utf-8":
         # Punctuation alone is no sign of a wrong single-byte encoding, nor do words hold box-drawing characters.

@@ -71,3 +71,17 @@ def test_empty(spark):
     df = spark.createDataFrame([("a", 1, "x", "f")], "src string, i int, text string, fld string")
     assert garbled_records(df.limit(0), ["i"], "text", "src", "fld").count() == 0
     assert garbled_records(df, ["i"], "text", "src", "fld").count() == 0
+
+
+def test_digits_tags_and_latin_words_in_text_of_several_bytes_a_character(spark):
+    wide = [("euc_jp", "第3章"), ("cp932", "第3章"), ("euc_jp", "<i>手紙を読んで</i>"), ("cp932", "<i>古い橋が</i>"), ("gbk", "第12章：<b>雪</b>"), ("big5", "(OK)雪"), ("euc_kr", "제3장"), ("euc_jp", "「OK」と聞こえる"), ("euc_jp", "TVを見ていた")]
+    for right, text in wide:
+        assert undo_chain(text.encode(right).decode("latin-1"), (("latin-1", right),)) == text
+    for word in ("Fräulein", "süß", "NÃO", "préférée", "l’élève", "l'élève", "größer", "StraÃ\x9fe"):
+        assert all(undo_chain(word, ((w, t),)) is None for w in ("latin-1", "cp1252") for t in ("euc_jp", "cp932", "gbk", "big5", "euc_kr")), word
+    marked = ["第3章", "<i>手紙を読んで</i>", "<i>雪が降る</i>", "もう一度2", "第4章<b>古い橋が</b>"]
+    rows = [*[r[:3] for r in corpus(2)], *[("d", 6000 + i, t) for i, t in enumerate(marked * 10)]]
+    bad = {7000 + 10 * i + j: (t, t.encode(right).decode("latin-1")) for i, t in enumerate(marked) for j, right in enumerate(("euc_jp", "cp932"))}
+    df = spark.createDataFrame([*rows, *[("d", i, b) for i, (_, b) in bad.items()]], "src string, i int, text string").selectExpr("*", "'f' as fld")
+    got = {r["i"]: r["restored_text"] for r in garbled_records(df, ["src", "i"], "text", "src", "fld", repaired=True).collect() if r["i"] >= 6000}
+    assert got == {i: t for i, (t, _) in bad.items()}
