@@ -113,6 +113,23 @@ def _pair(name: str) -> re.Pattern:
 _PAIR = {name: _pair(name) for name in _SINGLE}
 
 
+def _misread_losses() -> list[str]:
+    """What the mark of a lost character becomes when its UTF-8 bytes are misread, once or more."""
+    # Bytes 80 to 9F come as signs or as control characters.
+    signs = {name: [{b: chr(c) for c, b in items} for items in (table.items(), reversed(table.items()))] for name, table in _BYTES.items()}
+    out: set[str] = set()
+    for chain in CHAINS:
+        if all(right == "utf-8" for _, right in chain):
+            texts = {"\ufffd"}
+            for wrong, _ in reversed(chain):
+                texts = {"".join(sign[b] for b in text.encode()) for text in texts for sign in signs[wrong]}
+            out |= texts
+    return sorted(out, key=lambda x: (-len(x), x))
+
+
+_MISREAD_LOSS = re.compile("|".join(map(re.escape, _misread_losses())))
+
+
 @lru_cache(maxsize=64)
 def _encoded(token: str, name: str) -> bytes | None:
     try:
@@ -167,7 +184,7 @@ def undo_chain(token: str, chain: Sequence[Step]) -> str | None:
         now = _undo(now, step)  # type: ignore[arg-type]
         if now is None:
             return None
-    if now == token or not now or _LOST.search(now):
+    if now == token or not now or _LOST.search(now) or _MISREAD_LOSS.search(now):
         return None
     # Text of the scripts that need several bytes a character may hold digits, tags and Latin words, but western words hold none of it.
     if chain[0][1] in _WIDE and (_ACCENTED.search(now) or not _IDEOGRAPH.search(now) or _westernish(now, chain[0][1])):
@@ -302,7 +319,7 @@ class Model:
             if _FOREIGN.search(token):
                 for k, g in self.gain(token, True):
                     out[k] = out.get(k, 0.0) + g
-        if _LOST.search(text):
+        if _LOST.search(text) or _MISREAD_LOSS.search(text):
             out[-1] = LOSSY
         elif _CONTROL.search(text) and not out:
             out[-1] = LOSSY / 2

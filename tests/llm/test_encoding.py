@@ -85,3 +85,12 @@ def test_digits_tags_and_latin_words_in_text_of_several_bytes_a_character(spark)
     df = spark.createDataFrame([*rows, *[("d", i, b) for i, (_, b) in bad.items()]], "src string, i int, text string").selectExpr("*", "'f' as fld")
     got = {r["i"]: r["restored_text"] for r in garbled_records(df, ["src", "i"], "text", "src", "fld", repaired=True).collect() if r["i"] >= 6000}
     assert got == {i: t for i, (t, _) in bad.items()}
+
+
+def test_a_lost_character_that_was_misread_again_is_loss(spark):
+    lost = ["Caf�".encode().decode(w) for w in ("cp1252", "latin-1", "cp1251", "cp437", "mac_roman", "cp1250")]
+    lost += [x.encode().decode("cp1252") for x in lost[:1]] + ["Caf�".encode().decode("cp1251").encode().decode("cp1251")]
+    rows = [*[("a", i, t) for i, t in enumerate(lost)], ("a", 100, "¿Qué?"), ("a", 101, "ï"), ("a", 102, "я ПН"), ("a", 103, "Café ½")]
+    df = spark.createDataFrame([*rows, *[("a", 5000 + r[1], r[2]) for r in corpus(3) if r[3] is None]], "src string, i int, text string").selectExpr("*", "'f' as fld")
+    got = {r["i"]: (r["chain"], r["restored_text"]) for r in garbled_records(df, ["i"], "text", "src", "fld", repaired=True).where("i < 200").collect()}
+    assert got == {i: ("loss", None) for i in range(len(lost))}
