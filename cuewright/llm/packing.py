@@ -79,11 +79,25 @@ def pack_vectors(demand: np.ndarray, limits: Sequence[float]) -> list[list[int]]
     return out
 
 
+def _aside_tokens(text: str, lengths: np.ndarray) -> int:
+    """Tokens, by their lengths in bytes, that end inside a bracketed part of the text."""
+    ends = None
+    n = at = at_byte = 0
+    for m in _ASIDE.finditer(text):
+        if ends is None:
+            ends = np.cumsum(lengths)
+        first = at_byte + len(text[at : m.start()].encode())
+        at, at_byte = m.end(), first + len(m[0].encode())
+        n += int(np.searchsorted(ends, at_byte, "right") - np.searchsorted(ends, first, "right"))
+    return n
+
+
 def token_counts(df: DataFrame, keys: Sequence[str], text: str, folder: str = TOKENIZER_FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:
     """keys + (n_tokens, n_loss_tokens) of each text; null and empty ones have none.
 
     Loss-bearing are the tokens outside bracketed interruptions and stage
-    directions, which a model should not learn to speak.
+    directions, which a model should not learn to speak; a token counts where
+    its last byte stands.
     """
     require(df, *keys, text)
     path = f"{folder}/{vocabulary}"
@@ -93,13 +107,12 @@ def token_counts(df: DataFrame, keys: Sequence[str], text: str, folder: str = TO
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path)
         for batch in batches:
-            sizes, aside = [], []
+            sizes, loss = [], []
             for t in batch.column(len(ks)).to_pylist():
-                n = len(codec.encode(t)) if t else 0
-                inside = sum(len(m) for m in _ASIDE.findall(t)) if t and n else 0
-                sizes.append(n)
-                aside.append(n - min(n, n * inside // len(t)) if n else 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(ks)], pa.array(sizes, pa.int64()), pa.array(aside, pa.int64())], [*ks, "n_tokens", "n_loss_tokens"])
+                ids = codec.encode(t) if t else []
+                sizes.append(len(ids))
+                loss.append(len(ids) - _aside_tokens(t, codec.lengths[ids]) if ids else 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(ks)], pa.array(sizes, pa.int64()), pa.array(loss, pa.int64())], [*ks, "n_tokens", "n_loss_tokens"])
 
     rows = df.select(*[col(k).alias(a) for k, a in zip(keys, ks)], col(text).alias("t"))
     out = rows.mapInArrow(run, f"{kinds}, n_tokens bigint, n_loss_tokens bigint")

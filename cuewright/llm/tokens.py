@@ -88,6 +88,9 @@ class Codec:
         self.encoding = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.pattern = regex.compile(pattern)
         self.width = _width(max(ranks.values(), default=0) + 1)
+        #: Bytes of each token.
+        self.lengths = np.zeros(max(ranks.values(), default=0) + 1, dtype=np.int64)
+        self.lengths[list(ranks.values())] = [len(x) for x in ranks]
 
     def packed(self, ids: list[int]) -> bytes:
         return np.asarray(ids, dtype=self.width).tobytes()

@@ -75,3 +75,23 @@ def test_counts(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "one two three"), (4, "(Applause.)"), (5, "x " * 50_000)], "d long, t string")
     got = {r["d"]: (r["n_tokens"], r["n_loss_tokens"]) for r in token_counts(df, ["d"], "t").collect()}
     assert got[1] == got[2] == (0, 0) and got[3] == (3, 3) and got[4][0] > 0 and got[4][1] == 0 and got[5][0] > 49_000
+
+
+@pytest.mark.skipif(not os.path.isdir(TOKENIZER_FOLDER), reason="no tokenizer here")
+def test_loss_tokens_are_counted_from_the_tokens(spark):
+    from cuewright.llm.tokens import Codec
+
+    codec = Codec.of(f"{TOKENIZER_FOLDER}/{VOCABULARY}")
+    texts = ["I rise. [żółć żółć żółć] The bridge stands.", "Yes (12 34 56 78 90 ☃☃☃) and no [Applause].", "ü (x)(y) ü [z", "no brackets at all", "[all of it]", ""]
+    rows = {r["i"]: r for r in token_counts(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), ["i"], "t").collect()}
+    for i, t in enumerate(texts):
+        inside = [False] * len(t.encode())
+        for part in ("[żółć żółć żółć]", "(12 34 56 78 90 ☃☃☃)", "[Applause]", "(x)", "(y)", "[all of it]"):
+            if part in t:
+                start = t.encode().index(part.encode())
+                inside[start : start + len(part.encode())] = [True] * len(part.encode())
+        ids, at, want = codec.encode(t), 0, 0
+        for x in ids:
+            at += len(codec.encoding.decode_single_token_bytes(x))
+            want += not inside[at - 1]
+        assert (rows[i]["n_tokens"], rows[i]["n_loss_tokens"]) == (len(ids), want), t
