@@ -4,10 +4,15 @@ A text runs through the standard library's streaming HTML parser; its events
 are joined by those of scanners for the other dialects (subtitle override
 codes, Markdown, wiki, LaTeX) over the character data. A record has markup if
 any event but text came. Clean text is written from the same events and keeps
-headings, lists, code, formulas and line breaks. In page-like texts of many
-lines the text-to-tag ratio of each line, smoothed by a Gaussian, is split in
-two clusters by a threshold, and lines of the low cluster that hold nothing
-but link or menu text are left out.
+headings, lists, code, formulas and line breaks.
+
+Every event tells how many characters of the source are markup, so each line
+of each text, however short, has a ratio of text to tags. It is held as the
+share of markup, which is 0 without any and bounded. Smoothed by a Gaussian
+along the lines it makes a curve: a record has markup where the curve leaves
+zero. Of all curves over the corpus two clusters are made, whose threshold
+parts content from dense regions; in these, lines emptied by their markup and
+runs of lines that hold nothing but links are no content.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from functools import lru_cache
 from html.entities import html5
 from html.parser import HTMLParser
@@ -26,9 +32,9 @@ from pyspark.sql import functions as F
 from cuewright.llm.runs import ass_text
 from cuewright.runtime import col, require
 
-#: Lines from which a text counts as a page and is searched for content regions.
-PAGE_LINES = 12
 SIGMA = 1.0
+#: Bins of the corpus's histogram of smoothed shares, from which the threshold is made.
+BINS = 1000
 
 #: What a record with markup has at least one of (Java regex, evaluated before Python sees a row). Signs that count at the
 #: start of a line only are let through anywhere where a Dialogue line's fields may stand before its Text part; \S stands
@@ -101,8 +107,10 @@ _LIST_LINE = re.compile(r"^[ \t]*\d{1,3}[.)][ \t]+\S", re.M)
 _BLOCK_TAGS = {"p", "div", "br", "tr", "table", "ul", "ol", "section", "article", "header", "footer", "nav", "blockquote", "hr", "pre"}
 _HEADINGS = {f"h{i}": "#" * i for i in range(1, 7)}
 _HIDDEN_TAGS = {"script", "style", "ref"}
+_LINK_TAGS = {"a", "nav", "menu"}
 
-Event = tuple[str, str]
+#: Kind, value, and how many characters of the source are markup (0 for plain text only).
+Event = tuple[str, str, int]
 
 
 class _Reader(HTMLParser):
@@ -113,28 +121,28 @@ class _Reader(HTMLParser):
         self.events: list[Event] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.events.append(("open", tag))
+        self.events.append(("open", tag, len(self.get_starttag_text() or "<>")))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.events.append(("single", tag))
+        self.events.append(("single", tag, len(self.get_starttag_text() or "<>")))
 
     def handle_endtag(self, tag: str) -> None:
-        self.events.append(("close", tag))
+        self.events.append(("close", tag, len(tag) + 3))
 
     def handle_comment(self, data: str) -> None:
-        self.events.append(("comment", data))
+        self.events.append(("comment", data, len(data) + 3))
 
     def handle_decl(self, decl: str) -> None:
-        self.events.append(("comment", decl))
+        self.events.append(("comment", decl, len(decl) + 3))
 
     def handle_pi(self, data: str) -> None:
-        self.events.append(("comment", data))
+        self.events.append(("comment", data, len(data) + 3))
 
     def unknown_decl(self, data: str) -> None:
-        self.events.append(("comment", data))
+        self.events.append(("comment", data, len(data) + 3))
 
     def handle_data(self, data: str) -> None:
-        self.events.append(("text", data))
+        self.events.append(("text", data, 0))
 
 
 def _is_reference(name: str) -> bool:
@@ -148,7 +156,7 @@ _TAG_LIKE = re.compile(r"<(?=/?[A-Za-z][^<>]*>|!--|\?xml|!DOCTYPE)|<\d\d?:\d\d(?
 def _html_events(text: str) -> list[Event]:
     """Events of the HTML layer; plain '<' and '&' stay text."""
     if "<" not in text or not _TAG_LIKE.search(text):
-        return [("text", text)]
+        return [("text", text, 0)]
     reader = _Reader()
     # References are left to the dialect stage; plain signs are set aside so that the parser takes them as text.
     held = text.replace("&", "\ue000")
@@ -158,14 +166,14 @@ def _html_events(text: str) -> list[Event]:
         reader.feed(held)
         reader.close()
     except AssertionError:  # a malformed declaration
-        return [("text", text)]
+        return [("text", text, 0)]
     merged: list[Event] = []
-    for kind, value in reader.events:
+    for kind, value, signs in reader.events:
         value = value.replace("\ue000", "&").replace("\ue001", "<")
         if kind == "text" and merged and merged[-1][0] == "text":
-            merged[-1] = ("text", merged[-1][1] + value)
+            merged[-1] = ("text", merged[-1][1] + value, 0)
         else:
-            merged.append((kind, value))
+            merged.append((kind, value, signs))
     return merged
 
 
@@ -193,10 +201,11 @@ def _scan_text(text: str, at_line_start: bool, ass: bool) -> Iterator[Event]:
         if m.start() > at:
             yield from _plain(text[at : m.start()], ass)
         inner = next((v for k, v in m.groupdict().items() if v is not None and k.startswith(kind + "_") and not k.endswith("_m")), "")
+        signs = 1 if kind == "latexsign" else m[0].count("|") if kind in ("table", "wikitable") else max(1, len(m[0]) - len(inner))
         if kind in ("heading", "wikiheading"):
-            yield kind, m.group(kind + "_m") + " " + inner
+            yield kind, m.group(kind + "_m") + " " + inner, signs
         else:
-            yield kind, m[0] if kind in ("table", "wikitable", "latexsign") else inner
+            yield kind, m[0] if kind in ("table", "wikitable", "latexsign") else inner, signs
         at = m.end()
     if at < len(text):
         yield from _plain(text[at:], ass)
@@ -208,7 +217,7 @@ def _plain(text: str, ass: bool) -> Iterator[Event]:
         for m in _ASS_COMMENT.finditer(text):
             if m.start() > at:
                 yield from _plain(text[at : m.start()], False)
-            yield "comment", m[0]
+            yield "comment", m[0], len(m[0])
             at = m.end()
         text = text[at:]
         at = 0
@@ -217,15 +226,15 @@ def _plain(text: str, ass: bool) -> Iterator[Event]:
             if not _is_reference(m[1]):
                 continue
             if m.start() > at:
-                yield "text", text[at : m.start()]
-            yield "reference", _reference(m)
+                yield "text", text[at : m.start()], 0
+            yield "reference", _reference(m), len(m[0]) - 1
             at = m.end()
     if at < len(text):
-        yield "text", text[at:]
+        yield "text", text[at:], 0
 
 
 def markup_events(text: str, ass: bool = False) -> Iterator[Event]:
-    """(kind, value) of the parts of a text in order; kind 'text' is plain.
+    """(kind, value, markup characters) of the parts of a text in order; kind 'text' is plain.
 
     ass: the text is of a Dialogue line, where \\N breaks the line and braces comment.
     """
@@ -234,36 +243,16 @@ def markup_events(text: str, ass: bool = False) -> Iterator[Event]:
     if ass and _ASS_BREAK.search(text):
         # Line patterns of the other dialects see the breaks that are shown.
         body = _ASS_BREAK.sub(lambda m: "\n" if m[0] == "\\N" else " ", text)
-        yield "shown", ""
-    for kind, value in _html_events(body):
+        yield "shown", "", len(_ASS_BREAK.findall(text)) * 2
+    for kind, value, signs in _html_events(body):
         if kind != "text":
-            yield kind, value
+            yield kind, value, signs
             fresh = fresh or value in _BLOCK_TAGS
             continue
         yield from _scan_text(value, fresh, ass)
         fresh = value.endswith("\n")
 
 
-def has_markup(text: str | None, ass: bool = False) -> bool:
-    """Whether any markup event comes; null and blank texts have none."""
-    return bool(text) and any(kind != "text" for kind, _ in markup_events(text, ass))
-
-
-def _clusters(ratios: Sequence[float]) -> float:
-    """Threshold between two clusters of the smoothed ratios (one-dimensional 2-means)."""
-    low, high = min(ratios), max(ratios)
-    for _ in range(20):
-        cut = (low + high) / 2
-        a, b = [r for r in ratios if r <= cut], [r for r in ratios if r > cut]
-        if not a or not b:
-            break
-        new = (sum(a) / len(a), sum(b) / len(b))
-        if new == (low, high):
-            break
-        low, high = new
-    return (low + high) / 2
-
-
 def smoothed(ratios: Sequence[float], sigma: float = SIGMA) -> list[float]:
     """Gaussian smoothing with the kernel cut at three sigma and renormed at the ends."""
     reach = max(1, math.ceil(3 * sigma))
@@ -279,41 +268,112 @@ def smoothed(ratios: Sequence[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
-def _content_lines(lines: Sequence[tuple[str, int, bool]]) -> list[str]:
-    """Lines of the content regions: (text, tags before and in it, keeps its place in any case)."""
-    if len(lines) < PAGE_LINES or not any(tags for _, tags, _ in lines):
-        return [t for t, _, _ in lines]
-    ratios = smoothed([len(t) / max(1, tags) for t, tags, _ in lines])
-    cut = _clusters(ratios)
-    return [t for (t, tags, fixed), r in zip(lines, ratios) if fixed or r > cut or tags == 0]
+@dataclass(slots=True)
+class Line:
+    """A line as it reads without markup, with what stood in it."""
+
+    text: str
+    #: Characters of markup in it and since the line before.
+    signs: int
+    #: Headings, list items, code, formulas and table rows keep their place in any region.
+    fixed: bool
+    #: Characters of text inside links and menus.
+    linked: int
+
+    @property
+    def share(self) -> float:
+        return self.signs / (self.signs + len(self.text.strip())) if self.signs else 0.0
+
+
+def curve(lines: Sequence[Line]) -> list[float]:
+    """The smoothed share of markup along the lines; exactly 0 away from any. Blank lines take no part and have 0."""
+    at = [i for i, x in enumerate(lines) if x.signs or x.text.strip()]
+    out = [0.0] * len(lines)
+    for i, y in zip(at, smoothed([lines[i].share for i in at])):
+        out[i] = y
+    return out
+
+
+def has_markup(text: str | None, ass: bool = False) -> bool:
+    """Whether the curve leaves zero, as it does around any markup event; null and blank texts have none."""
+    return bool(text) and any(y > 0.0 for y in curve(read_lines(text, ass)))
+
+
+def two_clusters(counts: Sequence[float]) -> float:
+    """The threshold between two clusters of a histogram over [0, 1] (one-dimensional 2-means from its ends)."""
+    at = [(i / (len(counts) - 1), n) for i, n in enumerate(counts) if n] if len(counts) > 1 else []
+    if not at:
+        return 0.5
+    low, high = at[0][0], at[-1][0]
+    for _ in range(100):
+        cut = (low + high) / 2
+        below, above = [x for x in at if x[0] <= cut], [x for x in at if x[0] > cut]
+        if not below or not above:
+            break
+        means = tuple(sum(x * n for x, n in side) / sum(n for _, n in side) for side in (below, above))
+        if means == (low, high):
+            break
+        low, high = means
+    return (low + high) / 2
+
+
+def _content(lines: Sequence[Line], cut: float) -> list[str]:
+    """Lines of the content regions.
+
+    In dense regions (the curve is above the cut) a line goes if its markup
+    was all it held, or if it and the next or last line with text hold nothing
+    but links. Where no line with text lies outside the dense regions, only
+    emptied lines go.
+    """
+    dense = [y > cut for y in curve(lines)]
+    full = [i for i, x in enumerate(lines) if x.text.strip()]
+    bare = [not lines[i].fixed and lines[i].linked >= len(lines[i].text.strip()) for i in full]
+    runs = {i for n, i in enumerate(full) if bare[n] and (bare[n - 1 : n] == [True] or bare[n + 1 : n + 2] == [True])}
+    content = any(not dense[i] for i in full)
+    gone = lambda i, x: dense[i] and not x.fixed and ((x.signs and not x.text.strip()) or (content and i in runs))
+    return [x.text for i, x in enumerate(lines) if not gone(i, x)]
 
 
-def clean_text(text: str | None, ass: bool = False) -> str | None:
+def clean_text(text: str | None, ass: bool = False, cut: float = 0.5) -> str | None:
     """The text without markup, with headings, lists, code, formulas and line breaks kept.
 
     Headings come as '# title', list items as '- item', code in backticks,
     formulas in dollar signs, table rows as their cells between bars. Null is
-    null; a text without markup comes back as it is.
+    null; a text without markup comes back as it is. cut is the threshold of
+    dense regions, see markup_threshold().
     """
     if not text:
         return text
-    lines: list[tuple[str, int, bool]] = []
+    lines = read_lines(text, ass)
+    if not any(x.signs for x in lines):
+        return text
+    return "\n".join(re.sub(r"[ \t]{2,}", " ", x).strip() for x in _content(lines, cut)).strip("\n")
+
+
+def read_lines(text: str, ass: bool = False) -> list[Line]:
+    """The lines of a text, written from its events."""
+    lines: list[Line] = []
     now: list[str] = []
-    tags = 0
+    signs = linked = links = 0
     fixed = False
     hidden: list[str] = []
 
     def end() -> None:
-        nonlocal now, tags, fixed
-        lines.append(("".join(now), tags, fixed))
-        now, tags, fixed = [], 0, False
+        nonlocal now, signs, linked, fixed
+        lines.append(Line("".join(now), signs, fixed, linked))
+        now, signs, linked, fixed = [], 0, 0, False
+
+    def put(value: str, inside: bool = False) -> None:
+        nonlocal linked
+        now.append(value)
+        linked += len(value.strip()) if inside or links else 0
 
     def write(value: str) -> None:
         head, *more = value.split("\n")
-        now.append(head)
+        put(head)
         for x in more:
             end()
-            now.append(x)
+            put(x)
 
     def block() -> None:
         if "".join(now).strip():
@@ -326,9 +386,8 @@ def clean_text(text: str | None, ass: bool = False) -> str | None:
         now.append(value)
         fixed = True
 
-    touched = False
-    for kind, value in markup_events(text, ass):
-        touched = touched or kind != "text"
+    for kind, value, size in markup_events(text, ass):
+        signs += size
         if hidden:
             if kind == "close" and value == hidden[-1]:
                 hidden.pop()
@@ -338,7 +397,8 @@ def clean_text(text: str | None, ass: bool = False) -> str | None:
         elif kind == "reference":
             write("\n" if value == "\n" else value.replace("\xa0", " "))
         elif kind in ("open", "single", "close"):
-            tags += 1
+            if value in _LINK_TAGS and kind != "single":
+                links = max(0, links + (1 if kind == "open" else -1))
             if kind == "open" and value in _HIDDEN_TAGS:
                 hidden.append(value)
             elif value in _HEADINGS:
@@ -391,15 +451,10 @@ def clean_text(text: str | None, ass: bool = False) -> str | None:
         elif kind == "latexquote":
             now.append("“" + value + "”")
         elif kind in ("link", "wikilink", "weblink", "strong", "strike", "wikibold", "emphasis", "latexwrap"):
-            tags += 1
-            now.append(clean_text(value) or "")
-        elif kind != "shown":  # comments, overrides, drawings, templates, notes, images, quotes, rules, environments
-            tags += 1
+            put(clean_text(value) or "", inside=kind in ("link", "wikilink", "weblink"))
+        # Comments, overrides, drawings, templates, notes, images, quotes, rules and environments leave their size only.
     end()
-    if not touched:
-        return text
-    kept = [re.sub(r"[ \t]{2,}", " ", x).strip() for x in _content_lines(lines)]
-    return "\n".join(kept).strip("\n")
+    return lines
 
 
 def _rows(df: DataFrame, keys: Sequence[str], text: str, ass: str | None) -> tuple[DataFrame, list[str], str]:
@@ -431,13 +486,43 @@ def find_markup(df: DataFrame, keys: Sequence[str], text: str, ass: str | None =
     return found.distinct().select(*[F.col(a).alias(k) for k, a in zip(keys, ks)])
 
 
-def strip_markup(df: DataFrame, keys: Sequence[str], text: str, ass: str | None = None) -> DataFrame:
+def markup_threshold(df: DataFrame, text: str, ass: str | None = None) -> float:
+    """The threshold between content and dense regions: two clusters of the curves of all texts with markup.
+
+    Every row counts; a histogram of BINS + 1 numbers reaches the driver.
+    """
+    rows, _, _ = _rows(df, [], text, ass)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = [0] * (BINS + 1)
+        for batch in batches:
+            for t, a in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                body = ass_text(t) if a else t
+                lines = read_lines(body, bool(a)) if body else []
+                if any(x.signs for x in lines):
+                    for y in curve(lines):
+                        counts[round(y * BINS)] += 1
+        used = [i for i, n in enumerate(counts) if n]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([counts[i] for i in used], pa.int64())], ["bin", "n"])
+
+    found = rows.where(F.col("t").rlike(SUSPECT)).mapInArrow(run, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect()
+    counts = [0] * (BINS + 1)
+    for r in found:
+        counts[r["bin"]] = r["n"]
+    return two_clusters(counts)
+
+
+def strip_markup(df: DataFrame, keys: Sequence[str], text: str, ass: str | None = None, cut: float | None = None) -> DataFrame:
     """keys + (clean_text, had_markup) for every row of df, repeated ones included.
 
     Null text stays null; for ASS the Text part is cleaned (null if cut short).
+    cut is the threshold of dense regions; that of the whole of df if None. Null
+    keys are keys like others, an empty table gives no rows, extra columns are
+    ignored.
     """
     rows, ks, kinds = _rows(df, keys, text, ass)
     nk = len(ks)
+    at = markup_threshold(df, text, ass) if cut is None else cut
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -445,7 +530,7 @@ def strip_markup(df: DataFrame, keys: Sequence[str], text: str, ass: str | None
             for t, a in zip(batch.column(nk).to_pylist(), batch.column(nk + 1).to_pylist()):
                 body = ass_text(t) if a else t
                 had.append(has_markup(body, bool(a)))
-                out.append(clean_text(body, bool(a)) if had[-1] else body)
+                out.append(clean_text(body, bool(a), at) if had[-1] else body)
             yield pa.RecordBatch.from_arrays([*batch.columns[:nk], pa.array(out, pa.string()), pa.array(had, pa.bool_())], [*ks, "clean_text", "had_markup"])
 
     return rows.mapInArrow(run, f"{kinds}, clean_text string, had_markup boolean").select(*[F.col(a).alias(k) for k, a in zip(keys, ks)], "clean_text", "had_markup")

@@ -1,7 +1,9 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cuewright.llm.markup import SUSPECT, clean_text, find_markup, has_markup, smoothed, strip_markup
+from cuewright.llm.markup import SUSPECT, clean_text, curve, find_markup, has_markup, markup_events, markup_threshold, read_lines, smoothed, strip_markup, two_clusters
 
 MARKED = [
     "<i>Yes</i>", "<font color=#fff>x", "a<br/>b", "x<!-- y -->", "&nbsp;x", "&#8217;", "&lt;b&gt;", "{\\an8}x", "{y:i}x", "**a** b", "a _b_ c", "~~a~~", "`x = 1`", "[a](b)", "![a](b.png)",
@@ -53,6 +55,45 @@ def test_page_keeps_content_and_drops_link_lines():
     assert all(f"number {i} of" in clean for i in range(14)) and "m3" not in clean.split()
 
 
+@pytest.mark.parametrize("n", [2, 3, 5, 11, 40])
+def test_regions_of_texts_of_any_length(n):
+    menu = "\n".join(f'<a href="/{i}">m{i}</a>' for i in range(n))
+    body = "\n".join(f"This is the <i>long</i> sentence number {i} of the article, and it goes on for a while." for i in range(3))
+    assert clean_text(f"{menu}\n\n\n{body}").startswith("This is the long sentence number 0") and clean_text(f"{body}\n\n\n{menu}").endswith("for a while.")
+    # Links alone are the content; so is one among words; what keeps its place stays in any region.
+    assert clean_text(menu) == "\n".join(f"m{i}" for i in range(n))
+    assert clean_text(f'{body}\n\n\n<a href="/x">here</a>').endswith("here")
+    listed = "\n".join(f'<li><a href="/{i}">m{i}</a></li>' for i in range(n))
+    assert clean_text(f"{body}\n\n\n{listed}").count("- m") == n
+
+
+def test_emptied_lines_go_and_blank_ones_stay():
+    assert clean_text("{\\an8}{\\fad(1,1)}\nWords") == "Words" and clean_text("<i>Words</i>\n\nmore") == "Words\n\nmore"
+    assert clean_text("Words\n|---|---|\nmore", cut=0.4) == "Words\nmore"
+
+
+def test_threshold_lies_between_the_clusters(spark):
+    assert two_clusters([0] * 11) == two_clusters([]) == 0.5
+    assert two_clusters([0, 100, 0, 0, 0, 0, 0, 0, 0, 10, 0]) == pytest.approx(0.5)
+    assert two_clusters([9, 1, 0, 0, 0, 0, 0, 0, 0, 0, 5]) == pytest.approx((0.01 + 1.0) / 2)
+    rows = [("<b>" + "word " * 50 + "</b>", False)] * 40 + [("<a href='x'>y</a>", False)] * 3 + [("plain", False), (None, True), ("cut,short", True)]
+    df = spark.createDataFrame(rows, "t string, a boolean")
+    curves = [y for t, _ in rows[:43] for y in curve(read_lines(t))]
+    cut = markup_threshold(df.repartition(5), "t", "a")
+    assert max(curves[:40]) < cut < min(curves[40:]) and markup_threshold(df.limit(0), "t") == 0.5
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="a1 \n\t-*_#`~=|<>{}[]()\\&;:$'!/.Np+", max_size=24), st.booleans())
+def test_the_curve_leaves_zero_at_any_event_and_the_filter_keeps_it(text, ass):
+    events = any(kind != "text" for kind, _, _ in markup_events(text, ass))
+    assert has_markup(text, ass) == events
+    if events:
+        import re
+
+        assert re.search(SUSPECT.replace("(?m)", ""), text, re.M)
+
+
 def test_smoothing_is_the_plain_weighted_mean():
     assert smoothed([1.0] * 5) == pytest.approx([1.0] * 5) and smoothed([0, 0, 9, 0, 0])[2] == max(smoothed([0, 0, 9, 0, 0]))
 
