@@ -24,7 +24,9 @@ from cuewright.runtime import col, require
 #: Rows of a shard on average; it bounds what one task holds.
 SHARD_ROWS = 10_000
 #: A container of capacity c takes at most c / TOKENS_A_SEGMENT segments, at least LEAST_SEGMENTS.
-TOKENS_A_SEGMENT, LEAST_SEGMENTS = 8, 16
+TOKENS_A_SEGMENT, LEAST_SEGMENTS = 48, 4
+#: Share of the capacity that loss-bearing tokens may fill; the rest is for context that isn't learnt.
+LOSS_SHARE = 0.98
 
 _ASIDE = re.compile(r"\[[^\[\]]*\]|\([^()]*\)")
 
@@ -119,15 +121,44 @@ def token_counts(df: DataFrame, keys: Sequence[str], text: str, folder: str = TO
     return out.select(*[F.col(a).alias(k) for k, a in zip(keys, ks)], "n_tokens", "n_loss_tokens")
 
 
-def pack_items(items: DataFrame, key: str, tokens: str, loss_tokens: str, capacities: Sequence[tuple[int, int]], n_items: int | None = None, shard_rows: int = SHARD_ROWS, max_segments: int | None = None, loss_share: float = 1.0) -> DataFrame:
-    """pack_id, capacity, shard, container, key, part, start, n_tokens: where every item goes.
+def container_limits(capacity: int, max_segments: int | None = None, loss_share: float = LOSS_SHARE) -> tuple[int, int]:
+    """Segments and loss-bearing tokens that a container of a capacity may hold beside its tokens."""
+    return max_segments or max(LEAST_SEGMENTS, capacity // TOKENS_A_SEGMENT), max(1, int(loss_share * capacity))
+
+
+def pack_summary(packed: DataFrame, key: str, max_segments: int | None = None, loss_share: float = LOSS_SHARE) -> DataFrame:
+    """A row for each pack size: what its containers hold, which limits end them, and how many break one (none should).
+
+    pack_id, capacity, n_keys, n_containers, n_tokens; n_at_segments and
+    n_at_loss (no room left for one more segment or loss-bearing token while
+    there is for tokens); n_over_tokens, n_over_segments, n_over_loss; and
+    n_divided, the items cut though they fit the capacity.
+    """
+    most = F.lit(max_segments) if max_segments else F.greatest(F.lit(LEAST_SEGMENTS), F.floor(F.col("capacity") / TOKENS_A_SEGMENT))
+    loss = F.greatest(F.lit(1), F.floor(F.lit(loss_share) * F.col("capacity")))
+    each = packed.withColumn("_loss", F.least(F.col("n_loss_tokens"), loss)).groupBy("pack_id", "capacity", "shard", "container").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("s"), F.sum("_loss").alias("l"))
+    n = lambda when: F.count(F.when(when, 1))
+    room = F.col("t") < F.col("capacity")
+    held = each.groupBy("pack_id", "capacity").agg(
+        F.count(F.lit(1)).alias("n_containers"), F.sum("t").alias("n_tokens"), n(room & (F.col("s") >= most)).alias("n_at_segments"), n(room & (F.col("l") >= loss)).alias("n_at_loss"),
+        n(F.col("t") > F.col("capacity")).alias("n_over_tokens"), n(F.col("s") > most).alias("n_over_segments"), n(F.col("l") > loss).alias("n_over_loss"),
+    )
+    # An item's parts are counted by its key; what is cut has more than the capacity in all.
+    items = packed.groupBy("pack_id", "capacity", col(key)).agg(F.max("part").alias("p"), F.sum("n_tokens").alias("t"))
+    whole = items.groupBy("pack_id").agg(F.count(F.lit(1)).alias("n_keys"), n((F.col("p") > 0) & (F.col("t") <= F.col("capacity"))).alias("n_divided"))
+    return held.join(whole, "pack_id")
+
+
+def pack_items(items: DataFrame, key: str, tokens: str, loss_tokens: str, capacities: Sequence[tuple[int, int]], n_items: int | None = None, shard_rows: int = SHARD_ROWS, max_segments: int | None = None, loss_share: float = LOSS_SHARE) -> DataFrame:
+    """pack_id, capacity, shard, container, key, part, start, n_tokens, n_loss_tokens: where every item goes.
 
     capacities: (pack_id, capacity) pairs. An item above the capacity is cut
     into parts, all but the last full; any other item has the one part 0.
     Items without tokens, or with null counts, take a segment and no room.
     Limits of a container: capacity tokens, max_segments segments, and
-    loss_share x capacity loss-bearing tokens (an item above that limit alone
-    is cut so that its parts keep it). Rows with equal keys are items each.
+    loss_share x capacity loss-bearing tokens. An item that is above that limit
+    alone isn't cut for it: it counts as the whole limit, so that only items
+    without any join it. Rows with equal keys are items each.
     Items of one size, source or key may be as many as they like: shards come
     from a hash of the whole row and a spread over shard numbers.
     """
@@ -147,30 +178,29 @@ def pack_items(items: DataFrame, key: str, tokens: str, loss_tokens: str, capaci
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
         at: tuple | None = None
-        names = ["pack_id", "capacity", "shard", "container", "key", "part", "start", "n_tokens"]
+        names = ["pack_id", "capacity", "shard", "container", "key", "part", "start", "n_tokens", "n_loss_tokens"]
         key_type = None
 
         def flush() -> pa.RecordBatch | None:
             if not group:
                 return None
             pack_id, capacity, shard = at  # type: ignore[misc]
-            most = max_segments or max(LEAST_SEGMENTS, capacity // TOKENS_A_SEGMENT)
-            loss_limit = max(1.0, loss_share * capacity)
+            most, loss_limit = container_limits(capacity, max_segments, loss_share)
             parts: list[tuple] = []  # key, part, start, tokens, loss
             for k, n_row, loss_row in group:
-                dense = loss_row / n_row if n_row else 0.0
-                room = capacity if dense * capacity <= loss_limit else max(1, int(loss_limit / dense))
+                # Parts share the loss-bearing tokens by their size; their sum stays what it is.
                 start = part = 0
-                while n_row - start > room:
-                    parts.append((k, part, start, room, dense * room))
-                    start, part = start + room, part + 1
-                parts.append((k, part, start, n_row - start, dense * (n_row - start)))
-            demand = np.array([(p[3], 1, min(round(p[4]), loss_limit)) for p in parts], dtype=np.float64)
+                upto = lambda at: loss_row * at // n_row if n_row else 0  # noqa: E731, B023
+                while n_row - start > capacity:
+                    parts.append((k, part, start, capacity, upto(start + capacity) - upto(start)))
+                    start, part = start + capacity, part + 1
+                parts.append((k, part, start, n_row - start, loss_row - upto(start)))
+            demand = np.array([(p[3], 1, min(p[4], loss_limit)) for p in parts], dtype=np.float64)
             rows_out = []
             for number, rows_in in enumerate(pack_vectors(demand, (capacity, most, loss_limit))):
-                rows_out += [(pack_id, capacity, shard, number, *parts[r][:4]) for r in rows_in]
+                rows_out += [(pack_id, capacity, shard, number, *parts[r]) for r in rows_in]
             cols = list(zip(*rows_out))
-            types = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), key_type, pa.int32(), pa.int64(), pa.int64())
+            types = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), key_type, pa.int32(), pa.int64(), pa.int64(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
         for batch in batches:
@@ -187,5 +217,5 @@ def pack_items(items: DataFrame, key: str, tokens: str, loss_tokens: str, capaci
             yield done
 
     spread = rows.select("pack_id", "capacity", "shard", "key", "n", "loss").repartition("pack_id", "shard").sortWithinPartitions("pack_id", "capacity", "shard", "n", "key")
-    out = spread.mapInArrow(pack, f"pack_id int, capacity bigint, shard int, container int, key {kind}, part int, start bigint, n_tokens bigint")
+    out = spread.mapInArrow(pack, f"pack_id int, capacity bigint, shard int, container int, key {kind}, part int, start bigint, n_tokens bigint, n_loss_tokens bigint")
     return out.withColumnRenamed("key", key)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cuewright.llm.canonical import map_values
 from cuewright.llm.encoding import garbled_records
 from cuewright.llm.markup import find_markup, strip_markup
-from cuewright.llm.packing import pack_items, token_counts
+from cuewright.llm.packing import pack_items, pack_summary, token_counts
 from cuewright.llm.residue import label_residue
 from cuewright.llm.runs import event_runs
 from cuewright.llm.tokens import encode_corpus
@@ -81,6 +81,10 @@ def p9_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_items(counted, "doc_id", "n_tokens", "n_loss_tokens", sizes, n_items=docs.count())
 
 
+def p9_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_summary(p9_packs(spark, sf_dir), "doc_id").select("pack_id", "capacity", "n_keys", "n_over_tokens", "n_over_segments", "n_over_loss", "n_divided")
+
+
 def p10_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_residue(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -99,6 +103,7 @@ QUERIES = {
     "p6_clean": p6_clean,
     "p8_ids": p8_ids,
     "p9_packs": p9_packs,
+    "p9_limits": p9_limits,
     "p10_found": p10_found,
     "p10_labels": p10_labels,
 }
@@ -158,6 +163,10 @@ SQL: dict[str, str] = {
           or regexp_matches(t, '\\[A-Za-z&%$#_(\[]') or regexp_matches(t, '\*\*[^*\n]+\*\*|~~[^~\n]+~~|`[^`\n]+`|```|\]\([^()\n]*\)|\[\[[^\[\]]+\]\]|\{\{[^{}]*\}\}')
           or regexp_matches(t, '(?m)^\{\||^#{1,6} |^[*+] |^> |^\|.*\|$|^={2,6} .* ={2,6}$|^={3,}$') or regexp_matches(t, '(?s)(^|\n)[0-9]{1,3}\. .*\n[0-9]{1,3}\. ')
           or regexp_matches(t, '''''[^'']+''''|``[^`'']+''''') or regexp_matches(t, '(^|[^A-Za-z0-9$])\$\$?[^0-9 $\n][^$\n]*[^ $\n]\$') or regexp_matches(t, '(^|[^A-Za-z0-9_])_[^ _][^_\n]*_($|[^A-Za-z0-9_])')""",
+    # Every text in packs of each size, no limit broken, nothing divided that fits.
+    "p9_limits": """
+        select pack_id, cast(capacity_tokens as bigint) as capacity, (select count(distinct doc_id) from documents) as n_keys, cast(0 as bigint) as n_over_tokens, cast(0 as bigint) as n_over_segments, cast(0 as bigint) as n_over_loss, cast(0 as bigint) as n_divided
+        from (select distinct * from pack_sizes)""",
     "p10_found": r"""
         select doc_id from documents where
           regexp_matches(text, '\{\{[^{}]*\}\}|\{%[^{}]*%\}|<%[^<>]*%>|[$#]\{[^{}]*\}|%\([a-z_.]+\)s|\[\[[A-Z_. ]+\]\]|@@[a-z_.]+@@|__[A-Z_.]+__|%[A-Z_.]+%|\$[A-Z_.]+\$|«[a-z]+([_.][a-z]+)*»|\{[a-z_.]+\}|<[a-z ]+ here>|\[(INSERT|TK) [^\]]*\]|\[[a-z ]+ to be inserted\]|XXX')

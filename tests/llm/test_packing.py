@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from cuewright.llm.packing import pack_items, pack_vectors, token_counts
+from cuewright.llm.packing import container_limits, pack_items, pack_summary, pack_vectors, token_counts
 from cuewright.llm.tokens import TOKENIZER_FOLDER, VOCABULARY
 
 
@@ -45,15 +45,18 @@ def test_nothing_is_lost_or_split_without_need(spark):
     rnd = random.Random(4)
     rows = [(i, rnd.choice([0, 3, 7, 20, 55, 99, 100, 101, 350]), rnd.randrange(0, 50)) for i in range(700)] + [(None, 5, 5), (9000, None, None), (1, 3, 3), (1, 3, 3)]
     df = spark.createDataFrame(rows, "k long, n long, l long").selectExpr("*", "1 as part", "2 as shard", "3 as `key`")
-    for share, most in ((1.0, None), (0.5, 7)):
+    for share, most in ((1.0, 1000), (0.5, 7), (0.98, None)):
         out = pack_items(df, "k", "n", "l", [(1, 100), (2, 1000)], shard_rows=200, max_segments=most, loss_share=share).collect()
         for pack, capacity in ((1, 100), (2, 1000)):
             own = [r for r in out if r["pack_id"] == pack]
-            used, segments = Counter(), Counter()
+            used, segments, loss = Counter(), Counter(), Counter()
+            limit, most_loss = container_limits(capacity, most, share)
             for r in own:
+                loss[r["shard"], r["container"]] += min(r["n_loss_tokens"], most_loss)
                 used[r["shard"], r["container"]] += r["n_tokens"]
                 segments[r["shard"], r["container"]] += 1
-            assert max(used.values()) <= capacity and (most is None or max(segments.values()) <= most)
+            assert max(used.values()) <= capacity and max(segments.values()) <= limit and max(loss.values()) <= most_loss
+            assert sum(r["n_loss_tokens"] for r in own) == sum(min(n or 0, lo or 0) for _, n, lo in rows)
             got = defaultdict(list)
             for r in own:
                 got[r["k"]].append((r["part"], r["start"], r["n_tokens"]))
@@ -62,10 +65,13 @@ def test_nothing_is_lost_or_split_without_need(spark):
                 want[k] += n or 0
             assert {k: sum(p[2] for p in v) for k, v in got.items()} == dict(want)
             assert len(got[1]) >= 3 and got[9000] == [(0, 0, 0)]
+            assert all(len(v) == 1 or want[k] > capacity or k == 1 for k, v in got.items())
             if share == 1.0:
-                assert all(len(v) == 1 or want[k] > capacity or k == 1 for k, v in got.items())
                 total = sum(used.values())
                 assert len(used) <= 1.1 * total / capacity + 8
+        report = pack_summary(pack_items(df.where("k > 1 and n > 0"), "k", "n", "l", [(1, 100), (2, 1000)], max_segments=most, loss_share=share), "k", most, share).collect()
+        assert [(r["n_over_tokens"], r["n_over_segments"], r["n_over_loss"], r["n_divided"]) for r in report] == [(0, 0, 0, 0)] * 2
+        assert share == 1.0 or any(r["n_at_segments"] + r["n_at_loss"] for r in report)
     assert pack_items(df.limit(0), "k", "n", "l", [(1, 100)]).count() == 0
     assert pack_items(df, "k", "n", "l", []).count() == 0
 
