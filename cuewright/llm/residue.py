@@ -20,22 +20,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuewright.llm.residue_exemplars import EXEMPLARS, SLOTS, spelled_out
+from cuewright.llm.residue_exemplars import CLASSES, EXEMPLARS, MENTION, MENTION_TOGETHER, SLOTS, STRONG
 from cuewright.runtime import col, require
 
-#: Document frequencies are kept in this many hash buckets, whatever the size of the corpus (2 MB).
+#: Document frequencies of words that no exemplar has are kept in this many hash buckets (2 MB). A bucket has the words of at
+#: most a few hundredths of a percent of the documents however many there are, so such a word's weight stays above STRANGER.
 BUCKETS = 1 << 18
 #: Share of an exemplar's weight that a window must hold, and share of a window's weight that must be covered.
 CONTAINED, COVERED = 0.7, 0.6
 #: Matched weight that stands for containment in long exemplars (eight words that one document in 150 has).
 EVIDENCE = 40.0
 #: A window as long as an exemplar that holds this much weight of it, and CLOSE of all its words, is residue inside running text.
-SPLICED, CLOSE = 12.0, 0.85
+SPLICED, CLOSE = 7.0, 0.8
+#: Words of an exemplar that counts inside running text; fewer are what people say. Words beside a placeholder that may tell it is spoken of.
+SPLICED_WORDS, BESIDE, NEAR = 4, 3, 9
+#: A window whose weight lies to this share in words of one group's exemplars, and comes to this much there, is that group's.
+OF_GROUP, GROUP_WEIGHT = 0.9, 9.0
+#: Weight that a word which no exemplar has may reach: it speaks against a match, but a rare one not more than others.
+STRANGER = 4.0
 #: Windows of a passage longer than this many words, and their step.
 LONGEST, WINDOW, STEP = 40, 16, 8
 
-_WORD = re.compile(r"[^\W\d]+(?:['’-][^\W\d]+)*|\d[\w/.-]*|\x02[a-z ]+\x02")
-_PLAIN_WORD = re.compile(r"[^\W\d]+(?:['’-][^\W\d]+)*")
+_WORD = re.compile(r"(?:/[\w.-]+){2,}|[^\W\d]+(?:['’-][^\W\d]+)*|\d[\w/.-]*|\x02[a-z ]+\x02")
+_PLAIN_WORD = re.compile(r"(?:/[\w.-]+){2,}|[^\W\d]+(?:['’-][^\W\d]+)*")
 _SPLIT = re.compile(r"[.!?…]+(?=[\s\"”’)\]]|$)|[\n|]|[;:]\s")
 #: What a placeholder has at least one of; cheaper than trying all shapes everywhere.
 _SLOT_SIGN = re.compile(r"\{[{%A-Za-z_]|<[%a-z]|[$#]\{|%[(A-Z]|\$[A-Z]|\[\[|@@|__[A-Z]|«[a-z]|\[(?:INSERT|TK|TB|TODO)|\sto\s+be\s+(?:inserted|added|confirmed|supplied)\]|XXX")
@@ -43,7 +50,15 @@ _SLOT = re.compile("|".join(f"(?P<s{i}>{p})" for i, p in enumerate(SLOTS.values(
 _SLOT_NAMES = list(SLOTS)
 
 
+#: What stands in quotation marks inside a sentence is spoken of, but for placeholders.
+_QUOTATION = re.compile(r"“[^“”]*”|„[^„“”]*[“”]|«[^«»]*»|\"[^\"]*\"")
+_QUOTED = re.compile(r"[“„\"«‘`']\s?\Z"), re.compile(r"\s?[”“\"»’`']")
+
+
 def _slot_token(m: re.Match) -> str:
+    # A placeholder in quotation marks of its own is spoken of.
+    if _QUOTED[0].search(m.string[max(0, m.start() - 2) : m.start()]) and _QUOTED[1].match(m.string, m.end()):
+        return " "
     return f" \x02{_SLOT_NAMES[int(m.lastgroup[1:])]}\x02 "  # type: ignore[index]
 
 
@@ -52,17 +67,55 @@ def marked(text: str) -> str:
     return _SLOT.sub(_slot_token, text) if _SLOT_SIGN.search(text) else text
 
 
+#: Each word of a class, and the class's token.
+_CLASS = {w: f"\x03{name}" for name, listed in CLASSES.items() for w in listed.split()}
+#: Classes that count once where their words follow each other; a repeated text is filler.
+_ONCE = frozenset(f"\x03{name}" for name in CLASSES if name != "body")
+_MENTION, _MENTION_TOGETHER = frozenset(_CLASS.get(w, w) for w in MENTION.split()), frozenset(_CLASS.get(w, w) for w in MENTION_TOGETHER.split())
+
+
+class _Fold(dict):
+    """Words as they count, kept once looked up."""
+
+    def __missing__(self, w: str) -> str:
+        if len(self) > 500_000:
+            self.clear()
+        out = self[w] = "0" if w[0].isdigit() or w[0] == "/" or "_" in w else _CLASS.get(w, w)
+        return out
+
+
+_FOLDED = _Fold()
+
+
 def words(text: str) -> list[str]:
-    """Words in lower case; numbers are '0' and weigh nothing."""
-    return ["0" if w[0].isdigit() else w for w in _WORD.findall(text.lower())]
+    """Words in lower case, folded into their classes; numbers, paths and names with underscores are '0' and weigh nothing."""
+    out = [_FOLDED[w] for w in _WORD.findall(text.lower())]
+    if any(a == b and a in _ONCE for a, b in zip(out, out[1:])):
+        out = [w for i, w in enumerate(out) if not (i and w == out[i - 1] and w in _ONCE)]
+    return out
 
 
 def vocabulary(text: str) -> set[str]:
-    """The different words of a text, without those of digits."""
-    return set(_PLAIN_WORD.findall(text.lower()))
+    """The different words and classes of a text, without words of digits."""
+    return {_CLASS.get(w, w) for w in set(_PLAIN_WORD.findall(text.lower()))}
+
+
+def spoken_of(ws: list[str], at: int) -> bool:
+    """Whether the words beside a placeholder speak of it."""
+    if not _MENTION.isdisjoint(ws[max(0, at - BESIDE) : at + BESIDE + 1]):
+        return True
+    return len(_MENTION_TOGETHER.intersection(ws[max(0, at - NEAR) : at + NEAR + 1])) > 1
+
+
+#: Words of exemplars have places of their own after the buckets, so their frequencies are exact.
+_KNOWN = {w: BUCKETS + i for i, w in enumerate(sorted({w for t in EXEMPLARS.values() for w in words(t)}))}
+TABLE = BUCKETS + len(_KNOWN)
 
 
 def bucket(word: str) -> int:
+    known = _KNOWN.get(word)
+    if known is not None:
+        return known
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)
 
 
@@ -84,11 +137,13 @@ class Index:
     def __init__(self, counts: np.ndarray, n_docs: int) -> None:
         self.counts, self.n_docs = counts, max(1, n_docs)
         self.weights: dict[str, float] = {"0": 0.0}
+        self.groups = {label: {w for x in t.strip().split("\n") for w in words(x)} for label, t in EXEMPLARS.items() if label != "filler"}
+        self.strong = {f"\x03{name}" for name in STRONG.split()}
         self.exemplars: list[tuple[Counter, float, str]] = []
         self.anchors: dict[str, list[int]] = {}
         for label, text in EXEMPLARS.items():
-            for line in spelled_out(text):
-                self._add(Counter(words(line)), label)
+            for line in dict.fromkeys(tuple(words(x)) for x in text.strip().split("\n")):
+                self._add(Counter(line), label)
         for shape in SLOTS:
             self._add(Counter([f"\x02{shape}\x02"]), "slot")
 
@@ -98,7 +153,7 @@ class Index:
             if len(self.weights) > 500_000:
                 self.weights = {"0": 0.0}
             w = math.log((self.n_docs + 1) / (float(self.counts[bucket(word)]) + 0.5)) if word[0] != "\x02" else 12.0
-            w = self.weights[word] = max(0.0, w)
+            w = self.weights[word] = max(0.0, w if word in _KNOWN or word[0] == "\x02" else min(w, STRANGER))
         return w
 
     def _add(self, bag: Counter, label: str) -> None:
@@ -134,15 +189,27 @@ class Index:
                 mine.update(wanted)
                 if held > best:
                     best, label = held, kind
-        return sum(n * self.weight(w) for w, n in bag.items() if w in mine) / total, label
-
-    def spliced(self, ws: list[str]) -> str | None:
-        """The label of an exemplar that stands nearly word for word somewhere in a window."""
+        share = sum(n * self.weight(w) for w, n in bag.items() if w in mine) / total
+        if share < COVERED and not self.strong.isdisjoint(bag):
+            for kind, group in self.groups.items():
+                inside = sum(n * self.weight(w) for w, n in bag.items() if w in group)
+                if inside >= GROUP_WEIGHT and inside >= OF_GROUP * total:
+                    return inside / total, kind
+        return share, label
+
+    def spliced(self, ws: list[str], slots: bool) -> str | None:
+        """The label of an exemplar that stands nearly word for word somewhere in a window; of placeholders, or of all else."""
         for at, w in enumerate(ws):
             for e in self.anchors.get(w, ()):
                 wanted, weight, kind = self.exemplars[e]
                 size = wanted.total()
-                if weight < SPLICED or size > LONGEST:
+                if (kind == "slot") != slots:
+                    continue
+                if slots:
+                    if not spoken_of(ws, at):
+                        return kind
+                    continue
+                if weight < SPLICED or not SPLICED_WORDS <= size <= LONGEST:
                     continue
                 for start in range(max(0, at - size + 1), min(at, max(0, len(ws) - size)) + 1):
                     bag = Counter(ws[start : start + size])
@@ -156,17 +223,23 @@ class Index:
         if not text:
             return None
         text = marked(text)
-        if "\x02" in text:
-            return "slot"
-        if self.anchors.keys().isdisjoint(vocabulary(text)):
+        if "\x02" not in text and self.anchors.keys().isdisjoint(vocabulary(text)):
             return None
+        near = []
         for ws in windows(text):
             share, label = self.covered(ws)
             if label is None:
                 continue
             if share >= COVERED:
                 return label
-            inside = self.spliced(ws)
+            near.append(ws)
+            if self.spliced(ws, True) is not None:
+                return "slot"
+        # What stands nearly word for word in a window is contained in it, so only those windows matter.
+        if near and _QUOTATION.search(text):
+            near = list(windows(_QUOTATION.sub(" ” ", text)))
+        for ws in near:
+            inside = self.spliced(ws, False)
             if inside is not None:
                 return inside
         return None
@@ -177,7 +250,7 @@ def document_frequencies(df: DataFrame, text: str) -> tuple[np.ndarray, int]:
     require(df, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, dtype=np.int64)
+        counts = np.zeros(TABLE, dtype=np.int64)
         n = 0
         known: dict[str, int] = {}
         for batch in batches:
@@ -197,9 +270,9 @@ def document_frequencies(df: DataFrame, text: str) -> tuple[np.ndarray, int]:
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1), pa.int64()), pa.array(np.append(counts[used], n), pa.int64())], ["bucket", "n"])
 
-    # At most BUCKETS + 1 rows reach the driver.
+    # At most TABLE + 1 rows reach the driver.
     rows = df.select(col(text).alias("t")).mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(BUCKETS, dtype=np.int64)
+    counts = np.zeros(TABLE, dtype=np.int64)
     total = 0
     for r in rows:
         if r["bucket"] < 0:
