@@ -71,9 +71,10 @@ def test_labels(spark):
     assert {texts[i]: got.get(i) for i in range(first, len(texts))} == RESIDUE
 
 
-def test_notices_of_other_sites_and_mentions(spark):
+def test_notices_of_other_sites_and_mentions(spark, sf):
     held_out = HELD_OUT + LAST + REPORTED
-    texts = SPEECHES + MENTIONS * 4 + held_out
+    corpus = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").where("n_chars > 600").select("text").collect()]
+    texts = SPEECHES + MENTIONS * 4 + held_out + corpus
     found = {r["doc_id"] for r in label_residue(table_of(spark, texts), "doc_id", "text").collect()}
     first = len(SPEECHES) + 4 * len(MENTIONS)
     missed = [t for i, t in enumerate(held_out) if first + i not in found]
