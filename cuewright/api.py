@@ -6,9 +6,11 @@ these are the calls for whoever has files.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from cuewright.functions.scalars import sanitize_codec, trim_nulls
 from cuewright.operators import blocks as B
 from cuewright.operators import containers as C
 from cuewright.operators import subtitles as U
+from cuewright.operators.ordered import FILE_CHUNK
 from cuewright.sources import ebml as X
 from cuewright.sources.container_sink import edit_in_place as _edit_in_place
 from cuewright.sources.container_sink import metadata_parts, write_containers, write_streams
@@ -81,9 +84,19 @@ def _only(df: DataFrame, path: str) -> DataFrame:
 def validate(spark: SparkSession, path: str) -> DataFrame:
     """Issues of the files at a path, those of decoding among them."""
     m = open_media(spark, path, payload=False)
-    found = C.validate(m.segments, m.tracks, m.blocks)
-    broken = read_container(spark, path, "errors").select("path", F.lit("V14").alias("check_id"), F.lit("error").alias("severity"), F.concat(F.lit("cannot read: "), F.col("message")).alias("message"))
-    return found.unionByName(broken)
+    sized = m.segments.join(read_container(spark, path, "files").withColumnRenamed("length", "file_bytes"), "path", "left")
+    found = C.validate(sized, m.tracks, m.blocks, FILE_CHUNK)
+    broken = read_container(spark, path, "errors")
+    at_start = F.col("table") == "clusters"
+    text = F.when(at_start, F.concat(F.lit("cannot read clusters: "), F.col("message"))).when(F.col("table") == "blocks", F.concat(F.lit("cluster read error at block "), F.col("n_blocks").cast("string"), F.lit(": "), F.col("message"))).otherwise(F.concat(F.lit("cannot read: "), F.col("message")))
+    return found.unionByName(broken.select("path", F.when(at_start, "V13").otherwise("V14").alias("check_id"), F.lit("error").alias("severity"), text.alias("message")))
+
+
+def probe(spark: SparkSession, path: str) -> DataFrame:
+    """(path, json): all metadata of each file as one JSON text."""
+    m = open_media(spark, path, payload=False)
+    cues = read_container(spark, path, "cues")
+    return C.probe_json(m.segments, m.tracks, m.chapters, m.attachments, m.tags, m.simple_tags, cues)
 
 
 def compare(spark: SparkSession, a: str, b: str) -> DataFrame:
@@ -134,9 +147,30 @@ def merge(spark: SparkSession, sources: Sequence[str], out: str, tracks: dict[st
         rows = open_media(spark, path).tracks.orderBy("track_index").select("track_id", "is_default").collect()
         wanted = (tracks or {}).get(path)
         inputs += [TrackInput(path, r["track_id"], is_default=r["is_default"]) for r in rows if not wanted or r["track_id"] in wanted]
+    if not inputs:
+        raise ValueError("no tracks selected")
     return mux(spark, inputs, out, sources[0], with_metadata=True)
 
 
+def merge_with_subtitles(spark: SparkSession, base: str, subtitle: str, out: str, language: str = "und", name: str = "", sources: Sequence[str] = (), tracks: dict[str, Sequence[int]] | None = None, format: str | None = None) -> list[tuple]:
+    """base merged with the other sources, and a subtitle file added to what comes out.
+
+    Without other sources it is merge_subtitle(). The merged file between the
+    two steps stands beside out and is removed.
+    """
+    if not sources:
+        return merge_subtitle(spark, base, subtitle, out, language, name, format)
+    folder, file = _split_target(out)
+    between = f"{folder}/{file}.merged-{uuid.uuid4().hex}"
+    try:
+        merge(spark, [base, *sources], between, tracks)
+        return merge_subtitle(spark, between, subtitle, out, language, name, format)
+    finally:
+        system, where = resolve(between)
+        if system.get_file_info(where).type == pafs.FileType.File:
+            system.delete_file(where)
+
+
 def join(spark: SparkSession, sources: Sequence[str], out: str) -> list[tuple]:
     """The sources one after another; their track layouts must agree."""
     m = _open_all(spark, sources)
@@ -203,7 +237,7 @@ def edit_metadata(spark: SparkSession, path: str, out: str, **edits: Callable[[D
 
 
 def edit_in_place(spark: SparkSession, path: str, **edits: Callable[[DataFrame], DataFrame]) -> None:
-    """Metadata of a local file overwritten where it is; raises if it doesn't fit."""
+    """Metadata of a file overwritten where it is; raises if it doesn't fit."""
     m = open_media(spark, path)
     names = ("segments", "tracks", "chapters", "attachments", "tags", "simple_tags")
     frames = C.edit({n: getattr(m, n) for n in names}, **edits)
@@ -234,7 +268,7 @@ def extract_subtitle(spark: SparkSession, path: str, track_id: int, out: str) ->
     m = open_media(spark, path)
     _subtitle_track(m, track_id, None)
     folder, name = _split_target(out)
-    cues = U.extract_srt(B.subtitle_texts(m.blocks.where(F.col("track_number") == track_id)))
+    cues = U.extract_srt(B.subtitle_texts(m.blocks.where(F.col("track_number") == track_id)), FILE_CHUNK)
     return write_streams(folder, cues.select(F.lit(name).alias("file"), F.col("number").alias("seq"), F.col("cue").alias("data")))
 
 
@@ -252,12 +286,22 @@ def _read_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.lit(path).alias("path"), "value")
 
 
-def merge_subtitle(spark: SparkSession, path: str, subtitle: str, out: str, language: str = "und", name: str = "") -> list[tuple]:
-    """The file with an SRT or ASS file as one more track, each event before the first block that reached its time."""
+def subtitle_kind(path: str, format: str | None = None) -> str:
+    """srt or ass, as named or by the suffix of a path."""
+    if format not in (None, "", "srt", "ass", "ssa"):
+        raise ValueError(f"unknown format {format}; there are srt and ass")
+    return "ass" if (format or path.lower()[-3:]) in ("ass", "ssa") else "srt"
+
+
+def merge_subtitle(spark: SparkSession, path: str, subtitle: str, out: str, language: str = "und", name: str = "", format: str | None = None) -> list[tuple]:
+    """The file with an SRT or ASS file as one more track, each event before the first block that reached its time.
+
+    format is srt or ass; the file's suffix decides if None.
+    """
     m = open_media(spark, path)
     folder, dst = _split_target(out)
     low = subtitle.lower()
-    ass = low.endswith((".ass", ".ssa"))
+    ass = subtitle_kind(subtitle, format) == "ass"
     text = _read_text(spark, subtitle)
     if ass:
         events = U.parse_ass(text).select(F.lit(path).alias("path"), "seq", "start_ms", U.ass_block_payload(F.col("seq") - 1, F.col("fields")).alias("data"))
@@ -271,7 +315,7 @@ def merge_subtitle(spark: SparkSession, path: str, subtitle: str, out: str, lang
     codec = "ssa" if low.endswith(".ssa") else "ass" if ass else "srt"
     row = {c: None for c in m.tracks.columns} | {"path": dst, "track_index": m.tracks.count(), "track_id": new, "type": "subtitle", "codec": codec, "language": language, "name": name, "is_default": True, "is_forced": False, "codec_private": header.encode() if header else None}
     track = spark.createDataFrame([tuple(row[c] for c in m.tracks.columns)], m.tracks.schema)
-    placed = B.inject_subtitles(m.blocks, events).select(F.lit(dst).alias("path"), F.lit(new).alias("track_number"), F.col("start_ms").alias("timecode_ms"), F.lit(False).alias("keyframe"), F.col("data").cast("binary").alias("data"), F.coalesce("before_seq", F.lit(C.MAX_SEQ)).alias("block_seq"), F.lit(0).alias("side"), F.col("seq").cast("long").alias("sub"))
+    placed = B.inject_subtitles(m.blocks, events, FILE_CHUNK).select(F.lit(dst).alias("path"), F.lit(new).alias("track_number"), F.col("start_ms").alias("timecode_ms"), F.lit(False).alias("keyframe"), F.col("data").cast("binary").alias("data"), F.coalesce("before_seq", F.lit(C.MAX_SEQ)).alias("block_seq"), F.lit(0).alias("side"), F.col("seq").cast("long").alias("sub"))
     own = _at(m.blocks, dst).select("path", "track_number", "timecode_ms", "keyframe", "data", "block_seq", F.lit(1).alias("side"), F.lit(0).cast("long").alias("sub"))
     rest = {n: _at(getattr(m, n), dst) for n in ("chapters", "attachments", "tags", "simple_tags")}
     return write_containers(folder, _at(m.segments, dst), _at(m.tracks, dst).unionByName(track), own.unionByName(placed), order=("block_seq", "side", "sub"), **rest)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import base64
 import json
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from cuewright import __version__, api
 from cuewright.functions.scalars import clock_time, format_bytes
 from cuewright.operators.containers import issue_text
+from cuewright.runtime import task_progress
 
 #: A patch given to edit; absent members keep what is there, lists replace the whole list.
 PATCH = {"title": str, "tracks": list, "chapters": list, "tags": list}
@@ -73,6 +76,11 @@ def _tag_rows(m: api.Media) -> DataFrame:
 
 def listing(spark: SparkSession, what: str, path: str, as_json: bool) -> None:
     m = api.open_media(spark, path, payload=False)
+    if what == "probe" and as_json:
+        # One file's metadata.
+        found = [json.loads(r["json"]) for r in api.probe(spark, path).collect()]
+        print(json.dumps(found[0] if len(found) == 1 else found, indent=2, ensure_ascii=False))
+        return
     if what in ("info", "probe"):
         counts = {n: getattr(m, n).count() for n in ("tracks", "chapters", "attachments", "tags")}
         line = F.concat(F.lit("Title: "), _text("title"), F.lit("\nDuration: "), clock_time(F.col("duration_ms")), F.lit("\nMuxing app: "), F.col("muxing_app"), F.lit("\nWriting app: "), F.col("writing_app"), F.lit("".join(f"\n{k.capitalize()}: {v}" for k, v in counts.items())))
@@ -89,12 +97,27 @@ def listing(spark: SparkSession, what: str, path: str, as_json: bool) -> None:
         _show(_tag_rows(m), as_json, F.concat(F.lit("["), _text("target_type", "global"), F.lit("] "), F.col("name"), F.lit(" = "), F.col("value"), F.lit(" ("), _text("language", "und"), F.lit(")")))
 
 
+def _whole(v: Any) -> Decimal | None:
+    return Decimal(int(v)) if v else None
+
+
+def _walk(items: list[dict] | None, below: str) -> Iterator[tuple[int, int, int, int, dict]]:
+    """(node, parent node, depth, ordinal, object) of nested lists of objects, a parent before its children."""
+    stack = [(-1, 0, i, x) for i, x in reversed(list(enumerate(items or [])))]
+    node = 0
+    while stack:
+        parent, depth, at, x = stack.pop()
+        yield node, parent, depth, at, x
+        stack += [(node, depth + 1, i, y) for i, y in reversed(list(enumerate(x.get(below) or [])))]
+        node += 1
+
+
 def _patched(patch: dict[str, Any]) -> dict[str, Any]:
     unknown = patch.keys() - PATCH.keys()
     if unknown:
         raise ValueError(f"unknown members: {', '.join(sorted(unknown))}")
     edits: dict[str, Any] = {}
-    if "title" in patch:
+    if patch.get("title") is not None:
         edits["segments"] = lambda df: df.withColumn("title", F.lit(patch["title"]))
 
     def tracks(df: DataFrame) -> DataFrame:
@@ -105,21 +128,21 @@ def _patched(patch: dict[str, Any]) -> dict[str, Any]:
         return df
 
     def chapters(df: DataFrame) -> DataFrame:
-        rows = [(None, i, -1, 0, i, None, c.get("title", ""), c.get("start_ms", 0), c.get("end_ms", 0), None) for i, c in enumerate(patch["chapters"])]
+        rows = [(None, node, parent, depth, at, _whole(c.get("id")), c.get("title") or "", c.get("start_ms") or 0, c.get("end_ms") or 0, None) for node, parent, depth, at, c in _walk(patch["chapters"], "sub_chapters")]
         return df.sparkSession.createDataFrame(rows, df.schema)
 
     def tags(df: DataFrame) -> DataFrame:
-        return df.sparkSession.createDataFrame([(None, i, t.get("target_type", ""), None) for i, t in enumerate(patch["tags"])], df.schema)
+        return df.sparkSession.createDataFrame([(None, i, t.get("target_type") or "", _whole(t.get("target_id"))) for i, t in enumerate(patch["tags"])], df.schema)
 
     def simple_tags(df: DataFrame) -> DataFrame:
-        rows = [(None, i, n, -1, 0, s.get("name", ""), s.get("value", ""), None, s.get("language", "")) for i, t in enumerate(patch["tags"]) for n, s in enumerate(t.get("simple_tags", []))]
+        rows = [(None, i, node, parent, depth, s.get("name") or "", s.get("value") or "", base64.b64decode(s["binary"]) if s.get("binary") else None, s.get("language") or "") for i, t in enumerate(patch["tags"]) for node, parent, depth, _, s in _walk(t.get("simple_tags"), "sub_tags")]
         return df.sparkSession.createDataFrame(rows, df.schema)
 
     if patch.get("tracks"):
         edits["tracks"] = tracks
-    if "chapters" in patch:
+    if patch.get("chapters") is not None:
         edits["chapters"] = chapters
-    if "tags" in patch:
+    if patch.get("tags") is not None:
         edits |= {"tags": tags, "simple_tags": simple_tags}
     return edits
 
@@ -144,13 +167,13 @@ def parser() -> argparse.ArgumentParser:
     command("remove-track", "file", "out", ("ids", {"type": numbers}))
     command("add-track", "file", ("source", {"type": track_input}), "out", ("--language", {"default": ""}), ("--name", {"default": ""}))
     command("extract-attachment", "file", ("id", {"type": int}), "out")
-    command("extract-subtitle", "file", ("id", {"type": int}), "out")
+    command("extract-subtitle", "file", ("id", {"type": int}), "out", ("--format", {"choices": ("srt", "ass", "ssa")}))
     command("edit", "file", "out", ("patch", {"help": "JSON, or - for standard input"}))
     command("edit-inplace", "file", "patch")
     command("edit-title", "file", "out", "title")
     command("edit-track", "file", "out", ("id", {"type": int}), ("--language", {}), ("--name", {}), ("--default", {"choices": ("true", "false")}), ("--forced", {"choices": ("true", "false")}))
     command("merge", "out", ("sources", {"nargs": "+"}))
-    command("merge-subtitle", "file", "subtitle", "out", ("--language", {"default": "und"}), ("--name", {"default": ""}))
+    command("merge-subtitle", "file", "subtitle", "out", ("--language", {"default": "und"}), ("--name", {"default": ""}), ("--format", {"choices": ("srt", "ass", "ssa")}), ("--merge", {"nargs": "+", "default": [], "help": "sources merged in first"}))
     command("split", "file", "folder", ("--ranges", {"type": spans, "default": []}), ("--pattern", {"default": "part_%03d.mkv"}))
     command("join", "out", ("sources", {"nargs": "+"}))
     return p
@@ -179,7 +202,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
     elif c == "extract-attachment":
         api.extract_attachment(spark, args.file, args.id, args.out)
     elif c == "extract-subtitle":
-        call = api.extract_ass if args.out.lower().endswith((".ass", ".ssa")) else api.extract_subtitle
+        call = api.extract_ass if api.subtitle_kind(args.out, args.format) == "ass" else api.extract_subtitle
         call(spark, args.file, args.id, args.out)
     elif c in ("edit", "edit-inplace"):
         edits = _patched(json.loads(sys.stdin.read() if args.patch == "-" else args.patch))
@@ -197,7 +220,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
     elif c == "merge":
         api.merge(spark, args.sources, args.out)
     elif c == "merge-subtitle":
-        api.merge_subtitle(spark, args.file, args.subtitle, args.out, args.language, args.name)
+        api.merge_with_subtitles(spark, args.file, args.subtitle, args.out, args.language, args.name, args.merge, format=args.format)
     elif c == "split":
         api.split(spark, args.file, args.folder, args.ranges, args.pattern)
     elif c == "join":
@@ -205,10 +228,21 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
     return 0
 
 
+def bar(done: int, total: int, width: int = 30) -> str:
+    """A progress bar; without a total, what is done."""
+    if total <= 0:
+        return f"{done} done"
+    share = min(1.0, done / total)
+    return f"[{'=' * int(share * width):<{width}}] {share * 100:5.1f}% {done}/{total}"
+
+
 def main(argv: Sequence[str] | None = None) -> int:
     args = parser().parse_args(argv)
+    show = (lambda done, total: print("\r" + bar(done, total), end="", file=sys.stderr)) if sys.stderr.isatty() else None
     try:
-        return run(args, session())
+        spark = session()
+        with task_progress(spark, show):
+            return run(args, spark)
     except (ValueError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1

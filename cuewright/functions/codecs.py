@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed values of the container format's codec registry.
+#: Ids of the container format's registry, and the short names that results use for them.
 CODEC_NAMES: dict[str, str] = {
     "V_MPEG4/ISO/AVC": "h264",
     "V_MPEGH/ISO/HEVC": "hevc",

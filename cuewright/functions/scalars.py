@@ -122,10 +122,15 @@ def clock_time(ms: Column) -> Column:
     return F.when(ms.isNotNull(), F.format_string("%02d:%02d:%02d", _part(ms, MS_HOUR, None), _part(ms, MS_MINUTE, 60), _part(ms, 1000, 60)))
 
 
+def _once(value: Column, then) -> Column:
+    """then(value), with value evaluated once however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _parse_time(s: Column, separator: str, last_unit: int) -> Column:
     pattern = rf"^\s*([+-]?\d{{1,12}}):([+-]?\d{{1,9}}):([+-]?\d{{1,9}}){separator}([+-]?\d{{1,9}})"
-    got = [F.regexp_extract(s, pattern, i).try_cast("bigint") for i in range(1, 5)]
-    return got[0] * MS_HOUR + got[1] * MS_MINUTE + got[2] * 1000 + got[3] * last_unit
+    part = lambda p, i: F.get(p, F.lit(i)).try_cast("bigint")
+    return _once(F.split(F.trim(F.regexp_extract(s, pattern, 0)), "[:,.]"), lambda p: part(p, 0) * MS_HOUR + part(p, 1) * MS_MINUTE + part(p, 2) * 1000 + part(p, 3) * last_unit)
 
 
 def parse_srt_time(s: Column) -> Column:
@@ -140,9 +145,9 @@ def parse_ass_time(s: Column) -> Column:
 
 def parse_srt_time_line(s: Column) -> Column:
     """struct(start_ms, end_ms) of a line with exactly one arrow and two times, else null."""
-    parts = F.split(s, "-->")
-    pair = F.struct(parse_srt_time(F.trim(F.get(parts, F.lit(0)))).alias("start_ms"), parse_srt_time(F.trim(F.get(parts, F.lit(1)))).alias("end_ms"))
-    return F.when((F.size(parts) == 2) & pair.start_ms.isNotNull() & pair.end_ms.isNotNull(), pair)
+    times = lambda p: F.struct(parse_srt_time(F.trim(F.get(p, F.lit(0)))).alias("start_ms"), parse_srt_time(F.trim(F.get(p, F.lit(1)))).alias("end_ms"))
+    whole = lambda t: F.when(t.start_ms.isNotNull() & t.end_ms.isNotNull(), t)
+    return _once(F.split(s, "-->"), lambda p: F.when(F.size(p) == 2, _once(times(p), whole)))
 
 
 def is_digits_only(s: Column) -> Column:
@@ -151,9 +156,10 @@ def is_digits_only(s: Column) -> Column:
 
 def parse_dialogue(line: Column) -> Column:
     """struct(start_ms, end_ms, fields) of a Dialogue line; null with under ten parts or a malformed time."""
-    parts = F.split(F.regexp_replace(line, r"^Dialogue:\s*", ""), ",", 10)
-    out = F.struct(parse_ass_time(F.trim(F.get(parts, F.lit(1)))).alias("start_ms"), parse_ass_time(F.trim(F.get(parts, F.lit(2)))).alias("end_ms"), F.array_join(F.slice(parts, 4, 7), ",").alias("fields"))
-    return F.when(line.startswith("Dialogue:") & (F.size(parts) == 10) & out.start_ms.isNotNull() & out.end_ms.isNotNull(), out)
+    read = lambda p: F.struct(parse_ass_time(F.trim(F.get(p, F.lit(1)))).alias("start_ms"), parse_ass_time(F.trim(F.get(p, F.lit(2)))).alias("end_ms"), F.array_join(F.slice(p, 4, 7), ",").alias("fields"))
+    whole = lambda t: F.when(t.start_ms.isNotNull() & t.end_ms.isNotNull(), t)
+    parts = F.when(line.startswith("Dialogue:"), F.split(F.regexp_replace(line, r"^Dialogue:\s*", ""), ",", 10))
+    return _once(parts, lambda p: F.when(F.size(p) == 10, _once(read(p), whole)))
 
 
 def trim_nulls(data: Column) -> Column:

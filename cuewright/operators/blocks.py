@@ -10,16 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuewright.functions.scalars import trim_nulls
-from cuewright.operators.ordered import carried
-from cuewright.runtime import settle
+from cuewright.operators.ordered import CHUNK, carried
+from cuewright.runtime import settle, settle_table
 
 CLUSTER_MS = 1000
 CUE_INTERVAL_MS = 500
 BACKWARD_TOLERANCE_MS = 1000
-#: Ranges that are sent to every task; a time bucket in which more of them meet the blocks.
-MOST_RANGES, RANGE_BUCKET_MS = 10_000, 60_000
-#: Blocks folded by one call when clusters are built; a longer stream is cut into such pieces.
-FOLD_CHUNK = 65_536
+#: Ranges that each block is held against; the time bucket in which more of them meet the blocks.
+MOST_RANGES, RANGE_BUCKET_MS = 64, 60_000
 
 
 # --- filters and projections -------------------------------------------------------------------------------------
@@ -92,67 +90,77 @@ def track_sizes(blocks: DataFrame) -> DataFrame:
 # --- order-dependent ----------------------------------------------------------------------------------------------
 
 
-def backward_timecodes(blocks: DataFrame, tolerance_ms: int = BACKWARD_TOLERANCE_MS) -> DataFrame:
+def backward_timecodes(blocks: DataFrame, tolerance_ms: int = BACKWARD_TOLERANCE_MS, chunk: int = CHUNK) -> DataFrame:
     """Blocks whose timecode lies more than the tolerance before the previous block's, over all tracks.
 
     Adds previous_ms (0 before the first block) and block_no, the 1-based place in the stream.
     """
-    out = carried(blocks, ["path"], "block_seq", {"previous_ms": ("last", F.col("timecode_ms")), "block_no": ("count", F.lit(1))})
+    out = carried(blocks, ["path"], "block_seq", {"previous_ms": ("last", F.col("timecode_ms")), "block_no": ("count", F.lit(1))}, chunk)
     out = out.withColumn("previous_ms", F.coalesce("previous_ms", F.lit(0))).withColumn("block_no", F.col("block_no") + 1)
     return out.where(F.col("timecode_ms") < F.col("previous_ms") - tolerance_ms)
 
 
-def few_ranges(ranges: DataFrame) -> bool:
-    """Whether there are at most MOST_RANGES, so that all of them may go to every task."""
-    return ranges.limit(MOST_RANGES + 1).count() <= MOST_RANGES
+def _matched(blocks: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Blocks of each range, with range_id, _s and _e; ranges without a path hold for every one.
+
+    Up to MOST_RANGES are held against each block; more are met in time buckets.
+    """
+    spans = ranges.withColumnRenamed("start_ms", "_s").withColumnRenamed("end_ms", "_e")
+    inside = (F.col("timecode_ms") >= F.col("_s")) & ((F.col("_e") == 0) | (F.col("timecode_ms") < F.col("_e")))
+    if "path" in ranges.columns:
+        return blocks.join(spans, "path").where(inside)
+    few = spans.select("range_id", "_s", "_e").limit(MOST_RANGES + 1).collect()
+    if len(few) <= MOST_RANGES:
+        kind = spans.schema["range_id"].dataType
+        each = [F.struct(F.lit(r["range_id"]).cast(kind).alias("range_id"), F.lit(r["_s"]).cast("long").alias("_s"), F.lit(r["_e"]).cast("long").alias("_e")) for r in few]
+        if not each:
+            return blocks.select("*", F.lit(None).cast(kind).alias("range_id"), F.lit(None).cast("long").alias("_s"), F.lit(None).cast("long").alias("_e")).where(F.lit(False))
+        # What no range holds is left out before anything is exploded; this bound reaches the scan.
+        bounded = blocks.where(F.col("timecode_ms") >= min(r["_s"] for r in few))
+        if all(r["_e"] for r in few):
+            bounded = bounded.where(F.col("timecode_ms") < max(r["_e"] for r in few))
+        hit = F.filter(F.array(*each), lambda r: (F.col("timecode_ms") >= r._s) & ((r._e == 0) | (F.col("timecode_ms") < r._e)))
+        return bounded.withColumn("_r", F.explode(hit)).select(*blocks.columns, "_r.range_id", "_r._s", "_r._e")
+    last = blocks.agg(F.max("timecode_ms")).first()[0]
+    end = F.when(F.col("_e") == 0, F.lit(last)).otherwise(F.least(F.col("_e") - 1, F.lit(last)))
+    bucket = lambda c: F.floor(c / F.lit(RANGE_BUCKET_MS)).cast("long")
+    # A range that ends before it starts holds nothing; sequence() would count down.
+    live = spans.where(F.col("_s") <= end).withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_s")), bucket(end))))
+    return blocks.withColumn("_bucket", bucket(F.col("timecode_ms"))).join(live, "_bucket").where(inside).drop("_bucket")
 
 
 def split_by_ranges(blocks: DataFrame, ranges: DataFrame) -> DataFrame:
     """Blocks of each range (range_id, start_ms, end_ms; end 0 is open), times from the range's start.
 
-    ranges without a path column hold for every path: up to MOST_RANGES of
-    them go to every task, more are met in time buckets. With a path column
-    they are matched by it. Ranges may overlap.
+    ranges without a path column hold for every path; with one they are matched
+    by it. Ranges may overlap, and there may be any number of them.
     """
-    spans = ranges.withColumnRenamed("start_ms", "_s").withColumnRenamed("end_ms", "_e")
-    inside = (F.col("timecode_ms") >= F.col("_s")) & ((F.col("_e") == 0) | (F.col("timecode_ms") < F.col("_e")))
-    if "path" in ranges.columns:
-        pairs = blocks.join(spans, "path")
-    elif few_ranges(ranges):
-        pairs = blocks.crossJoin(F.broadcast(spans))
-    else:
-        last = blocks.agg(F.max("timecode_ms")).first()[0]
-        end = F.when(F.col("_e") == 0, F.lit(last)).otherwise(F.least(F.col("_e") - 1, F.lit(last)))
-        bucket = lambda c: F.floor(c / F.lit(RANGE_BUCKET_MS)).cast("long")
-        # A range that ends before it starts holds nothing; sequence() would count down.
-        live = spans.where(F.col("_s") <= end).withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_s")), bucket(end))))
-        pairs = blocks.withColumn("_bucket", bucket(F.col("timecode_ms"))).join(live, "_bucket")
-    return pairs.where(inside).withColumn("timecode_ms", F.col("timecode_ms") - F.col("_s")).select("range_id", *blocks.columns)
+    return _matched(blocks, ranges).withColumn("timecode_ms", F.col("timecode_ms") - F.col("_s")).select("range_id", *blocks.columns)
 
 
 def split_at_keyframes(blocks: DataFrame, ranges: DataFrame, tracks: DataFrame | None = None, offset_ms: int = 0) -> DataFrame:
     """Like split_by_ranges, each part from its first keyframe on and up to the first keyframe past its end.
 
-    ranges: (range_id, start_ms, end_ms), for every path; bounds of 0 are off.
-    A keyframe of any track ends a part; only one of the given tracks begins
-    it. Blocks at or past the end that are no keyframes are dropped. Each cut
-    looks at all keyframes, so there may be at most MOST_RANGES.
+    ranges: (range_id, start_ms, end_ms), for every path, any number of them;
+    bounds of 0 are off. A keyframe of any track ends a part; only one of the
+    given tracks begins it. Blocks at or past the end that are no keyframes are
+    dropped.
     """
-    if not few_ranges(ranges):
-        raise ValueError(f"more than {MOST_RANGES} ranges to cut at keyframes")
-    spans = F.broadcast(ranges.select("range_id", F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e")))
     chosen = blocks if tracks is None else blocks_of(blocks, tracks)
-    keys = lambda df: df.where("keyframe").select("path", "block_seq", "timecode_ms").crossJoin(spans)
-    after = (F.col("_s") == 0) | (F.col("timecode_ms") >= F.col("_s"))
-    stops = keys(blocks).where((F.col("_e") > 0) & (F.col("timecode_ms") >= F.col("_e")) & after).groupBy("path", "range_id").agg(F.min("block_seq").alias("_stop"))
-    inside = (F.col("timecode_ms") >= F.col("_s")) & ((F.col("_e") == 0) | (F.col("timecode_ms") < F.col("_e")))
-    starts = keys(chosen).where((F.col("_s") > 0) & inside).groupBy("path", "range_id").agg(F.min("block_seq").alias("_start"))
-    cut = chosen.crossJoin(spans).where(inside)
-    cut = cut.join(starts, ["path", "range_id"], "left").join(stops, ["path", "range_id"], "left")
+    cut = _matched(chosen, ranges)
+    # The first keyframe of a part is among its own blocks; the parts that there are ask for the keyframe that ends them.
+    parts = cut.groupBy("path", "range_id", "_s", "_e").agg(F.min(F.when(F.col("keyframe"), F.col("block_seq"))).alias("_start"))
+    # The least place of a keyframe at or past a time: a minimum carried down from the latest times; at equal times keyframes come first.
+    asks = parts.where("_e > 0").select("path", F.greatest("_s", "_e").alias("_t")).distinct()
+    keys = blocks.where("keyframe").groupBy("path", F.col("timecode_ms").alias("_t")).agg(F.min("block_seq").alias("_at"))
+    both = keys.select("path", (-F.col("_t") * 2).alias("_o"), "_at", F.lit(None).cast("long").alias("_t")).unionByName(asks.select("path", (-F.col("_t") * 2 + 1).alias("_o"), F.lit(None).cast("long").alias("_at"), "_t"))
+    told = carried(both, ["path"], "_o", {"_stop": ("min", F.col("_at"))}, chunk=20_000_000).where("_t is not null and _stop is not null").select("path", "_t", "_stop")
+    bounds = parts.withColumn("_t", F.when(F.col("_e") > 0, F.greatest("_s", "_e"))).join(told, ["path", "_t"], "left").select("path", "range_id", "_start", "_stop")
     begun = (F.col("_s") == 0) | (F.col("block_seq") >= F.col("_start"))
     # A start at or past the stop is none: the stream is left there.
     open_ = F.col("_stop").isNull() | (F.col("block_seq") < F.col("_stop"))
-    return cut.where(begun & open_).withColumn("timecode_ms", F.col("timecode_ms") - F.col("_s") + offset_ms).select("range_id", *blocks.columns)
+    out = cut.join(bounds, ["path", "range_id"]).where(begun & open_)
+    return out.withColumn("timecode_ms", F.col("timecode_ms") - F.col("_s") + offset_ms).select("range_id", *blocks.columns)
 
 
 def _exits(times: list[int], width: int) -> list[tuple[int, int]]:
@@ -184,7 +192,7 @@ def _exits(times: list[int], width: int) -> list[tuple[int, int]]:
     return steps
 
 
-def greedy_clusters(blocks: DataFrame, width_ms: int = CLUSTER_MS, chunk: int = FOLD_CHUNK) -> DataFrame:
+def greedy_clusters(blocks: DataFrame, width_ms: int = CLUSTER_MS, chunk: int = CHUNK) -> DataFrame:
     """blocks + cluster_ms: a cluster begins at the first block, and at each one width or more past its start.
 
     Every block hangs on all before it. Streams are folded in chunks: each
@@ -285,18 +293,20 @@ def cues(clustered: DataFrame, interval_ms: int = CUE_INTERVAL_MS, width_ms: int
     return chosen.where("e is not null").select("path", "cluster_ms", F.col("e.timecode_ms").alias("time_ms"), F.col("e.track_number").alias("track_number"))
 
 
-def inject_subtitles(blocks: DataFrame, subtitles: DataFrame) -> DataFrame:
+def inject_subtitles(blocks: DataFrame, subtitles: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """subtitles (path, seq, start_ms, ...) + before_seq: the block each goes directly before, null at the end.
 
     Subtitles are taken in the order of seq; each waits for the first block
     whose timecode has reached it, so a running maximum stands for both sides.
     Only rows of the two maxima that rise can decide, and those are joined in
-    time buckets of their own path.
+    time buckets of their own path. chunk is that of the blocks' order.
     """
     subs = carried(subtitles.where("start_ms is not null"), ["path"], "seq", {"_m": ("max", F.col("start_ms"))})
-    subs = subs.withColumn("_m", F.greatest("_m", "start_ms"))
-    tops = carried(blocks.select("path", "block_seq", "timecode_ms"), ["path"], "block_seq", {"_b": ("max", F.col("timecode_ms"))})
+    # Three steps read these maxima, two those of the blocks.
+    subs = settle_table(subs.withColumn("_m", F.greatest("_m", "start_ms")), "subtitles")
+    tops = carried(blocks.select("path", "block_seq", "timecode_ms"), ["path"], "block_seq", {"_b": ("max", F.col("timecode_ms"))}, chunk)
     tops = tops.where(F.col("_b").isNull() | (F.col("timecode_ms") > F.col("_b"))).select("path", "block_seq", F.col("timecode_ms").alias("_top"))
+    tops = settle_table(tops, "tops")
     # The first rise at or above _m: an as-of join, as a union carried backwards in the order of time.
     events = tops.select("path", (-F.col("_top") * 2 - 0).alias("_o"), F.col("block_seq").alias("_at"), F.lit(None).cast("long").alias("_m"))
     asks = subs.select("path", "_m").distinct().select("path", (-F.col("_m") * 2 + 1).alias("_o"), F.lit(None).cast("long").alias("_at"), "_m")
@@ -304,9 +314,9 @@ def inject_subtitles(blocks: DataFrame, subtitles: DataFrame) -> DataFrame:
     return subs.join(answered, ["path", "_m"]).select(*subtitles.columns, "before_seq")
 
 
-def numbered(df: DataFrame, keys: Sequence[str], order: str, name: str, start: int = 1) -> DataFrame:
+def numbered(df: DataFrame, keys: Sequence[str], order: str, name: str, start: int = 1, chunk: int = CHUNK) -> DataFrame:
     """df + consecutive numbers by order within keys."""
-    out = carried(df, keys, order, {name: ("count", F.lit(1))})
+    out = carried(df, keys, order, {name: ("count", F.lit(1))}, chunk)
     return out.withColumn(name, F.col(name) + start)
 
 

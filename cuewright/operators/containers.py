@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewright.functions.scalars import quoted
-from cuewright.operators.blocks import backward_timecodes, blocks_of, counts_by_track, remapped, stream_totals
+from cuewright.operators.blocks import backward_timecodes, blocks_of, counts_by_track, numbered, remapped
+from cuewright.operators.ordered import CHUNK, carried
 
 MAX_SEQ = 1 << 40
 
@@ -20,56 +21,60 @@ def _issue(severity: str, message: Column | str, check: str) -> list[Column]:
 # --- validation ---------------------------------------------------------------------------------------------------
 
 
-def validate(segments: DataFrame, tracks: DataFrame, blocks: DataFrame) -> DataFrame:
+#: Files of up to this many bytes may well hold metadata only.
+LEAST_FILE = 1024
+
+
+def validate(segments: DataFrame, tracks: DataFrame, blocks: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(path, check_id, severity, message): what is wrong with each container of segments.
 
     Null texts count as empty, a null scale or duration as 0. Blocks and
-    tracks of other paths are not looked at.
+    tracks of other paths are not looked at. A file_bytes column of segments,
+    if there is one, spares small files the note that they have no blocks.
+    A path's tracks are few and are held together; its blocks are counted.
     """
-    seg = segments.select("path", "timecode_scale", "duration", "duration_ms", "muxing_app", "writing_app")
-    tr = tracks.join(seg.select("path"), "path", "left_semi")
-    blk = blocks.select("path", "block_seq", "track_number", "timecode_ms", "keyframe").join(seg.select("path"), "path", "left_semi")
-    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    seg = segments.select("path", "timecode_scale", "duration", "duration_ms", "muxing_app", "writing_app", *(["file_bytes"] if "file_bytes" in segments.columns else []))
+    blk = blocks.select("path", "block_seq", "track_number", "timecode_ms", "keyframe")
+    entry = F.struct("track_index", "track_id", "type", "codec", "language", "width", "height", F.coalesce(F.length("codec_private"), F.lit(0)).alias("private"), "sample_rate")
+    listed = tracks.groupBy("path").agg(F.sort_array(F.collect_list(entry)).alias("tracks"))
+    per_track = blk.groupBy("path", "track_number").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or("keyframe"), F.lit(False)).alias("key"))
+    counted = per_track.groupBy("path").agg(F.sum("n").alias("n_blocks"), F.bool_or("key").alias("any_keyframe"), F.collect_list("track_number").alias("filled"))
+    have = seg.join(listed, "path", "left").join(counted, "path", "left").withColumn("tracks", F.coalesce("tracks", F.array().cast(listed.schema["tracks"].dataType)))
+    empty = lambda c: F.coalesce(c, F.lit("")) == ""
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)) == 0
-    out = []
+    none = F.col("n_blocks").isNull()
+    large = F.coalesce(F.col("file_bytes") > LEAST_FILE, F.lit(True)) if "file_bytes" in seg.columns else F.lit(True)
     checks = [
         ("V01", "error", "missing TimecodeScale", zero("timecode_scale")),
         ("V02", "warning", "no duration set", zero("duration") & zero("duration_ms")),
-        ("V03", "warning", "missing MuxingApp", empty("muxing_app")),
-        ("V04", "warning", "missing WritingApp", empty("writing_app")),
+        ("V03", "warning", "missing MuxingApp", empty(F.col("muxing_app"))),
+        ("V04", "warning", "missing WritingApp", empty(F.col("writing_app"))),
+        ("V05", "error", "no tracks", F.size("tracks") == 0),
+        ("V12", "warning", "no video track", ~F.exists("tracks", lambda t: F.coalesce(t.type == "video", F.lit(False)))),
+        ("V16", "warning", "no blocks found (metadata-only file?)", none & large),
+        ("V17", "warning", "no keyframes found", ~none & ~F.col("any_keyframe")),
     ]
-    # All checks of a row in one pass: an array of those that fire.
-    fired = F.filter(F.array(*[F.when(when, F.struct(*_issue(sev, msg, cid))) for cid, sev, msg, when in checks]), lambda x: x.isNotNull())
-    out.append(seg.select("path", F.explode(fired).alias("i")).select("path", "i.*"))
-    per_path = tr.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("type") == "video").alias("video"))
-    have = seg.select("path").join(per_path, "path", "left")
-    out.append(have.where("n is null").select("path", *_issue("error", "no tracks", "V05")))
-    out.append(have.where(~F.coalesce("video", F.lit(False))).select("path", *_issue("warning", "no video track", "V12")))
-    tid = F.col("track_id").cast("string")
-    # A path's tracks are few; their window is small.
-    nth = F.row_number().over(Window.partitionBy("path", "track_id").orderBy("track_index"))
-    say = lambda text: F.concat(F.lit("track "), tid, F.lit(text))
-    per_track = [
-        ("V07", "error", say(": no codec"), empty("codec")),
-        ("V08", "warning", say(": video without dimensions"), (F.col("type") == "video") & (F.col("width").isNull() | F.col("height").isNull())),
-        ("V09", "warning", say(": video without CodecPrivate"), (F.col("type") == "video") & (F.coalesce(F.length("codec_private"), F.lit(0)) == 0)),
-        ("V10", "warning", say(": audio without sample rate"), (F.col("type") == "audio") & F.col("sample_rate").isNull()),
-        ("V11", "warning", say(": no language set"), empty("language")),
-    ]
-    dup = F.when(F.col("_nth") > 1, F.struct(*_issue("error", F.concat(F.lit("duplicate track ID "), tid), "V06")))
-    fired = F.filter(F.array(dup, *[F.when(when, F.struct(*_issue(sev, msg, cid))) for cid, sev, msg, when in per_track]), lambda x: x.isNotNull())
-    out.append(tr.withColumn("_nth", nth).select("path", F.explode(fired).alias("i")).select("path", "i.*"))
-    back = backward_timecodes(blk)
+
+    def of_track(t: Column, i: Column) -> Column:
+        say = lambda text: F.concat(F.lit("track "), t.track_id.cast("string"), F.lit(text))
+        video, audio = t.type == "video", t.type == "audio"
+        again = F.exists(F.slice(F.col("tracks"), F.lit(1), i), lambda x: x.track_id == t.track_id)
+        found = [
+            ("V06", "error", F.concat(F.lit("duplicate track ID "), t.track_id.cast("string")), again),
+            ("V07", "error", say(": no codec"), empty(t.codec)),
+            ("V08", "warning", say(": video without dimensions"), video & (t.width.isNull() | t.height.isNull())),
+            ("V09", "warning", say(": video without CodecPrivate"), video & (t.private == 0)),
+            ("V10", "warning", say(": audio without sample rate"), audio & t.sample_rate.isNull()),
+            ("V11", "warning", say(": no language set"), empty(t.language)),
+            ("V18", "warning", F.concat(say(" ("), F.coalesce(t.type, F.lit("")), F.lit("): no blocks")), ~none & ~F.array_contains("filled", t.track_id)),
+        ]
+        return F.array(*[F.when(when, F.struct(*_issue(sev, msg, cid))) for cid, sev, msg, when in found])
+
+    fired = F.concat(F.array(*[F.when(when, F.struct(*_issue(sev, msg, cid))) for cid, sev, msg, when in checks]), F.flatten(F.transform("tracks", of_track)))
+    out = have.select("path", F.explode(F.filter(fired, lambda x: x.isNotNull())).alias("i")).select("path", "i.*")
+    back = backward_timecodes(blk, chunk=chunk).join(seg.select("path"), "path", "left_semi")
     text = F.concat(F.lit("timecode went backwards: "), F.col("previous_ms").cast("string"), F.lit("ms → "), F.col("timecode_ms").cast("string"), F.lit("ms at block "), F.col("block_no").cast("string"))
-    out.append(back.select("path", *_issue("warning", text, "V15")))
-    totals = stream_totals(blk)
-    out.append(seg.select("path").join(totals, "path", "left_anti").select("path", *_issue("warning", "no blocks found (metadata-only file?)", "V16")))
-    out.append(totals.where(~F.col("any_keyframe")).select("path", *_issue("warning", "no keyframes found", "V17")))
-    out.append(tracks_without_blocks(tr, blk).select("path", *_issue("warning", F.concat(F.lit("track "), tid, F.lit(" ("), F.coalesce("type", F.lit("")), F.lit("): no blocks")), "V18")))
-    result = out[0]
-    for more in out[1:]:
-        result = result.unionByName(more)
-    return result
+    return out.unionByName(back.select("path", *_issue("warning", text, "V15")))
 
 
 def tracks_without_blocks(tracks: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -84,6 +89,27 @@ def issue_text(severity: Column, message: Column) -> Column:
     return F.concat(F.lit("["), severity, F.lit("] "), message)
 
 
+def probe_json(segments: DataFrame, tracks: DataFrame, chapters: DataFrame, attachments: DataFrame | None = None, tags: DataFrame | None = None, simple_tags: DataFrame | None = None, cues: DataFrame | None = None) -> DataFrame:
+    """(path, json): the metadata of each container of segments as one JSON text; what is null is left out.
+
+    Trees are told by node and parent_node. A path's metadata is held together,
+    attachments without their data.
+    """
+    parts = {
+        "tracks": (tracks, ["track_index", "track_id", "type", "codec", "language", "name", "is_default", "is_forced", "width", "height", "channels", "sample_rate", "bit_depth", "track_uid"]),
+        "chapters": (chapters, ["node", "parent_node", "depth", "ordinal", "id", "title", "start_ms", "end_ms"]),
+        "attachments": (attachments, ["att_index", "id", "name", "mime_type", "size"]),
+        "tags": (tags, ["tag_index", "target_type", "target_id"]),
+        "simple_tags": (simple_tags, ["tag_index", "node", "parent_node", "depth", "name", "value", "language"]),
+        "cues": (cues, ["cue_index", "time_raw", "time_ms", "track", "cluster_pos"]),
+    }
+    out = segments.select("path", *[c for c in ("title", "muxing_app", "writing_app", "duration_ms", "timecode_scale") if c in segments.columns])
+    for name, (df, columns) in parts.items():
+        if df is not None:
+            out = out.join(df.groupBy("path").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name)), "path", "left")
+    return out.select("path", F.to_json(F.struct(*out.columns), {"pretty": "true"}).alias("json"))
+
+
 # --- comparison ---------------------------------------------------------------------------------------------------
 
 
@@ -225,8 +251,8 @@ def mux_tracks(inputs: DataFrame, tracks: DataFrame) -> DataFrame:
     found = inputs.join(first, ["path", "track_id"], "left")
     ok = F.when(F.col("t").isNull(), F.raise_error(F.concat(F.lit("track "), F.col("track_id").cast("string"), F.lit(" not found in "), F.col("path")))).otherwise(F.col("t.type"))
     over = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c)).otherwise(F.col(f"t.{c}")).alias(c)
-    new = F.row_number().over(Window.partitionBy("dst").orderBy("ord")).cast("long")
-    return found.select("dst", new.alias("new_id"), "ord", "path", F.col("track_id").alias("old_id"), ok.alias("type"), F.col("t.codec").alias("codec"), over("language"), over("name"), F.coalesce("is_default", F.lit(False)).alias("is_default"))
+    found = numbered(found, ["dst"], "ord", "new_id")
+    return found.select("dst", "new_id", "ord", "path", F.col("track_id").alias("old_id"), ok.alias("type"), F.col("t.codec").alias("codec"), over("language"), over("name"), F.coalesce("is_default", F.lit(False)).alias("is_default"))
 
 
 def mux_blocks(muxed: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -260,9 +286,8 @@ def _listed(tracks: DataFrame) -> DataFrame:
 
 def join_offsets(sources: DataFrame, segments: DataFrame) -> DataFrame:
     """sources (dst, ord, path) + offset_ms: the durations of the sources before."""
-    w = Window.partitionBy("dst").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     own = sources.join(segments.select("path", "duration_ms"), "path", "left").withColumn("duration_ms", F.coalesce("duration_ms", F.lit(0)))
-    return own.withColumn("offset_ms", F.coalesce(F.sum("duration_ms").over(w), F.lit(0)))
+    return carried(own, ["dst"], "ord", {"offset_ms": ("sum", F.col("duration_ms"))})
 
 
 def join_blocks(sources: DataFrame, segments: DataFrame, tracks: DataFrame, blocks: DataFrame) -> DataFrame:

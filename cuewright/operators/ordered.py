@@ -13,7 +13,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuewright.runtime import settle
+
+#: Order numbers of a chunk where they are consecutive.
 CHUNK = 65_536
+#: Where they are places in a file: about what one task reads of it.
+FILE_CHUNK = 64 << 20
 
 
 def carried(df: DataFrame, keys: Sequence[str], order: str, wanted: Mapping[str, tuple[str, Column]], chunk: int = CHUNK) -> DataFrame:
@@ -22,7 +27,9 @@ def carried(df: DataFrame, keys: Sequence[str], order: str, wanted: Mapping[str,
     wanted: name -> (kind, value); kinds are count (of rows; value is unused),
     sum, max, min and last (non-null value). The row itself is not in its own
     fold. Without rows before a count or sum is 0, others are null. order is an
-    integer column, unique within keys; keys are never null.
+    integer column, unique within keys; keys are never null. chunk is the width
+    of a chunk in order numbers: FILE_CHUNK for the block_seq of files, which are
+    byte offsets.
     """
     piece = "_chunk"
     rows = df.withColumn(piece, F.floor(F.col(order) / F.lit(chunk)).cast("long"))
@@ -47,3 +54,16 @@ def carried(df: DataFrame, keys: Sequence[str], order: str, wanted: Mapping[str,
     totals = rows.groupBy(*keys, piece).agg(*aggs)
     before = totals.select(*keys, piece, *outer)
     return rows.join(before, [*keys, piece]).select(*df.columns, *joined)
+
+
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """df with 1-based numbers within keys by any sortable columns, however few keys there are.
+
+    The rows are spread by ranges of keys and order; each range numbers its own
+    rows, and counts are carried over the ranges. df is written out once, since
+    ranges must not change between the two steps.
+    """
+    place = "_place"
+    spread = settle(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn(place, F.monotonically_increasing_id()))
+    # The upper bits of these ids are the range's number.
+    return carried(spread, keys, place, {name: ("count", F.lit(1))}, chunk=1 << 33).withColumn(name, F.col(name) + 1).drop(place)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cuewright.functions.scalars import ass_time, default_subtitle_end, is_digits_only, parse_dialogue, parse_srt_time_line, srt_time
 from cuewright.operators.blocks import numbered
+from cuewright.operators.ordered import CHUNK
 
 
 def parse_srt(files: DataFrame, text: str = "value") -> DataFrame:
@@ -64,20 +65,20 @@ def ass_dialogue(layer: Column, start_ms: Column, end_ms: Column, fields: Column
     return F.concat(F.lit("Dialogue: "), layer, F.lit(","), ass_time(start_ms), F.lit(","), ass_time(end_ms), F.lit(","), fields)
 
 
-def render_srt(events: DataFrame) -> DataFrame:
+def render_srt(events: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """events (path, seq, start_ms, end_ms, text) -> (path, number, cue): numbered texts of the cues with text and times.
 
     One row a cue, so a file of any length is spread; a writer joins them in the order of number.
     """
     kept = events.where("text is not null and length(text) > 0 and start_ms is not null and end_ms is not null")
-    out = numbered(kept, ["path"], "seq", "number")
+    out = numbered(kept, ["path"], "seq", "number", chunk=chunk)
     return out.select("path", "number", srt_cue(F.col("number"), F.col("start_ms"), F.col("end_ms"), F.col("text")).alias("cue"))
 
 
-def extract_srt(subtitle_blocks: DataFrame) -> DataFrame:
+def extract_srt(subtitle_blocks: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Blocks of a subtitle track (path, block_seq, timecode_ms, text) as cues of the default length."""
     events = subtitle_blocks.select("path", F.col("block_seq").alias("seq"), F.col("timecode_ms").alias("start_ms"), default_subtitle_end(F.col("timecode_ms")).alias("end_ms"), "text")
-    return render_srt(events)
+    return render_srt(events, chunk)
 
 
 def extract_ass(payloads: DataFrame) -> DataFrame:

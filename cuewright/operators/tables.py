@@ -22,5 +22,12 @@ def one_of_each(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def distinct_blocks(df: DataFrame, payload: bool = True) -> DataFrame:
-    """Blocks by (path, block_seq); payload=False leaves the data out of scan and shuffle."""
-    return one_of_each(df if payload else df.drop("data"), ["path", "block_seq"])
+    """Blocks whose deliveries agree, each once; payload=False leaves the data out of scan and shuffle.
+
+    All columns but the data are grouped by, so filters on any of them reach
+    the scan, and consumers of different columns share one exchange.
+    """
+    slim = df.drop("data")
+    if not payload or "data" not in df.columns:
+        return slim.distinct()
+    return df.groupBy(*slim.columns).agg(F.first("data").alias("data")).select(*df.columns)

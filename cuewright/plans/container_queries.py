@@ -10,6 +10,7 @@ from cuewright.functions.codecs import CODEC_NAMES, codec_id_from_short, codec_s
 from cuewright.operators import blocks as B
 from cuewright.operators import containers as C
 from cuewright.operators import subtitles as U
+from cuewright.operators.ordered import ranked
 from cuewright.operators.tables import distinct_blocks, latest_rows, one_of_each
 from cuewright.runtime import table
 
@@ -170,7 +171,7 @@ def track_filter(spark, d):
 
 @query(_with("b") + f"select {_ROW} from b where timecode_ms >= 2000 and timecode_ms < 5000")
 def time_range(spark, d):
-    return B.time_range(_blocks(spark, d), 2000, 5000)
+    return B.time_range(_blocks(spark, d), 2000, 5000)  # the filter passes below the deduplication
 
 
 @query(_with("b") + "select path, block_seq, timecode_ms - 2000 + 150 as timecode_ms from b where timecode_ms >= 2000")
@@ -233,13 +234,21 @@ def chapter_listing(spark, d):
     return _chapters(spark, d).where("depth = 0 and start_ms is not null").select("path", "node", F.concat(S.clock_time(F.col("start_ms")), F.lit(" "), F.coalesce("title", F.lit(""))).alias("line"))
 
 
-@query(None)
+@query(
+    _with("stc")
+    + """select path, 'info' as part, cast(0 as bigint) as at, title, cast(null as varchar) as kind, cast(duration_ms as bigint) as start_ms from s
+    union all select path, 'tracks', track_index, name, type || '/' || coalesce(codec, '') || '/' || coalesce(cast(width as varchar), ''), cast(track_id as bigint) from t semi join s using (path)
+    union all select path, 'chapters', node, title, cast(parent_node as varchar), start_ms from c semi join s using (path)"""
+)
 def probe_json(spark, d):
-    """Everything of a container's metadata as one JSON text."""
-    tracks = _tracks(spark, d).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("track_index", "track_id", "type", "codec", "language", "name"))).alias("tracks"))
-    chapters = _chapters(spark, d).where("depth = 0").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("ordinal", "title", "start_ms", "end_ms"))).alias("chapters"))
-    out = _segments(spark, d).join(tracks, "path", "left").join(chapters, "path", "left")
-    return out.select("path", F.to_json(F.struct("path", "title", "muxing_app", "writing_app", "duration_ms", "timecode_scale", "tracks", "chapters"), {"pretty": "true"}).alias("json"))
+    """Everything of a container's metadata as one JSON text, read back for comparison."""
+    made = C.probe_json(_segments(spark, d), _tracks(spark, d), _chapters(spark, d))
+    schema = "title string, duration_ms bigint, tracks array<struct<track_index:bigint,track_id:bigint,type:string,codec:string,name:string,width:bigint>>, chapters array<struct<node:bigint,parent_node:bigint,title:string,start_ms:bigint>>"
+    j = made.select("path", F.from_json("json", schema).alias("j")).select("path", "j.*")
+    one = j.select("path", F.lit("info").alias("part"), F.lit(0).cast("bigint").alias("at"), "title", F.lit(None).cast("string").alias("kind"), F.col("duration_ms").alias("start_ms"))
+    tracks = j.select("path", F.explode("tracks").alias("x")).select("path", F.lit("tracks").alias("part"), F.col("x.track_index").alias("at"), F.col("x.name").alias("title"), F.concat("x.type", F.lit("/"), F.coalesce("x.codec", F.lit("")), F.lit("/"), F.coalesce(F.col("x.width").cast("string"), F.lit(""))).alias("kind"), F.col("x.track_id").alias("start_ms"))
+    chapters = j.select("path", F.explode("chapters").alias("x")).select("path", F.lit("chapters").alias("part"), F.col("x.node").alias("at"), F.col("x.title").alias("title"), F.col("x.parent_node").cast("string").alias("kind"), "x.start_ms")
+    return one.unionByName(tracks).unionByName(chapters)
 
 
 # --- splits, clusters, cues ---------------------------------------------------------------------------------------
@@ -348,8 +357,8 @@ _INPUTS = f"i as (select {_DIR} as dst, row_number() over (partition by {_DIR} o
 def _mux_inputs(spark, d, types: list[str] | None) -> DataFrame:
     tracks = _tracks(spark, d)
     chosen = tracks.where(F.col("type").isin(types)) if types else tracks
-    ord_ = F.row_number().over(Window.partitionBy(_folder()).orderBy("path", "track_index")).cast("long")
-    return chosen.select(_folder().alias("dst"), ord_.alias("ord"), "path", "track_id").select("*", F.lit(None).cast("string").alias("language"), F.when(F.col("ord") == 1, "Main").alias("name"), (F.col("ord") == 1).alias("is_default"))
+    listed = ranked(chosen.select(_folder().alias("dst"), "path", "track_index", "track_id"), ["dst"], ["path", "track_index"], "ord")
+    return listed.select("dst", "ord", "path", "track_id").select("*", F.lit(None).cast("string").alias("language"), F.when(F.col("ord") == 1, "Main").alias("name"), (F.col("ord") == 1).alias("is_default"))
 
 
 @query(
@@ -381,7 +390,7 @@ _SOURCES = f"o as (select {_DIR} as dst, row_number() over (partition by {_DIR}
 
 
 def _sources(spark, d) -> DataFrame:
-    return _segments(spark, d).select(_folder().alias("dst"), F.row_number().over(Window.partitionBy(_folder()).orderBy("path")).cast("long").alias("ord"), "path")
+    return ranked(_segments(spark, d).select(_folder().alias("dst"), "path"), ["dst"], ["path"], "ord").select("dst", "ord", "path")
 
 
 _OFFSETS = "z as (select o.dst, o.ord, o.path, cast(coalesce(sum(coalesce(duration_ms, 0)) over (partition by dst order by ord rows between unbounded preceding and 1 preceding), 0) as bigint) as offset_ms from o join s using (path))"
@@ -431,8 +440,9 @@ _PAIRS = f"x as (select * from (select path as pair, path as a, lead(path) over
 
 
 def _sides(spark, d, df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    after = F.lead("path").over(Window.partitionBy(_folder()).orderBy("path"))
-    pairs = _segments(spark, d).select(F.col("path").alias("pair"), F.col("path").alias("a"), after.alias("z")).where("z is not null")
+    listed = ranked(_segments(spark, d).select(_folder().alias("dst"), "path"), ["dst"], ["path"], "n")
+    after = listed.select("dst", (F.col("n") - 1).alias("n"), F.col("path").alias("z"))
+    pairs = listed.join(after, ["dst", "n"]).select(F.col("path").alias("pair"), F.col("path").alias("a"), "z")
     side = lambda c: df.join(pairs.select("pair", F.col(c).alias("path")), "path")
     return side("a"), side("z")
 
@@ -526,10 +536,10 @@ def ass_render(spark, d):
     return ev.select("path", "seq", U.ass_dialogue(F.lit("0"), F.col("start_ms"), F.col("end_ms"), F.col("fields")).alias("line"))
 
 
-@query(_with("a") + "select path, seq, start_ms // 10 * 10 as start_ms, end_ms // 10 * 10 as end_ms, fields from a where start_ms is not null and end_ms is not null and len(string_split(fields, ',')) >= 7 and not contains(fields, chr(10))")
+@query(_with("a") + "select path, seq, start_ms // 10 * 10 as start_ms, end_ms // 10 * 10 as end_ms, fields from a where start_ms is not null and end_ms is not null and len(string_split(fields, ',')) >= 7")
 def ass_parse(spark, d):
-    lines = ass_render(spark, d).where(~F.col("line").contains("\n"))
-    return lines.withColumn("p", S.parse_dialogue(F.col("line"))).where("p is not null").select("path", "seq", "p.start_ms", "p.end_ms", "p.fields")
+    parsed = F.filter(F.array(S.parse_dialogue(F.col("line"))), lambda x: x.isNotNull())
+    return ass_render(spark, d).select("path", "seq", F.explode(parsed).alias("p")).select("path", "seq", "p.start_ms", "p.end_ms", "p.fields")
 
 
 @query(_with("a") + "select path, seq, (row_number() over (partition by path order by seq) - 1) || ',0,' || fields as payload from a where fields is not null")

@@ -7,7 +7,10 @@ import os
 import shutil
 import sysconfig
 import tempfile
+import threading
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,23 +48,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _checkpoint_folder(spark: SparkSession) -> None:
+    """Sets the folder for intermediate data; it is emptied when the program ends."""
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        sc.setCheckpointDir(named)
+    if not named:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="cuewright-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    sc.setCheckpointDir(named)
+    # Below the named folder Spark makes one for this session.
+    own, jvm = sc.getCheckpointDir(), sc._jvm
+    path = jvm.org.apache.hadoop.fs.Path(own)
+    system = path.getFileSystem(sc._jsc.hadoopConfiguration())
+
+    def clear() -> None:
+        try:
+            system.delete(path, True)
+        except Exception:  # noqa: BLE001 - the session may be gone by now
+            pass
+
+    atexit.register(clear)
+
+
+@contextmanager
+def task_progress(spark: SparkSession, callback: Callable[[int, int], None] | None, seconds: float = 0.1) -> Iterator[None]:
+    """Calls callback(tasks done, tasks in all) of the running stages while the block runs; None does nothing."""
+    if callback is None:
+        yield
         return
-    own = tempfile.mkdtemp(prefix="cuewright-checkpoint-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    sc.setCheckpointDir(own)
+    over = threading.Event()
+
+    def watch() -> None:
+        tracker = spark.sparkContext.statusTracker()
+        while not over.wait(seconds):
+            try:
+                stages = [tracker.getStageInfo(s) for s in tracker.getActiveStageIds()]
+            except Exception:  # noqa: BLE001 - the session is being stopped
+                return
+            live = [s for s in stages if s is not None]
+            if live:
+                callback(sum(s.numCompletedTasks for s in live), sum(s.numTasks for s in live))
+
+    thread = threading.Thread(target=watch, daemon=True)
+    thread.start()
+    try:
+        yield
+    finally:
+        over.set()
+        thread.join()
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and read it back.
 
-    The folder is the one the session names in spark.checkpoint.dir; only
-    where that is unset (tests, local runs) a private one is made.
+    The folder is the one the session names in spark.checkpoint.dir; only in
+    local mode, where it may be unset, a private one is made.
     """
     _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -9,6 +9,8 @@ SIMPLE_TAGS = "path string, tag_index int, node int, parent_node int, depth int,
 CUES = "path string, cue_index int, time_raw bigint, time_ms bigint, track bigint, cluster_pos bigint"
 BLOCKS = "path string, block_seq bigint, lace_index int, cluster_pos bigint, cluster_ts_raw bigint, track_number bigint, timecode_ms bigint, keyframe boolean, data binary, data_len bigint"
 ELEMENTS = "path string, offset bigint, depth int, id bigint, name string, header_len int, size bigint"
-ERRORS = "path string, table string, message string"
+ERRORS = "path string, table string, n_blocks bigint, message string"
+FILES = "path string, length bigint"
+SEEKS = "path string, seek_index int, name string, position bigint, is_there boolean"
 
-TABLES = {"segments": SEGMENTS, "tracks": TRACKS, "chapters": CHAPTERS, "attachments": ATTACHMENTS, "tags": TAGS, "simple_tags": SIMPLE_TAGS, "cues": CUES, "blocks": BLOCKS, "elements": ELEMENTS, "errors": ERRORS}
+TABLES = {"segments": SEGMENTS, "tracks": TRACKS, "chapters": CHAPTERS, "attachments": ATTACHMENTS, "tags": TAGS, "simple_tags": SIMPLE_TAGS, "cues": CUES, "blocks": BLOCKS, "elements": ELEMENTS, "errors": ERRORS, "files": FILES, "seeks": SEEKS}

@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator, Mapping, Sequence
 from typing import Any
 
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ from cuewright.sources import ebml as X
 from cuewright.sources.container_source import Container, resolve
 
 APP = "cuewright"
+#: Bytes copied at a time where a file can't be changed in place.
+COPY_BYTES = 8 << 20
 _LONG_IDS = {v: k for k, v in CODEC_NAMES.items()}
 Row = Mapping[str, Any]
 
@@ -74,19 +77,22 @@ def encode_chapters(chapters: Iterable[Row]) -> bytes:
     for c in rows:
         below.setdefault(c.get("parent_node", -1), []).append(c)
 
-    def atom(c: Row, depth: int) -> bytes:
-        if depth > 500:
-            raise X.FormatError("chapters nest too deep to be written")
+    # From the deepest rows up, so that any depth will do: a node's children are encoded before it.
+    done: dict[int, bytes] = {}
+    order, stack = [], list(below.get(-1, []))
+    while stack:
+        c = stack.pop()
+        order.append(c)
+        stack += below.get(c["node"], [])
+    for c in reversed(order):
         out = [X.encode("chapter_uid", int(c.get("id") or 0) or c["node"] + 1), X.encode("chapter_start", (c.get("start_ms") or 0) * 1_000_000)]
         if (c.get("end_ms") or 0) > 0:
             out.append(X.encode("chapter_end", c["end_ms"] * 1_000_000))
         if c.get("title"):
             out.append(X.encode("display", X.encode("chapter_string", c["title"]) + X.encode("chapter_language", "und")))
         out.append(X.encode("chapter_segment_uid", c.get("segment_uid")))
-        out += [atom(x, depth + 1) for x in below.get(c["node"], [])]
-        return X.encode("chapter", b"".join(out))
-
-    body = b"".join(atom(c, 0) for c in below.get(-1, []))
+        done[c["node"]] = X.encode("chapter", b"".join(out + [done.pop(x["node"]) for x in below.get(c["node"], [])]))
+    body = b"".join(done[c["node"]] for c in below.get(-1, []))
     return X.encode("chapters", X.encode("edition", body)) if body else b""
 
 
@@ -352,6 +358,24 @@ def edit_in_place(path: str, parts: Sequence[bytes]) -> None:
     gap = end - start - len(body)
     if gap < 0 or gap == 1:
         raise X.FormatError(f"{len(body)} bytes of metadata don't fit a region of {end - start}")
-    with open(path, "r+b") as f:
-        f.seek(start)
-        f.write(body + X.void(gap))
+    system, where = resolve(path)
+    made = body + X.void(gap)
+    if isinstance(system, pafs.LocalFileSystem):
+        with open(where, "r+b") as f:
+            f.seek(start)
+            f.write(made)
+        return
+    # Elsewhere files can't be changed in part: the file is written beside itself and moved.
+    beside = f"{where}._{uuid.uuid4().hex}"
+    with system.open_input_file(where) as old, system.open_output_stream(beside) as new:
+        for begin, stop in ((0, start), (end, old.size())):
+            old.seek(begin)
+            while begin < stop:
+                piece = old.read(min(COPY_BYTES, stop - begin))
+                if not piece:
+                    raise X.FormatError("file cut short")
+                new.write(piece)
+                begin += len(piece)
+            if stop == start:
+                new.write(made)
+    system.move(beside, where)

@@ -4,37 +4,62 @@
     spark.read.format("container").option("table", "blocks").load("/media")
 
 Options: table (see schemas.TABLES), payload (false leaves data columns null
-and frame bytes unread beyond their headers' needs), mode (PERMISSIVE skips a
+and attachment bytes unread), mode (PERMISSIVE skips a
 broken file or its rest, FAILFAST raises), laces (standard or compat: the bias
 of size differences, see ebml.lace_sizes), startMs and endMs (blocks of that
 time only; clusters that can't hold any are passed over unread), splitBytes (how much of a file one
 task reads when blocks are read). Files are read through pyarrow's file
-systems, so any URI that those know will do.
+systems, so any URI that those know will do; other file systems are registered
+with register_filesystem(), and contents held in a column are read by
+decode_containers().
+
+Metadata is looked up before the first cluster and by the seek head; the
+clusters are walked over only for what neither has. A split of a file finds
+its first cluster by the cue index, or where that isn't listed by the
+cluster's own mark, so what it reads doesn't grow with its place in the file.
 """
 
 from __future__ import annotations
 
 import fnmatch
-from collections.abc import Iterator
+import io
+from collections.abc import Callable, Iterator
 from decimal import Decimal
-from typing import Any
+from typing import Any, BinaryIO
 
 import pyarrow as pa
 from pyarrow import fs as pafs
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from cuewright.functions.codecs import CODEC_NAMES
-from cuewright.runtime import ship
+from cuewright.runtime import col, require, ship
 from cuewright.schemas import TABLES
 from cuewright.sources import ebml as X
 
 BATCH_ROWS, BATCH_BYTES = 4096, 16 << 20
 DEFAULT_SPLIT = 128 << 20
+#: Bytes read at once in the search for a cluster's mark, and elements after it that must be in order.
+SEARCH_BYTES, SEARCH_CHAIN = 1 << 20, 4
+
+_FILESYSTEMS: dict[str, Callable[[], pafs.FileSystem]] = {}
+
+
+def register_filesystem(scheme: str, make: Callable[[], pafs.FileSystem]) -> None:
+    """Paths 'scheme://...' go to the file system that make() gives, called where it is needed.
+
+    Register it in a module that workers import too; what is registered on the
+    driver alone is known there alone.
+    """
+    _FILESYSTEMS[scheme] = make
 
 
 def resolve(path: str) -> tuple[pafs.FileSystem, str]:
+    scheme, mark, rest = path.partition("://")
+    if mark and scheme in _FILESYSTEMS:
+        return _FILESYSTEMS[scheme](), rest
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
@@ -60,21 +85,64 @@ def uid(v: int | None) -> Decimal | None:
 class Container:
     """One open file: the headers of its parts, and each relation's rows."""
 
-    def __init__(self, path: str, standard_laces: bool = False) -> None:
+    def __init__(self, path: str, standard_laces: bool = False, f: BinaryIO | None = None) -> None:
         self.path, self.standard_laces = path, standard_laces
-        system, where = resolve(path)
-        self.f = system.open_input_file(where)
-        self.length = self.f.size()
+        if f is None:
+            system, where = resolve(path)
+            f = system.open_input_file(where)
+        self.f = f
+        self.length = f.seek(0, 2)
         self.segment = X.open_segment(self.f)
-
-    def parts(self) -> Iterator[X.Head]:
-        return X.level_one(self.f, self.segment, self.length)
+        self.heads_read = 0
+        self._front: list[X.Head] | None = None
+
+    def parts(self, at: int | None = None) -> Iterator[X.Head]:
+        """Headers of the segment's children, from one of them on."""
+        for head in X.level_one(self.f, self.segment, self.length, at):
+            self.heads_read += 1
+            yield head
+
+    def front(self) -> list[X.Head]:
+        """Children up to and with the first cluster."""
+        if self._front is None:
+            out = []
+            for head in self.parts():
+                out.append(head)
+                if head.element == X.CLUSTER_ID:
+                    break
+            self._front = out
+        return self._front
+
+    def seeks(self) -> list[tuple[int, int]]:
+        """(element id, offset in the file) of the entries of the seek head."""
+        out = []
+        for head in self.front():
+            if head.element == X.SEEK_HEAD_ID:
+                for entry in X.decode_master(X.read_body(self.f, head)).all("seek"):
+                    raw = entry.last("seek_id", b"")
+                    if raw:
+                        out.append((int.from_bytes(raw, "big"), self.segment.body + entry.last("seek_position", 0)))
+        return out
+
+    def find(self, *names: str) -> list[X.Head]:
+        """Headers of the named parts in file order: those before the clusters, then those the seek head lists, else any."""
+        wanted = {X.IDS[n] for n in names}
+        front = self.front()
+        found = {h.offset: h for h in front if h.element in wanted}
+        clusters = bool(front) and front[-1].element == X.CLUSTER_ID
+        if clusters:
+            for element, at in self.seeks():
+                if element in wanted and at not in found and at < self.length:
+                    head = X.read_head(self.f, at)
+                    if head is not None and head.element == element and head.size != X.UNKNOWN:
+                        found[at] = head
+            if not found:
+                found = {h.offset: h for h in self.parts(front[-1].offset) if h.element in wanted}
+        return [found[at] for at in sorted(found)]
 
     def masters(self, *names: str) -> Iterator[X.Node]:
-        wanted = {X.IDS[n] for n in names}
-        for head in self.parts():
-            if head.element in wanted:
-                yield X.decode_master(X.read_body(self.f, head))
+        for head in self.find(*names):
+            yield X.decode_master(X.read_body(self.f, head))
 
     def scale(self) -> int:
         found = [n.last("timecode_scale", X.DEFAULT_SCALE) for n in self.masters("info")]
@@ -117,10 +185,20 @@ class Container:
             node += 1
 
     def attachments(self, payload: bool = True) -> Iterator[tuple]:
-        entries = [a for n in self.masters("attachments") for a in n.all("attachment")]
-        for i, a in enumerate(entries):
-            data = a.last("file_data", b"")
-            yield (self.path, i, uid(a.last("file_uid")), a.last("file_name", ""), a.last("mime_type", ""), len(data), data if payload else None)
+        i = 0
+        for part in self.find("attachments"):
+            for head in X.children(self.f, part):
+                if head.element != X.IDS["attachment"]:
+                    continue
+                a, size = X.Node(), 0
+                for x in X.children(self.f, head):
+                    name, kind = X.ELEMENTS.get(x.element, ("", ""))
+                    if name == "file_data":
+                        size = x.size
+                    if name and kind != "m" and (payload or name != "file_data"):
+                        a.values.setdefault(name, []).append(X.decode_value(kind, X.read_body(self.f, x)))
+                yield (self.path, i, uid(a.last("file_uid")), a.last("file_name", ""), a.last("mime_type", ""), size, a.last("file_data", b"") if payload else None)
+                i += 1
 
     def _tags(self) -> list[X.Node]:
         return [t for n in self.masters("tags") for t in n.all("tag")]
@@ -155,13 +233,60 @@ class Container:
             return None
         return X.decode_value("u", X.read_body(self.f, first))
 
+    def _is_cluster(self, at: int, chain: int = SEARCH_CHAIN) -> bool:
+        """Whether a cluster begins at an offset, judged by the elements in and after it."""
+        try:
+            while chain > 0 and at < self.length:
+                head = X.read_head(self.f, at)
+                if head is None or head.element not in X.LEVEL_ONE | {X.VOID_ID}:
+                    return False
+                if head.element == X.CLUSTER_ID:
+                    first = X.read_head(self.f, head.body)
+                    if first is None or first.element not in X.CLUSTER_CHILDREN or first.size == X.UNKNOWN or (head.size != X.UNKNOWN and first.end > head.end):
+                        return False
+                if head.size == X.UNKNOWN:
+                    return head.element == X.CLUSTER_ID
+                at, chain = head.end, chain - 1
+        except X.FormatError:
+            return False
+        # The last part of a file that was cut short may reach past its end.
+        return True
+
+    def first_cluster(self, start: int) -> int | None:
+        """The offset from which the segment's children can be walked to reach the first cluster at or after start."""
+        front = self.front()
+        if not front or front[-1].element != X.CLUSTER_ID:
+            return None
+        if front[-1].offset >= start:
+            return front[-1].offset
+        cues = [at for element, at in self.seeks() if element == X.IDS["cues"]]
+        if cues:
+            scale_free = [self.segment.body + w.last("cue_cluster", 0) for n in self.masters("cues") for p in n.all("cue_point") for w in p.all("cue_positions")]
+            before = [at for at in scale_free if front[-1].offset <= at <= start and self._is_cluster(at, 1)]
+            if before:
+                return max(before)
+        mark, at = X.id_bytes(X.CLUSTER_ID), start
+        while at < self.length:
+            self.f.seek(at)
+            window = self.f.read(SEARCH_BYTES + len(mark) - 1)
+            place = window.find(mark)
+            while place >= 0:
+                if self._is_cluster(at + place):
+                    return at + place
+                place = window.find(mark, place + 1)
+            at += SEARCH_BYTES
+        return None
+
     def blocks(self, start: int = 0, end: int | None = None, payload: bool = True, start_ms: int | None = None, end_ms: int | None = None) -> Iterator[tuple]:
         """Frames of the clusters that begin in [start, end) of the file and of [start_ms, end_ms).
 
         block_seq is the byte offset, plus the place in a lace.
         """
+        at = self.first_cluster(start)
+        if at is None or (end is not None and at >= end):
+            return
         scale = self.scale()
-        for head in self.parts():
+        for head in self.parts(at):
             if head.element != X.CLUSTER_ID or head.offset < start:
                 continue
             if end is not None and head.offset >= end:
@@ -182,11 +307,16 @@ class Container:
         for h in self.parts():
             yield (self.path, h.offset, 1, h.element, X.ELEMENTS.get(h.element, ("", ""))[0], h.header, h.size)
 
+    def seek_entries(self) -> Iterator[tuple]:
+        for i, (element, at) in enumerate(self.seeks()):
+            head = X.read_head(self.f, at) if at < self.length else None
+            yield (self.path, i, X.ELEMENTS.get(element, ("", ""))[0], at - self.segment.body, head is not None and head.element == element)
+
     def metadata_region(self) -> tuple[int, int] | None:
         """Bytes [start, end) that hold metadata before the first cluster, for an edit in place."""
         names = {"info", "tracks", "chapters", "attachments", "tags", "void"}
         span = None
-        for h in self.parts():
+        for h in self.front():
             if h.element == X.CLUSTER_ID:
                 break
             if X.ELEMENTS.get(h.element, ("", ""))[0] in names:
@@ -223,44 +353,77 @@ class ContainerReader(DataSourceReader):
             out += [_Part(path, s, e) for s, e in zip(starts, [*starts[1:], None])]
         return out or [_Part("", 0, None)]
 
-    def _rows(self, part: _Part) -> Iterator[tuple]:
-        c = Container(part.path, self.laces)
-        if self.table == "blocks":
-            yield from c.blocks(part.start, part.end, self.payload, self.start_ms, self.end_ms)
-        elif self.table == "attachments":
-            yield from c.attachments(self.payload)
-        elif self.table == "errors":
-            for name in TABLES:
-                if name not in ("errors", "elements"):
-                    for _ in getattr(c, name)():
-                        pass
-        else:
-            yield from getattr(c, self.table)()
-
     def read(self, part: InputPartition) -> Iterator[pa.RecordBatch]:
-        schema = to_arrow_schema(self.schema)
-
-        def batch(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
-        if not part.path:  # type: ignore[attr-defined]
-            return
-        rows: list[tuple] = []
-        held = 0
+        if part.path:  # type: ignore[attr-defined]
+            yield from _batches(to_arrow_schema(self.schema), part.path, lambda: relation(Container(part.path, self.laces), self.table, part.start, part.end, self.payload, self.start_ms, self.end_ms), self.table, self.failfast)  # type: ignore[attr-defined]
+
+
+def relation(c: Container, table: str, start: int = 0, end: int | None = None, payload: bool = True, start_ms: int | None = None, end_ms: int | None = None) -> Iterator[tuple]:
+    """Rows of one table of an open container."""
+    if table == "blocks":
+        yield from c.blocks(start, end, payload, start_ms, end_ms)
+    elif table == "attachments":
+        yield from c.attachments(payload)
+    elif table == "errors":
+        for name in ("segments", "tracks", "chapters", "attachments", "tags", "simple_tags", "cues"):
+            for _ in relation(c, name, payload=False):
+                pass
+        n = 0
         try:
-            for row in self._rows(part):  # type: ignore[arg-type]
-                rows.append(row)
-                held += sum(len(v) for v in row if isinstance(v, bytes))
-                if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
-                    yield batch(rows)
-                    rows, held = [], 0
+            for _ in c.blocks(payload=False):
+                n += 1
         except (X.FormatError, OSError) as e:
-            if self.table == "errors":
-                rows.append((part.path, "file", str(e)))  # type: ignore[attr-defined]
-            elif self.failfast:
-                raise ValueError(f"{part.path}: {e}") from e  # type: ignore[attr-defined]
-        if rows:
-            yield batch(rows)
+            yield (c.path, "clusters" if n == 0 and c.first_cluster(0) is None else "blocks", n, str(e))
+    elif table == "files":
+        yield (c.path, c.length)
+    elif table == "seeks":
+        yield from c.seek_entries()
+    else:
+        yield from getattr(c, table)()
+
+
+def _batches(schema: pa.Schema, path: str, rows_of: Callable[[], Iterator[tuple]], table: str, failfast: bool) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of bounded size; of a broken file what could be read, unless failfast."""
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    rows: list[tuple] = []
+    held = 0
+    try:
+        for row in rows_of():
+            rows.append(row)
+            held += sum(len(v) for v in row if isinstance(v, bytes))
+            if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
+                yield batch(rows)
+                rows, held = [], 0
+    except (X.FormatError, OSError) as e:
+        if table == "errors":
+            rows.append((path, "file", 0, str(e)))
+        elif failfast:
+            raise ValueError(f"{path}: {e}") from e
+    if rows:
+        yield batch(rows)
+
+
+def decode_containers(files: DataFrame, table: str, path: str = "path", content: str = "content", payload: bool = True, standard_laces: bool = False, failfast: bool = False) -> DataFrame:
+    """A relation of containers whose bytes stand in a column, as Spark's binaryFile format gives them.
+
+    Null contents give no rows; broken ones what can be read of them, or an
+    error with failfast. Extra columns are ignored.
+    """
+    if table not in TABLES:
+        raise ValueError(f"no such table: {table}; there are {', '.join(TABLES)}")
+    require(files, path, content)
+    schema = arrow_schema(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if data is not None:
+                    yield from _batches(schema, p, lambda p=p, data=data: relation(Container(p, standard_laces, io.BytesIO(data)), table, payload=payload), table, failfast)
+
+    return files.select(col(path).cast("string").alias("path"), col(content).cast("binary").alias("content")).mapInArrow(run, TABLES[table])
 
 
 class ContainerSource(DataSource):

@@ -37,6 +37,7 @@ ELEMENTS: dict[int, tuple[str, str]] = {
 IDS: dict[str, int] = {name: i for i, (name, _) in ELEMENTS.items()}
 #: Children of the segment; one of them ends a cluster of unknown size.
 LEVEL_ONE = {IDS[n] for n in ("seek_head", "info", "tracks", "chapters", "attachments", "tags", "cues", "cluster")}
+CLUSTER_CHILDREN = {IDS[n] for n in ("timestamp", "simple_block", "block_group")} | {0xA7, 0xAB, VOID_ID, 0xBF}
 TRACK_TYPES = {1: "video", 2: "audio", 17: "subtitle"}
 TYPE_CODES = {v: k for k, v in TRACK_TYPES.items()}
 
@@ -225,9 +226,9 @@ def open_segment(f: BinaryIO) -> Head:
     raise FormatError("no segment")
 
 
-def level_one(f: BinaryIO, segment: Head, length: int) -> Iterator[Head]:
-    """Headers of the segment's children; a cluster of unknown size ends where the next child begins."""
-    at = segment.body
+def level_one(f: BinaryIO, segment: Head, length: int, at: int | None = None) -> Iterator[Head]:
+    """Headers of the segment's children, from the one at an offset on; a cluster of unknown size ends where the next child begins."""
+    at = segment.body if at is None else at
     end = length if segment.size == UNKNOWN else min(length, segment.end)
     while at < end:
         head = read_head(f, at)
@@ -249,6 +250,19 @@ def level_one(f: BinaryIO, segment: Head, length: int) -> Iterator[Head]:
         at = head.end
 
 
+def children(f: BinaryIO, parent: Head) -> Iterator[Head]:
+    """Headers of the elements in a master, whose bodies stay unread."""
+    at = parent.body
+    while at < parent.end:
+        head = read_head(f, at)
+        if head is None:
+            raise FormatError("file cut short")
+        if head.size == UNKNOWN or head.end > parent.end:
+            raise FormatError("element goes past its parent")
+        yield head
+        at = head.end
+
+
 def read_body(f: BinaryIO, head: Head, most: int = MAX_ELEMENT) -> bytes:
     if head.size > most:
         raise FormatError(f"element of {head.size} bytes is larger than {most}")
@@ -300,6 +314,26 @@ def lace_sizes(kind: int, count: int, data: bytes, standard: bool = False) -> tu
     return [*sizes, rest], at
 
 
+def encode_lace(kind: int, frames: list[bytes], standard: bool = False) -> bytes:
+    """Frames of one block behind their sizes: count, size header, data; kind as in lace_sizes()."""
+    if not 1 <= len(frames) <= 256:
+        raise FormatError(f"a lace holds 1 to 256 frames, not {len(frames)}")
+    sizes = [len(x) for x in frames]
+    head = bytes([len(frames) - 1])
+    if kind == 1:
+        head += b"".join(b"\xff" * (n // 255) + bytes([n % 255]) for n in sizes[:-1])
+    elif kind == 2:
+        if len(set(sizes)) > 1:
+            raise FormatError("frames of a fixed lace must have one size")
+    elif len(frames) > 1:
+        head += size_bytes(sizes[0])
+        for a, b in zip(sizes, sizes[1:-1]):
+            # The least width whose biased range holds the difference.
+            w = next(w for w in range(1, 9) if 0 <= b - a + (1 << (7 * w - 1)) - standard < (1 << (7 * w)) - 1)
+            head += (b - a + (1 << (7 * w - 1)) - standard | 1 << (7 * w)).to_bytes(w, "big")
+    return head + b"".join(frames)
+
+
 def block_frames(body: bytes, simple: bool, standard: bool = False) -> tuple[int, int, bool, list[bytes]]:
     """(track, relative timecode, keyframe, frames); only a simple block tells of keyframes."""
     track, w = lax_vint(body)
@@ -350,7 +384,9 @@ def cluster_blocks(f: BinaryIO, cluster: Head, scale: int, standard: bool = Fals
         at = head.end
 
 
-def encode_block(track: int, rel: int, keyframe: bool, data: bytes) -> bytes:
+def encode_block(track: int, rel: int, keyframe: bool, data: bytes, lacing: int = 0, group: bool = False) -> bytes:
+    """A simple block, or one in a block group; with lacing, data is what encode_lace() gave."""
     if not -32768 <= rel <= 32767:
         raise FormatError(f"relative timecode {rel} doesn't fit")
-    return encode("simple_block", size_bytes(track) + struct.pack(">h", rel) + (b"\x80" if keyframe else b"\0") + data)
+    body = size_bytes(track) + struct.pack(">h", rel) + bytes([(keyframe and not group) << 7 | lacing << 1]) + data
+    return encode("block_group", encode("block", body)) if group else encode("simple_block", body)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cuewright.operators import blocks as B
 from cuewright.operators import containers as C
-from cuewright.operators.ordered import carried
+from cuewright.operators.ordered import carried, ranked
 
 SCHEMA = "path string, block_seq long, track_number long, timecode_ms long, keyframe boolean, data binary"
 
@@ -160,5 +160,47 @@ def test_many_ranges_meet_in_buckets(spark, monkeypatch):
     few = sorted(tuple(r)[:5] for r in B.split_by_ranges(frame(spark, rows), df).collect())
     monkeypatch.setattr(B, "MOST_RANGES", 3)
     assert sorted(tuple(r)[:5] for r in B.split_by_ranges(frame(spark, rows), df).collect()) == few and few
-    with pytest.raises(ValueError, match="ranges"):
-        B.split_at_keyframes(frame(spark, rows), df)
+    parts = lambda df: sorted(tuple(r)[:5] for r in df.collect())
+    many = parts(B.split_at_keyframes(frame(spark, rows), df))
+    monkeypatch.setattr(B, "MOST_RANGES", 64)
+    assert parts(B.split_at_keyframes(frame(spark, rows), df)) == many and many
+
+
+def plain_keyframe_cut(own, ranges):
+    """By the set definition, a range at a time over the sorted stream."""
+    out = []
+    for rid, s, e in ranges:
+        stop = min((q for q, t, key in own if e > 0 and key and t >= max(s, e)), default=None)
+        inside = [(q, t, key) for q, t, key in own if t >= s and (e == 0 or t < e)]
+        start = min((q for q, _, key in inside if key), default=None)
+        out += [(rid, q) for q, _, _ in inside if (s == 0 or (start is not None and q >= start)) and (stop is None or q < stop)]
+    return sorted(out)
+
+
+def test_twenty_thousand_keyframe_cuts(spark):
+    rnd = random.Random(11)
+    own = [(q, max(0, q * 9 + rnd.randrange(-400, 400)), rnd.random() < 0.3) for q in range(1200)]
+    ranges = [(i, s, 0 if i % 4000 == 0 else max(1, s + rnd.choice([-50, 5, 20, 60]))) for i, s in enumerate(rnd.randrange(0, 12_000) for _ in range(20_000))]
+    df = spark.createDataFrame([("a", q, 1, t, key, b"") for q, t, key in own], SCHEMA)
+    got = B.split_at_keyframes(df, spark.createDataFrame(ranges, "range_id int, start_ms long, end_ms long")).select("range_id", "block_seq").collect()
+    assert sorted(map(tuple, got)) == plain_keyframe_cut(own, ranges)
+
+
+def test_ranked_numbers(spark):
+    rows = [(k, rnd_, i) for i, (k, rnd_) in enumerate((f"k{i % 3 if i % 7 else 0}", (i * 7919) % 1000 / 10) for i in range(2000))]
+    got = ranked(spark.createDataFrame(rows, "k string, v double, i int").repartition(7), ["k"], ["v", "i"], "n").collect()
+    want = {}
+    for k, v, i in sorted(rows):
+        want.setdefault(k, []).append(i)
+    assert sorted((r["k"], r["n"], r["i"]) for r in got) == sorted((k, n, i) for k, own in want.items() for n, i in enumerate(own, 1))
+
+
+def test_filters_reach_the_scan_and_scans_are_shared(spark, sf):
+    from cuewright.plans.container_queries import QUERIES
+
+    plan = lambda q: QUERIES[q](spark, sf)._jdf.queryExecution().toString()
+    for q in ("time_range", "time_shift"):
+        assert "GreaterThanOrEqual(timecode_ms,2000)" in plan(q)
+    physical = QUERIES["validate_issues"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("blocks.parquet") <= 3 and "NestedLoop" not in QUERIES["split_keyframes"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert QUERIES["ass_parse"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 4

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from cuewright.cli import main, numbers, parser, spans, track_input
+from cuewright.cli import bar, main, numbers, parser, spans, track_input
 from cuewright.sources.container_sink import write_containers
 from cuewright.sources.container_source import Container
 
@@ -53,3 +53,37 @@ def test_edits(spark, file, tmp_path, capsys):
     assert len(list(Container(str(tmp_path / "j.mkv")).blocks())) == 6
     assert main(["mux", str(tmp_path / "m.mkv"), f"{file}:1"]) == 0 and main(["merge", str(tmp_path / "n.mkv"), file, file]) == 0 and main(["demux", file, str(tmp_path)]) == 0
     assert (tmp_path / "1.h264").read_bytes() == b"x" * 6
+
+
+def test_patch_keeps_ids_targets_and_trees(file, tmp_path, capsys):
+    out = str(tmp_path / "o.mkv")
+    patch = {"chapters": [{"id": 77, "title": "A", "start_ms": 0, "end_ms": 9, "sub_chapters": [{"id": 78, "title": "A1", "sub_chapters": [{"title": "A11"}]}, {"title": "A2"}]}, {"title": "B", "sub_chapters": None}], "tags": [{"target_id": 1, "target_type": "TRACK", "simple_tags": [{"name": "N", "value": "v", "sub_tags": [{"name": "S", "language": "deu"}]}]}, {}]}
+    assert main(["edit", file, out, json.dumps(patch)]) == 0
+    c = Container(out)
+    assert [(r[1], r[2], r[3], r[6]) for r in c.chapters()] == [(0, -1, 0, "A"), (1, 0, 1, "A1"), (2, 1, 2, "A11"), (3, 0, 1, "A2"), (4, -1, 0, "B")]
+    assert [int(r[5]) for r in c.chapters()][:2] == [77, 78]
+    assert [(r[2], r[3] and int(r[3])) for r in c.tags()] == [("TRACK", 1), ("", None)]
+    assert [(r[1], r[2], r[3], r[5], r[6], r[8]) for r in c.simple_tags()] == [(0, 0, -1, "N", "v", ""), (0, 1, 0, "S", "", "deu")]
+    main(["-json", "probe", out])
+    told = json.loads(capsys.readouterr().out)
+    assert len(told["chapters"]) == 5 and told["simple_tags"][1]["parent_node"] == 0 and told["cues"] and told["tracks"][0]["width"] == 1920
+
+
+def test_subtitle_formats_and_merges(file, tmp_path):
+    text = tmp_path / "words.txt"
+    text.write_text("[Events]\nFormat: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text\nDialogue: 0,0:00:00.50,0:00:01.00,Low,,0,0,0,,hi\n")
+    out = str(tmp_path / "s.mkv")
+    assert main(["merge-subtitle", file, str(text), out, "--format", "ass"]) == 0 and [r[4] for r in Container(out).tracks()] == ["h264", "ass"]
+    assert main(["extract-subtitle", out, "2", str(tmp_path / "back.txt"), "--format", "ass"]) == 0 and "Dialogue: 0,0:00:00.50" in (tmp_path / "back.txt").read_text()
+    srt = tmp_path / "w.srt"
+    srt.write_text("1\n00:00:01,200 --> 00:00:02,000\nhello\n")
+    both = str(tmp_path / "b.mkv")
+    assert main(["merge-subtitle", file, str(srt), both, "--merge", out, "--language", "fra"]) == 0
+    assert [r[3] for r in Container(both).tracks()] == ["video", "video", "subtitle", "subtitle"] and len(list(Container(both).blocks())) == 14
+    assert sorted(x.name for x in tmp_path.iterdir() if "merged" in x.name) == []
+    with pytest.raises(SystemExit):
+        parser().parse_args(["merge-subtitle", "a", "b", "c", "--format", "pgs"])
+
+
+def test_bar():
+    assert bar(5, 0) == "5 done" and bar(1, 2, 10) == "[=====     ]  50.0% 1/2" and bar(9, 3, 4) == "[====] 100.0% 9/3"

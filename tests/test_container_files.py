@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cuewright.sources import ebml as X
 from cuewright.sources.container_sink import ContainerWriter, edit_in_place, metadata_parts, seek_head, write_containers, write_streams
-from cuewright.sources.container_source import Container, read_container
+from cuewright.sources.container_source import Container, decode_containers, read_container
 
 
 def test_numbers():
@@ -172,3 +172,121 @@ def test_streams(spark, tmp_path):
     assert (tmp_path / "a" / "1.raw").read_bytes() == want and done["1.raw"] == len(want)
     with pytest.raises(Exception, match="leaves"):
         write_streams(str(tmp_path), rows.withColumn("file", F.lit("../evil")))
+
+
+def big_file(path, n=4000, size=300, seek=True):
+    with open(path, "wb") as f:
+        w = ContainerWriter(f)
+        w.start(metadata_parts({"title": "T"}, [{"track_index": 0, "track_id": 1, "type": "video", "codec": "h264"}]))
+        for i in range(n):
+            # Payloads hold the cluster's mark itself.
+            w.block(1, 250 * i, i % 8 == 0, (X.id_bytes(X.CLUSTER_ID) + b"\x83\xe7\x81\x01" + bytes([i % 256])) * (size // 9))
+        w.finish()
+
+
+def test_what_a_split_reads_does_not_grow_with_its_place(tmp_path):
+    path = str(tmp_path / "big.mkv")
+    big_file(path)
+    whole = [r[1] for r in Container(path).blocks()]
+    step = os.path.getsize(path) // 20
+    got, heads = [], []
+    for k in range(20):
+        c = Container(path)
+        got += [r[1] for r in c.blocks(k * step, (k + 1) * step if k < 19 else None)]
+        heads.append(c.heads_read)
+    assert got == whole and len(whole) == 4000
+    assert max(heads) <= 2 * min(heads[:-1]) + 10
+
+
+def test_metadata_is_found_without_walking_the_clusters(tmp_path):
+    path = str(tmp_path / "big.mkv")
+    big_file(path, 2000)
+    c = Container(path)
+    assert len(list(c.tracks())) == 1 and len(list(c.segments())) == 1 and c.heads_read < 10
+    assert len(list(c.seek_entries())) == 2 and all(r[4] for r in c.seek_entries())
+    assert len(list(c.cues())) > 400  # not in the seek head, so the clusters are walked over
+
+
+def test_attachment_sizes_come_from_headers(tmp_path):
+    path = str(tmp_path / "a.mkv")
+    with open(path, "wb") as f:
+        w = ContainerWriter(f)
+        w.start(metadata_parts({}, attachments=[{"att_index": 0, "id": 5, "name": "n", "mime_type": "m", "data": b"x" * 5_000_000}, {"att_index": 1, "id": 6, "name": "e", "mime_type": "m", "data": b""}]))
+        w.finish()
+
+    class Counting:
+        def __init__(self, f):
+            self.f, self.n = f, 0
+
+        def read(self, k):
+            out = self.f.read(k)
+            self.n += len(out)
+            return out
+
+        def seek(self, *a):
+            return self.f.seek(*a)
+
+    f = Counting(open(path, "rb"))
+    rows = list(Container(path, f=f).attachments(False))
+    assert [(int(r[2]), r[5], r[6]) for r in rows] == [(5, 5_000_000, None), (6, 0, None)] and f.n < 2000
+    assert [len(r[6]) for r in Container(path).attachments()] == [5_000_000, 0]
+
+
+def test_laces_are_encoded_and_read_back():
+    import random
+
+    rnd = random.Random(3)
+    for n in (1, 2, 3, 17, 256):
+        frames = [bytes(rnd.randrange(256) for _ in range(rnd.choice([0, 1, 64, 255, 256, 700]))) for _ in range(n)]
+        for kind in (1, 3):
+            for standard in (False, True):
+                block = X.size_bytes(3) + b"\xff\xfe" + bytes([kind << 1]) + X.encode_lace(kind, frames, standard)
+                assert X.block_frames(block, True, standard) == (3, -2, False, frames)
+        same = [b"ab"] * n
+        assert X.block_frames(b"\x81\0\0\x04" + X.encode_lace(2, same), True)[3] == same
+    for bad in ([], [b""] * 257):
+        with pytest.raises(X.FormatError):
+            X.encode_lace(1, bad)
+    with pytest.raises(X.FormatError):
+        X.encode_lace(2, [b"a", b"bb"])
+
+
+def test_contents_in_a_column(spark, tmp_path):
+    path = str(tmp_path / "c.mkv")
+    big_file(path, 40, 18)
+    files = spark.read.format("binaryFile").load(path).select(F.lit("p").alias("path"), "content").unionByName(spark.createDataFrame([("none", None), ("bad", b"x"), ("empty", b"")], "path string, content binary"))
+    assert decode_containers(files, "blocks").count() == 40 and decode_containers(files, "tracks").count() == 1
+    assert {r["path"] for r in decode_containers(files, "errors").collect()} == {"bad", "empty"}
+    with pytest.raises(Exception, match="bad|empty"):
+        decode_containers(files, "blocks", failfast=True).collect()
+    assert decode_containers(files.limit(0), "blocks").count() == 0
+
+
+def test_a_broken_cluster_is_told_with_its_block(spark, tmp_path):
+    from cuewright import api
+
+    path = str(tmp_path / "d.mkv")
+    big_file(path, 12, 18)
+    data = open(path, "rb").read()
+    rows = list(Container(path).blocks())
+    cut = str(tmp_path / "e.mkv")
+    with open(cut, "wb") as f:
+        f.write(data[: rows[9][1] + 6])
+    found = {r["check_id"]: r["message"] for r in api.validate(spark, cut).collect()}
+    assert found["V14"].startswith("cluster read error at block 9: ")
+
+
+def test_other_file_systems(tmp_path):
+    from pyarrow import fs as pafs
+
+    from cuewright.sources.container_source import register_filesystem
+
+    class Elsewhere(pafs.SubTreeFileSystem):
+        """Not a local file system by its type."""
+
+    register_filesystem("else", lambda: Elsewhere(str(tmp_path), pafs.LocalFileSystem()))
+    big_file(str(tmp_path / "f.mkv"), 12, 18)
+    before = list(Container("else://f.mkv").blocks())
+    edit_in_place("else://f.mkv", metadata_parts({"title": "U"}, [{"track_index": 0, "track_id": 1, "type": "video", "codec": "h264"}]))
+    c = Container("else://f.mkv")
+    assert next(iter(c.segments()))[1] == "U" and [r[1:] for r in c.blocks()] == [r[1:] for r in before] and sorted(x.name for x in tmp_path.iterdir()) == ["f.mkv"]
