@@ -180,7 +180,7 @@ def join(spark: SparkSession, sources: Sequence[str], out: str) -> list[tuple]:
     if wrong:
         raise ValueError(f"{wrong[0]['path']}: track {wrong[0]['pos']} is {wrong[0]['type']}, not {wrong[0]['want']}")
     blocks = C.join_blocks(order, m.segments, m.tracks, m.blocks).drop("path").withColumnRenamed("dst", "path")
-    total = m.segments.agg(F.sum("duration_ms")).first()[0] or 0
+    total = C.join_totals(order, m.segments).first()["total_ms"]
     first = sources[0]
     segments = _at(_only(m.segments, first), name).withColumn("duration", F.lit(total) * 1e6 / F.greatest("timecode_scale", F.lit(1)))
     rest = {n: _at(_only(getattr(m, n), first), name) for n in ("chapters", "attachments", "tags", "simple_tags")}
@@ -256,9 +256,8 @@ def extract_attachment(spark: SparkSession, path: str, attachment_id: int, out:
 
 
 def _subtitle_track(m: Media, track_id: int, codecs: Sequence[str] | None) -> DataFrame:
-    t = m.tracks.where((F.col("track_id") == track_id) & (F.col("type") == "subtitle"))
-    t = t.where(F.col("codec").isin(list(codecs))) if codecs else t
-    if not t.take(1):
+    t = m.tracks.where(F.col("track_id") == track_id)
+    if not C.subtitle_tracks(t).where("is_ass" if codecs else "is_subtitle").take(1):
         raise ValueError(f"track {track_id} is no such subtitle track")
     return t
 

@@ -290,6 +290,19 @@ def join_offsets(sources: DataFrame, segments: DataFrame) -> DataFrame:
     return carried(own, ["dst"], "ord", {"offset_ms": ("sum", F.col("duration_ms"))})
 
 
+def join_totals(sources: DataFrame, segments: DataFrame) -> DataFrame:
+    """(dst, total_ms, n_sources): the durations of the sources (dst, path) of each joined container; null ones count 0."""
+    own = sources.join(segments.select("path", "duration_ms"), "path", "left")
+    return own.groupBy("dst").agg(F.coalesce(F.sum("duration_ms"), F.lit(0)).cast("bigint").alias("total_ms"), F.count(F.lit(1)).alias("n_sources"))
+
+
+def subtitle_tracks(tracks: DataFrame) -> DataFrame:
+    """(path, track_id, is_subtitle, is_ass): whether a track's texts can be extracted, and as ASS."""
+    text = F.coalesce(F.col("type") == "subtitle", F.lit(False))
+    ass = text & F.coalesce(F.col("codec").isin("ass", "ssa"), F.lit(False))
+    return tracks.groupBy("path", "track_id").agg(F.bool_or(text).alias("is_subtitle"), F.bool_or(ass).alias("is_ass"))
+
+
 def join_blocks(sources: DataFrame, segments: DataFrame, tracks: DataFrame, blocks: DataFrame) -> DataFrame:
     """Blocks of sources one after another: tracks mapped by position to the first source's, times offset.
 

@@ -8,6 +8,7 @@ import shutil
 import sysconfig
 import tempfile
 import threading
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -120,6 +121,15 @@ def settle_table(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def work_folder(spark: SparkSession, label: str) -> str:
+    """A new path for files below the checkpoint folder; nothing is there yet."""
+    _checkpoint_folder(spark)
+    root = spark.sparkContext.getCheckpointDir()
+    # Local folders come as file:/path, which other readers than Spark's don't take.
+    root = "/" + root[5:].lstrip("/") if root.startswith("file:") else root
+    return f"{root}/{label}-{uuid.uuid4().hex}"
+
+
 def col(name: str) -> Column:
     """A column by its literal name, dots and spaces included."""
     return F.col("`" + name.replace("`", "``") + "`")
