@@ -11,7 +11,7 @@ import io
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuewright.functions import scalars as S
@@ -341,13 +341,16 @@ def block_groups(spark, d):
 # --- texts --------------------------------------------------------------------------------------------------------
 
 _QUOTED_TEXT = "'> ' || replace(replace(text, chr(13), ''), chr(10), chr(10) || '> ')"
-_QUOTED = F.concat(F.lit("> "), F.regexp_replace(F.regexp_replace("text", "\r", ""), "\n", "\n> "))
+
+
+def _quoted() -> Column:
+    return F.concat(F.lit("> "), F.regexp_replace(F.regexp_replace("text", "\r", ""), "\n", "\n> "))
 
 
 @query(_with("e", "k as (select *, row_number() over (partition by path order by seq) - 1 as n from e where start_ms is not null and end_ms is not null and text is not null and length(text) > 0)") + f"select path, n // {CUES_A_FILE} as part, n % {CUES_A_FILE} + 1 as seq, start_ms, end_ms, {_QUOTED_TEXT} as text from k")
 def srt_files(spark, d):
     """Cues written to the texts of files and parsed again."""
-    rows = _events(spark, d, "subtitle_events").where("start_ms is not null and end_ms is not null and length(text) > 0").withColumn("text", _QUOTED)
+    rows = _events(spark, d, "subtitle_events").where("start_ms is not null and end_ms is not null and length(text) > 0").withColumn("text", _quoted())
     cues = U.render_srt(rows).withColumn("part", F.floor((F.col("number") - 1) / CUES_A_FILE).cast("bigint"))
     files = cues.groupBy(F.struct("path", "part").alias("path")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("number", "cue"))), lambda x: x.cue), "").alias("value"))
     return U.parse_srt(files).select("path.path", "path.part", F.col("seq").cast("bigint").alias("seq"), "start_ms", "end_ms", "text")
