@@ -27,15 +27,17 @@ MEMBERS: dict[str, dict[str, str]] = {
     "tag": {"simpletags": "simple_tag"},
     "simple_tag": {"subtags": "simple_tag"},
 }
-#: Leaves kept in the tables of each group.
+#: Leaves with a column of their own in the tables of each group, objects inside objects by dots; all others come in one map.
 LEAVES: dict[str, list[str]] = {
-    "track": ["id", "type", "codec", "language", "name", "isdefault", "isforced", "width", "height"],
+    "track": ["id", "type", "codec", "language", "name", "isdefault", "isforced", "width", "height", "audio.channels", "audio.samplerate"],
     "chapter": ["id", "title", "startms", "endms"],
     "tag": ["targettype", "targetid"],
     "simple_tag": ["name", "value", "language"],
 }
 #: A shredded column of a group holds its own chain of groups from the root; level 0 is the record.
 MARK = "#"
+#: The leaf that holds what has no column.
+MORE = "*"
 
 _TOKEN = re.compile(r'[ \t\n\r]*([{}\[\],:]|"(?:[^"\\\x00-\x1f]|\\["\\/bfnrt]|\\u[0-9a-fA-F]{4})*"|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?|true|false|null)[ \t\n\r]*')
 
@@ -154,13 +156,39 @@ def _elements(value: object) -> list[dict]:
     return out
 
 
+def _leaf_text(v: object) -> str:
+    return v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+
+
+def leaf_paths(obj: dict, group: str) -> dict[str, str | None]:
+    """Every leaf of an object that is no repeated member of its group: path and text.
+
+    Keys are regardless of case and underscores, objects inside are gone into,
+    arrays and empty objects are JSON. Of two spellings the one with a value counts.
+    """
+    out: dict[str, str | None] = {}
+    todo: list[tuple[str, dict]] = [("", obj)]
+    while todo:
+        head, now = todo.pop()
+        for k, v in _spelled(now).items():
+            if not head and k in MEMBERS[group]:
+                continue
+            path = head + k
+            if isinstance(v, dict) and v:
+                todo.append((path + ".", v))
+            elif v is not None or path not in out:
+                out[path] = None if v is None else _leaf_text(v)
+    return out
+
+
 Column = list[tuple[int, int, object]]
 
 
 def shred(record: object, leaves: dict[str, list[str]] = LEAVES) -> dict[str, Column]:
     """Columns '<group>.<leaf>' of (repetition level, definition level, value); '<group>.#' marks the instances.
 
-    Level d is reached by the d-th repeated member from the root. A column has
+    '<group>.*', where asked for, holds all leaves that have no column of their
+    own, as a dict. Level d is reached by the d-th repeated member from the root. A column has
     an entry for each instance of its group and one for each ancestor that has
     none, with the definition level of what is there. Anything but an object
     gives no columns.
@@ -194,9 +222,14 @@ def shred(record: object, leaves: dict[str, list[str]] = LEAVES) -> dict[str, Co
         group, element, r, d = stack.pop()
         obj = _spelled(element)
         out[f"{group}.{MARK}"].append((r, d, True))
-        for leaf in leaves.get(group, []):
-            v = obj.get(leaf)
-            out[f"{group}.{leaf}"].append((r, d, None if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False) if isinstance(v, (dict, list)) else json.dumps(v)))
+        own = leaves.get(group, [])
+        if own:
+            found = leaf_paths(element, group)
+            for leaf in own:
+                if leaf == MORE:
+                    out[f"{group}.{leaf}"].append((r, d, {k: v for k, v in found.items() if v is not None and k not in own}))
+                else:
+                    out[f"{group}.{leaf}"].append((r, d, found.get(leaf)))
         push(obj, group, r, d)
     return out
 
@@ -267,31 +300,34 @@ def nested_structure(df: DataFrame, key: str, text: str, version: str | None = N
 
 
 def nested_table(df: DataFrame, group: str, key: str, text: str, version: str | None = None) -> DataFrame:
-    """One flat table: key + (node, parent_kind, parent_node) + the group's leaves as strings.
+    """One flat table: key + (node, parent_kind, parent_node) + the group's leaves as strings + more.
 
-    group: track, chapter, tag or simple_tag. Rows as in nested_structure();
-    a leaf that is absent or null is null, one that is itself nested is JSON.
+    group: track, chapter, tag or simple_tag. Rows as in nested_structure(). A
+    leaf inside an object has the path of both, dots as underscores; one that is
+    absent or null is null, an array is JSON. more maps every other leaf of
+    the record that has a value, so that none is lost.
     """
     if group not in LEAVES:
         raise ValueError(f"no such group: {group}; there are {', '.join(LEAVES)}")
     kind_of, leaves = df.schema[key].dataType, LEAVES[group]
+    names = [x.replace(".", "_") for x in leaves]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pick: list[int] = []
             rows: list[tuple[int, str, int]] = []
-            values: list[list] = [[] for _ in leaves]
+            values: list[list] = [[] for _ in [*leaves, MORE]]
             for i, t in enumerate(batch.column(1).to_pylist()):
-                columns = shred(parse_json(t), {group: leaves})
+                columns = shred(parse_json(t), {group: [*leaves, MORE]})
                 if not columns:
                     continue
                 for node, parent_kind, parent, at in assemble(columns, group):
                     pick.append(i)
                     rows.append((node, parent_kind, parent))
-                    for c, leaf in zip(values, leaves):
+                    for c, leaf in zip(values, [*leaves, MORE]):
                         c.append(columns[f"{group}.{leaf}"][at][2])
-            arrays = [batch.column(0).take(pa.array(pick, pa.int64())), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32()), *[pa.array(c, pa.string()) for c in values]]
-            yield pa.RecordBatch.from_arrays(arrays, ["key", "node", "parent_kind", "parent_node", *[f"v_{x}" for x in leaves]])
+            arrays = [batch.column(0).take(pa.array(pick, pa.int64())), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32()), *[pa.array(c, pa.string()) for c in values[:-1]], pa.array([list(x.items()) for x in values[-1]], pa.map_(pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "node", "parent_kind", "parent_node", *[f"v_{x}" for x in names], "v_more"])
 
-    out = _winners(df, key, text, version).mapInArrow(run, f"key {kind_of.simpleString()}, node int, parent_kind string, parent_node int, " + ", ".join(f"v_{x} string" for x in leaves))
-    return out.select(F.col("key").alias(key), "node", "parent_kind", "parent_node", *[F.col(f"v_{x}").alias(x) for x in leaves])
+    out = _winners(df, key, text, version).mapInArrow(run, f"key {kind_of.simpleString()}, node int, parent_kind string, parent_node int, " + ", ".join(f"v_{x} string" for x in names) + ", v_more map<string,string>")
+    return out.select(F.col("key").alias(key), "node", "parent_kind", "parent_node", *[F.col(f"v_{x}").alias(x) for x in [*names, "more"]])

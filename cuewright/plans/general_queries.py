@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuewright.operators.intervals import periods_and_gaps
-from cuewright.operators.nested import nested_structure, nested_table
+from cuewright.operators.nested import LEAVES, MEMBERS, nested_structure, nested_table
 from cuewright.operators.replica_diff import replica_differences
 from cuewright.runtime import table
 
@@ -17,7 +17,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _p2_table(group: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return nested_table(table(spark, sf_dir, "containers"), group, "scan_id", "probe_json", "scanned_at")
+        rows = nested_table(table(spark, sf_dir, "containers"), group, "scan_id", "probe_json", "scanned_at")
+        return rows.withColumn("more", F.array_join(F.transform(F.array_sort(F.map_entries("more")), lambda e: F.concat(e.key, F.lit("="), e.value)), ";"))
 
     return query
 
@@ -95,3 +96,26 @@ SQL = {
         union all select 'track', path, track_index, 'name' from t join u using (path, track_index) where t.name is distinct from u.name
         union all select 'track', path, track_index, 'codec' from t join u using (path, track_index) where t.codec is distinct from u.codec""",
 }
+
+
+_NODES = SQL["p2_found"][: SQL["p2_found"].rindex("select a.scan_id")]
+
+
+def _p2_sql(group: str) -> str:
+    """The leaves of a group's objects by their keys, over the same walk; of two spellings the last with a value."""
+
+    def at(obj: str, leaf: str) -> str:
+        return f"""json_extract({obj}, '$."' || list_filter(json_keys({obj}), lambda x: replace(lower(x), '_', '') = '{leaf}' and json_type(json_extract({obj}, '$."' || x || '"')) <> 'NULL')[-1] || '"')"""
+
+    def value(leaf: str) -> str:
+        outer, _, inner = leaf.partition(".")
+        return at(at("a.obj", outer), inner) if inner else at("a.obj", outer)
+
+    text = lambda leaf: f"case when json_type({value(leaf)}) = 'VARCHAR' then {value(leaf)}->>'$' else cast({value(leaf)} as varchar) end as {leaf.replace('.', '_')}"
+    known = ", ".join(f"'{x.split('.')[0]}'" for x in [*LEAVES[group], *MEMBERS[group]])
+    keys = f"list_filter(json_keys(a.obj), lambda x: replace(lower(x), '_', '') not in ({known}) and json_type(json_extract(a.obj, '$.\"' || x || '\"')) <> 'NULL')"
+    more = f"coalesce(list_aggregate(list_sort(list_transform({keys}, lambda x: replace(lower(x), '_', '') || '=' || json_extract_string(a.obj, '$.\"' || x || '\"'))), 'string_agg', ';'), '')"
+    return _NODES + f"select a.scan_id, a.node, a.pkind as parent_kind, b.node as parent_node, {', '.join(text(x) for x in LEAVES[group])}, {more} as more from m a join m b on b.scan_id = a.scan_id and b.kind = a.pkind and b.d = a.pd where a.kind = '{group}'"
+
+
+SQL |= {f"p2_{g}s": _p2_sql(g) for g in LEAVES}

@@ -72,3 +72,13 @@ def test_deliveries_nulls_and_invalid(spark):
     tags = nested_table(df, "simple_tag", "scan_id", "probe_json", "at").collect()
     assert sorted((r["name"], r["parent_node"]) for r in tags) == [("A", 0), ("B", 2)]
     assert nested_structure(df.limit(0), "scan_id", "probe_json").count() == 0
+
+
+def test_no_leaf_is_lost(spark):
+    record = {"tracks": [{"ID": 1, "Audio": {"channels": 2, "Sample_Rate": 48000.0, "layout": {"name": "5.1"}}, "flags": [1, {"x": None}], "empty": {}, "name": None, "Name": "n", "hidden": None}], "chapters": [{"title": "t", "colour": "é", "sub_chapters": [{"title": 5}]}]}
+    df = spark.createDataFrame([(1, json.dumps(record))], "scan_id long, probe_json string")
+    row = nested_table(df, "track", "scan_id", "probe_json").first()
+    assert (row["id"], row["audio_channels"], row["audio_samplerate"], row["name"], row["codec"]) == ("1", "2", "48000.0", "n", None)
+    assert row["more"] == {"audio.layout.name": "5.1", "flags": '[1, {"x": null}]', "empty": "{}"}
+    got = nested_table(df, "chapter", "scan_id", "probe_json").orderBy("node").collect()
+    assert [(r["title"], r["more"]) for r in got] == [("t", {"colour": "é"}), ("5", {})]
