@@ -128,13 +128,13 @@ SQL: dict[str, str] = {
         h as (select g.*, case when form = g.b or near.a is not null then 0 else 1 end as opens from g left join near on near.a = form and near.b = g.b),
         r as (select *, sum(opens) over (partition by source, path order by seq rows unbounded preceding) as run from h)
         select source, path, min(seq) as first_seq, max(seq) as last_seq from r group by source, path, run having count(*) > 1""",
-    # Here by the edit distance alone: whole readings first, then abbreviations, then the one nearest entry.
+    # Here by the edit distance: whole readings first, then abbreviations, then the one nearest entry.
     "p3_found": r"""
         with recursive given as (
           select distinct 'tracks' as source, track_uid as record_id, language from tracks where trim(language) <> ''
           union select distinct 'track_patches', patch_id, language from track_patches where trim(language) <> ''),
         free as (select * from given where language not in (select lang_code from language_ref)),
-        terms as (select distinct lang_code as code, trim(lower(nfc_normalize(regexp_replace(unnest([lang_code, alt_code, short_code, lang_name, native_name]), '[\x{00AD}\x{200B}-\x{200F}\x{FEFF}]', '', 'g'))), ' .,;:!?*#-') as term from language_ref),
+        terms as (select distinct code, unnest([term, strip_accents(term)]) as term from (select lang_code as code, trim(lower(nfc_normalize(regexp_replace(unnest([lang_code, alt_code, short_code, lang_name, native_name]), '[\x{00AD}\x{200B}-\x{200F}\x{FEFF}]', '', 'g'))), ' .,;:!?*#-') as term from language_ref)),
         vals as (select distinct language, trim(lower(nfc_normalize(regexp_replace(language, '[\x{00AD}\x{200B}-\x{200F}\x{FEFF}]', '', 'g'))), ' .,;:!?*#-') as whole, ends_with(trim(language), '.') and not contains(trim(language), ' ') as abbreviated from free),
         parts as (
           select language, 0 as place, whole as form, true as loose from vals

@@ -4,7 +4,7 @@ REF = [("eng", "eng", "en", "English", "English"), ("deu", "ger", "de", "German"
 WANT = {
     "English": "eng", "ENGLISH ": "eng", "englsih": "eng", "Engl.": "eng", "en-AU": "eng", "fra-CA": "fra", "fr_CA": "fra", "French (CA)": "fra", "[German]": "deu", "audio: German": "deu",
     "lang=cs": "ces", "ger": "deu", "Czech (CS)": "ces", "Română".replace("̂", ""): "rum", "E​nglish": "eng", "British English": "eng", "German, SDH": "deu", "eng/en": "eng", "Français (French)": "fra",
-    "Slovenian": "slv", "slovaak": "slk", "tiếng việt": "vie", "de dialogue": "deu", "deu.": "deu", "Latviešu": "lav", "Latin American English": "eng",
+    "Slovenian": "slv", "slovaak": "slk", "tiếng việt": "vie", "de dialogue": "deu", "deu.": "deu", "Latviešu": "lav", "Latin American English": "eng", "Francais": "fra", "latviesu": "lav", "Tieng Viet": "vie", "slovenscina": "slv", "slovencina": "slk",
     "Moorspeak": "none", "silent film": "none", "und": "none", "": "none", " ": "none", "???": "none", "Surround 5.1": "none", "music & effects": "none", "as on disc": "none", "e": "none",
 }
 
@@ -26,4 +26,34 @@ def test_empty_sides(spark):
 
 def test_forms():
     assert normal(" É​. ") == "é" and readings("") == [] and readings("Eng.")[0] == (0, "eng", True, True)
-    assert "\x02e" in grams("eng", True) and "g\x03" not in grams("eng", True) and "g\x03" in grams("eng", False)
+    assert "\x02e" in grams("engl", True) and "l\x03" not in grams("engl", True) and "l\x03" in grams("engl", False) and grams("eng", False) == ["\x02eng\x03"]
+
+
+def test_the_prefix_loses_no_near_term(spark, monkeypatch):
+    import math
+    import random
+    from collections import Counter
+
+    from cuewright.llm import canonical
+
+    rnd = random.Random(5)
+    syllables = ["ba", "ri", "lon", "tes", "mar", "ka", "vo", "din"]
+    terms = sorted({"".join(rnd.choice(syllables) for _ in range(rnd.randrange(2, 5))) for _ in range(120)})
+    typed = ["".join(c for c in rnd.choice(terms) if rnd.random() > 0.12) + rnd.choice(["", "x", "a"]) for _ in range(150)]
+    ref = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(terms)], "code string, name string")
+    df = Counter(g for t in terms for g in grams(t, False))
+    weight = lambda g: math.log(1 + len(terms) / df[g]) if g in df else math.log(1 + len(terms))
+
+    def want(v):
+        form, best = normal(v), {}
+        for i, t in enumerate(terms):
+            a, b = set(grams(form, False)), set(grams(t, False))
+            score = sum(weight(g) ** 2 for g in a & b) / math.sqrt(sum(weight(g) ** 2 for g in a) * sum(weight(g) ** 2 for g in b))
+            best[f"c{i}"] = 1.0 if form == t else min(score, 0.999) if len(form) > 3 and score >= 0.3 else 0.0
+        top = sorted(best.items(), key=lambda x: (-x[1], x[0]))
+        return top[0][0] if top[0][1] > 0 and top[0][1] - top[1][1] >= 0.03 else "none"
+
+    for hot in (10_000, 2):
+        monkeypatch.setattr(canonical, "HOT", hot)
+        got = {r["v"]: r["code"] for r in map_values(spark.createDataFrame([(v,) for v in typed], "v string"), "v", ref, "code", ["name"]).collect()}
+        assert got == {v: want(v) for v in typed}
