@@ -15,7 +15,7 @@ import codecs
 import math
 import re
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from cuewright.runtime import col, require, settle, settle_table
 
-#: The character model is a table of this many hashed n-gram counts, whatever the size of the corpus (2 MB).
-BUCKETS = 1 << 18
+#: The character model is a table of hashed n-gram counts, and one of whole pieces: so many slots each for a different piece
+#: of the corpus, in powers of two between the bounds (2 to 32 MB).
+SLOTS_A_PIECE, LEAST_SLOTS, MOST_SLOTS = 16, 1 << 18, 1 << 22
 #: Sources and fields share this many pools at most.
 POOLS = 4096
 MODEL_ROUNDS, EM_ROUNDS = 4, 6
@@ -208,8 +209,15 @@ def untrusted(token: str) -> bool:
     return any(_undo(token, step) not in (None, token) for step in _TWICE)
 
 
-def _slot(gram: str) -> int:
-    return zlib.crc32(gram.encode("utf-32-le", "surrogatepass")) & (BUCKETS - 1)
+def _slot(gram: str, size: int) -> int:
+    """The place of an n-gram; pieces ('\\x06' before them) stand in a table of their own after it."""
+    place = zlib.crc32(gram.encode("utf-32-le", "surrogatepass")) & (size - 1)
+    return place + size if gram[0] == "\x06" else place
+
+
+def table_size(n_pieces: int) -> int:
+    """Slots of each table for a corpus of so many different pieces."""
+    return min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (SLOTS_A_PIECE * n_pieces - 1).bit_length()))
 
 
 def _grams(token: str) -> Iterator[str]:
@@ -229,13 +237,13 @@ class Model:
     """Interpolated character trigrams over hashed counts, with what each token's chains gain."""
 
     def __init__(self, counts: np.ndarray) -> None:
-        self.counts = counts
-        self.total = max(1.0, float(counts[_slot("\x05")]))
+        self.counts, self.size = counts, len(counts) // 2
+        self.total = max(1.0, float(counts[_slot("\x05", self.size)]))
         self.gains: dict[tuple[str, bool], list[tuple[int, float]]] = {}
         self.probabilities: dict[str, float] = {}
 
     def _n(self, gram: str) -> float:
-        return float(self.counts[_slot(gram)])
+        return float(self.counts[_slot(gram, self.size)])
 
     def log_probability(self, token: str, least: float = -math.inf) -> float:
         """Of the whole token; once it falls below least, whatever it has come to."""
@@ -278,11 +286,18 @@ class Model:
         known = self.gains.get(key)
         if known is not None:
             return known
+        out = self.gained(token, ((k, undo_chain(token, CHAINS[k])) for k in (_WIDE_CHAINS if wide else _OTHER_CHAINS)))
+        if len(self.gains) > 200_000:
+            self.gains.clear()
+        self.gains[key] = out
+        return out
+
+    def gained(self, token: str, undone: Iterable[tuple[int, str | None]]) -> list[tuple[int, float]]:
+        """(chain, gain) of the chains that make a token likelier, from what each makes of it."""
         out = []
         own = None
         seen: dict[str, float] = {}
-        for k in _WIDE_CHAINS if wide else _OTHER_CHAINS:
-            back = undo_chain(token, CHAINS[k])
+        for k, back in undone:
             if back is None:
                 continue
             if own is None:
@@ -292,18 +307,14 @@ class Model:
                 p = seen[back] = self._text_probability(back, own + GAIN)
             if p - own >= GAIN:
                 out.append((k, p - own - GAIN))
-        if len(self.gains) > 200_000:
-            self.gains.clear()
-        self.gains[key] = out
         return out
 
-    def likeliest(self, piece: str) -> str | None:
-        """A piece as it was most likely meant; None if it can't be told."""
-        gains = [g for g in self.gain(piece) + self.gain(piece, True) if g[1] >= SURE_GAIN]
-        doubtful = untrusted(piece)
+    def likeliest(self, piece: str, doubtful: bool, undone: dict[int, str]) -> str | None:
+        """A piece as it was most likely meant, of what chains make of it; None if it can't be told."""
+        gains = [g for g in self.gained(piece, undone.items()) if g[1] >= SURE_GAIN]
         if not gains:
             return None if doubtful else piece
-        back = undo_chain(piece, CHAINS[max(gains, key=lambda g: (g[1], -g[0]))[0]]) or piece
+        back = undone[max(gains, key=lambda g: (g[1], -g[0]))[0]]
         return back if doubtful or self._n("\x06" + back) >= self._n("\x06" + piece) else piece
 
     def evidence(self, text: str) -> dict[int, float]:
@@ -352,52 +363,73 @@ def _tokens(rows: DataFrame) -> DataFrame:
     return rows.select("t").mapInArrow(run, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def _count_model(tokens: DataFrame, before: np.ndarray | None) -> np.ndarray:
+def _undone(tokens: DataFrame) -> DataFrame:
+    """token, n + doubtful, chains, backs: what each chain makes of a token, found once for all rounds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doubtful, chains, backs = [], [], []
+            for token in batch.column(0).to_pylist():
+                found = [] if _LOST.search(token) else [(k, undo_chain(token, CHAINS[k])) for k in (*_OTHER_CHAINS, *_WIDE_CHAINS)]
+                found = [x for x in found if x[1] is not None]
+                doubtful.append(untrusted(token))
+                chains.append([k for k, _ in found])
+                backs.append([t for _, t in found])
+            arrays = [*batch.columns, pa.array(doubtful, pa.bool_()), pa.array(chains, pa.list_(pa.int32())), pa.array(backs, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["token", "n", "doubtful", "chains", "backs"])
+
+    # The table is small and its rows costly: let every core have some.
+    spread = tokens.repartition(2 * tokens.sparkSession.sparkContext.defaultParallelism)
+    return spread.mapInArrow(run, "token string, n bigint, doubtful boolean, chains array<int>, backs array<string>")
+
+
+def _count_model(tokens: DataFrame, before: np.ndarray | None, size: int) -> np.ndarray:
     """Hashed n-gram counts of the tokens, repaired by the model before."""
     spark = tokens.sparkSession
     shared = None if before is None else spark.sparkContext.broadcast(before)
-    # The table is small and its rows costly: let every core have some.
-    tokens = tokens.repartition(2 * spark.sparkContext.defaultParallelism)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None if shared is None else Model(shared.value)
-        counts = np.zeros(BUCKETS, dtype=np.float64)
+        counts = np.zeros(2 * size, dtype=np.float64)
         slots: dict[str, int] = {}
         for batch in batches:
-            for token, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for token, n, doubtful, chains, backs in zip(*[c.to_pylist() for c in batch.columns]):
                 weight = float(n)
                 if _LOST.search(token):
                     continue
                 # At first only tokens that can't be bytes of UTF-8 are believed, later all in their likeliest form.
-                token = (None if untrusted(token) else token) if model is None else model.likeliest(token)
+                token = (None if doubtful else token) if model is None else model.likeliest(token, doubtful, dict(zip(chains, backs)))
                 if token is None:
                     continue
-                counts[_slot("\x06" + token)] += weight
+                counts[_slot("\x06" + token, size)] += weight
                 for gram in _grams(token):
                     s = slots.get(gram)
                     if s is None:
                         if len(slots) > 300_000:
                             slots.clear()
-                        s = slots[gram] = _slot(gram)
+                        s = slots[gram] = _slot(gram, size)
                     counts[s] += weight
-                counts[_slot("\x05")] += weight * (len(token) + 1)
+                counts[_slot("\x05", size)] += weight * (len(token) + 1)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.float64())], ["slot", "n"])
 
-    # At most BUCKETS rows reach the driver.
+    # At most twice the table's size in rows reaches the driver.
     rows = tokens.mapInArrow(run, "slot bigint, n double").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(BUCKETS, dtype=np.float32)
+    counts = np.zeros(2 * size, dtype=np.float32)
     counts[np.asarray(rows.column("slot"))] = np.asarray(rows.column("n"))
+    if shared is not None:
+        shared.unpersist()
     return counts
 
 
 def character_model(df: DataFrame, text: str, rounds: int = MODEL_ROUNDS) -> np.ndarray:
     """Counts of a character model of the column, garbled tokens replaced by their likeliest repairs."""
     rows = df.select(col(text).alias("t")).where(F.col("t").rlike(r"[^\x00-\x7f]"))
-    tokens = settle_table(_tokens(rows), "tokens")
-    counts = _count_model(tokens, None)
+    tokens = settle_table(_undone(_tokens(rows)), "tokens")
+    size = table_size(max(1, tokens.count()))
+    counts = _count_model(tokens, None, size)
     for _ in range(rounds - 1):
-        counts = _count_model(tokens, counts)
+        counts = _count_model(tokens, counts, size)
     return counts
 
 
@@ -407,7 +439,9 @@ def garbled_records(df: DataFrame, keys: Sequence[str], text: str, source: str,
     chain names the steps undone ('loss' where characters are gone for good);
     posterior is that of any garbling. With repaired, restored_text holds the
     text with the likeliest chain undone, null for 'loss'. source and field
-    name the columns whose pairs make the pools. Null, empty and plain ASCII
+    name the columns whose pairs make the pools. Without repaired, of several
+    texts of one key the most surely garbled one gives the row; with it each has
+    one. Null, empty and plain ASCII
     texts are never garbled. Repeated rows come out once; null keys are keys
     like others; extra columns are ignored; an empty table gives no rows.
     """
@@ -434,11 +468,14 @@ def garbled_records(df: DataFrame, keys: Sequence[str], text: str, source: str,
                     chains.append(list(found))
                     ratios.append(list(found.values()))
             at = pa.array(pick, pa.int64())
-            kept = [batch.column(i).take(at) for i in range(nk + 1 + repaired)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(chains, pa.list_(pa.int32())), pa.array(ratios, pa.list_(pa.float32()))], [*ks, "pool", *(["t"] if repaired else []), "chains", "ratios"])
-
-    head = f"{kinds}, pool int, {'t string, ' if repaired else ''}{listed}"
-    suspects = settle(rows.where(high).mapInArrow(judge, head).dropDuplicates([*ks, *(["t"] if repaired else [])]))
+            kept = [batch.column(i).take(at) for i in range(nk + 2)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(chains, pa.list_(pa.int32())), pa.array(ratios, pa.list_(pa.float32()))], [*ks, "pool", "t", "chains", "ratios"])
+
+    # Deliveries of one text count once; different texts of one key are records each until they are judged.
+    found = rows.where(high).mapInArrow(judge, f"{kinds}, pool int, t string, {listed}").dropDuplicates([*ks, "pool", "t"])
+    suspects = settle_table(found if repaired else found.drop("t"), "suspects")
+    # Records with equal evidence weigh together in the rounds.
+    patterns = settle(suspects.groupBy("pool", "chains", "ratios").agg(F.count(F.lit(1)).alias("n")))
     size = rows.where("t is not null").groupBy("pool").agg(F.count(F.lit(1)).alias("n")).collect()  # at most POOLS rows
     totals = {r["pool"]: r["n"] for r in size}
     n_chains = len(CHAINS) + 1
@@ -469,21 +506,22 @@ def garbled_records(df: DataFrame, keys: Sequence[str], text: str, source: str,
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             sums: dict[int, np.ndarray] = {}
             for batch in batches:
-                for p, chains, ratios in zip(*[c.to_pylist() for c in batch.columns]):
+                for p, chains, ratios, n in zip(*[c.to_pylist() for c in batch.columns]):
                     at = [index(c) for c in chains]
                     each, _ = posterior(shared.value[p], at, ratios)
                     acc = sums.setdefault(p, np.zeros(n_chains))
                     for a, x in zip(at, each):
-                        acc[a] += x
+                        acc[a] += n * x
             out = [(p, k, float(x)) for p, acc in sums.items() for k, x in enumerate(acc) if x > 0]
             cols = list(zip(*out)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.float64()))], ["pool", "k", "x"])
 
-        got = suspects.select("pool", "chains", "ratios").mapInArrow(expect, "pool int, k int, x double").groupBy("pool", "k").agg(F.sum("x").alias("x")).collect()  # at most POOLS x chains rows
+        got = patterns.mapInArrow(expect, "pool int, k int, x double").groupBy("pool", "k").agg(F.sum("x").alias("x")).collect()  # at most POOLS x chains rows
         expected: dict[int, np.ndarray] = {}
         for r in got:
             expected.setdefault(r["pool"], np.zeros(n_chains))[r["k"]] = r["x"]
         now = priors(expected)
+        shared.unpersist()
     final = spark.sparkContext.broadcast(now)
     names = [" + ".join(f"{t} read as {w}" for w, t in reversed(chain)) for chain in CHAINS] + ["loss"]
 
@@ -508,4 +546,7 @@ def garbled_records(df: DataFrame, keys: Sequence[str], text: str, source: str,
             yield pa.RecordBatch.from_arrays([*[batch.column(i).take(where) for i in range(nk)], pa.array(chain, pa.string()), pa.array(sure, pa.float64()), *more], [*ks, "chain", "posterior", *(["restored_text"] if repaired else [])])
 
     out = suspects.mapInArrow(decide, f"{kinds}, chain string, posterior double{', restored_text string' if repaired else ''}")
+    if not repaired:
+        best = F.max_by(F.struct("chain", "posterior"), F.struct("posterior", "chain")).alias("b")
+        out = out.groupBy(*ks).agg(best).select(*ks, "b.*")
     return out.select(*[F.col(a).alias(k) for k, a in zip(keys, ks)], "chain", "posterior", *(["restored_text"] if repaired else []))

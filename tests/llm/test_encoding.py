@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from cuewright.llm.encoding import CHAINS, garbled_records, undo_chain, untrusted
+from cuewright.llm.encoding import CHAINS, LEAST_SLOTS, MOST_SLOTS, garbled_records, table_size, undo_chain, untrusted
 
 WORDS = {
     "de": "Straße Brücke früh größere Mädchen zurück schließt täglich Käse hören".split(),
@@ -94,3 +94,19 @@ def test_a_lost_character_that_was_misread_again_is_loss(spark):
     df = spark.createDataFrame([*rows, *[("a", 5000 + r[1], r[2]) for r in corpus(3) if r[3] is None]], "src string, i int, text string").selectExpr("*", "'f' as fld")
     got = {r["i"]: (r["chain"], r["restored_text"]) for r in garbled_records(df, ["i"], "text", "src", "fld", repaired=True).where("i < 200").collect()}
     assert got == {i: ("loss", None) for i in range(len(lost))}
+
+
+def test_texts_of_one_key_are_judged_each(spark):
+    rows = [("a", i, t, "o", "f") for i, t in corpus_texts()] + [("k", 1, "Straße und Brücke", "o", "f"), ("k", 1, "Straße und Brücke".encode().decode("latin-1"), "o", "f")] * 2
+    df = spark.createDataFrame(rows, "p string, n int, t string, s string, f string").repartition(5)
+    assert [tuple(r)[:2] for r in garbled_records(df, ["p", "n"], "t", "s", "f").where("p = 'k'").collect()] == [("k", 1)]
+    assert [r["restored_text"] for r in garbled_records(df, ["p", "n"], "t", "s", "f", repaired=True).where("p = 'k'").collect()] == ["Straße und Brücke"]
+
+
+def corpus_texts():
+    rnd = random.Random(8)
+    return [(i, " ".join(rnd.choice(WORDS["de"]) for _ in range(5))) for i in range(400)]
+
+
+def test_the_table_grows_with_the_pieces():
+    assert table_size(1) == LEAST_SLOTS and table_size(10**9) == MOST_SLOTS and table_size(50_000) == 1 << 20
