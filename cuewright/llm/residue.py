@@ -13,7 +13,8 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +42,9 @@ STRANGER = 4.0
 #: Windows of a passage longer than this many words, and their step.
 LONGEST, WINDOW, STEP = 40, 16, 8
 
-_WORD = re.compile(r"(?:/[\w.-]+){2,}|[^\W\d]+(?:['’-][^\W\d]+)*|\d[\w/.-]*|\x02[a-z ]+\x02")
+#: Paths, words, numbers, placeholder tokens, and what ends a passage.
+_WORD = re.compile(r"(?:/[\w.-]+){2,}|[^\W\d]+(?:['’-][^\W\d]+)*|\d(?:[\w/.-]*\w)?|\x02[a-z ]+\x02|[.!?…]+(?=[\s\"”’)\]]|$)|[\n|]|[;:](?=\s)")
 _PLAIN_WORD = re.compile(r"(?:/[\w.-]+){2,}|[^\W\d]+(?:['’-][^\W\d]+)*")
-_SPLIT = re.compile(r"[.!?…]+(?=[\s\"”’)\]]|$)|[\n|]|[;:]\s")
 #: What a placeholder has at least one of; cheaper than trying all shapes everywhere.
 _SLOT_SIGN = re.compile(r"\{[{%A-Za-z_]|<[%a-z]|[$#]\{|%[(A-Z]|\$[A-Z]|\[\[|@@|__[A-Z]|«[a-z]|\[(?:INSERT|TK|TB|TODO)|\sto\s+be\s+(?:inserted|added|confirmed|supplied)\]|XXX")
 _SLOT = re.compile("|".join(f"(?P<s{i}>{p})" for i, p in enumerate(SLOTS.values())))
@@ -74,25 +75,36 @@ _ONCE = frozenset(f"\x03{name}" for name in CLASSES if name != "body")
 _MENTION, _MENTION_TOGETHER = frozenset(_CLASS.get(w, w) for w in MENTION.split()), frozenset(_CLASS.get(w, w) for w in MENTION_TOGETHER.split())
 
 
-class _Fold(dict):
-    """Words as they count, kept once looked up."""
+class _Kept(dict):
+    """What a function gives, kept once asked for."""
 
-    def __missing__(self, w: str) -> str:
+    def __init__(self, make: Callable[[str], Any]) -> None:
+        self.make = make
+
+    def __missing__(self, w: str) -> Any:
         if len(self) > 500_000:
             self.clear()
-        out = self[w] = "0" if w[0].isdigit() or w[0] == "/" or "_" in w else _CLASS.get(w, w)
+        out = self[w] = self.make(w)
         return out
 
 
-_FOLDED = _Fold()
+def _fold(w: str) -> str:
+    """A word as it counts; what ends a passage is the empty word."""
+    return "" if w[0] in ".!?…\n|;:" else "0" if w[0].isdigit() or w[0] == "/" or "_" in w else _CLASS.get(w, w)
+
+
+_FOLDED = _Kept(_fold)
+
+
+def _folded(text: str) -> list[str]:
+    """Words in lower case as they count, '' between passages."""
+    out = [_FOLDED[w] for w in _WORD.findall(text.lower())]
+    return [w for w, before in zip(out, ["", *out]) if w != before or w not in _ONCE]
 
 
 def words(text: str) -> list[str]:
     """Words in lower case, folded into their classes; numbers, paths and names with underscores are '0' and weigh nothing."""
-    out = [_FOLDED[w] for w in _WORD.findall(text.lower())]
-    if any(a == b and a in _ONCE for a, b in zip(out, out[1:])):
-        out = [w for i, w in enumerate(out) if not (i and w == out[i - 1] and w in _ONCE)]
-    return out
+    return [w for w in _folded(text) if w]
 
 
 def vocabulary(text: str) -> set[str]:
@@ -119,16 +131,25 @@ def bucket(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)
 
 
-def windows(text: str) -> Iterator[list[str]]:
-    """Passages between sentence ends and line breaks; long ones as overlapping windows."""
-    for passage in _SPLIT.split(text):
-        ws = words(passage)
-        if len(ws) <= LONGEST:
-            if ws:
-                yield ws
-        else:
+def _windows(folded: list[str]) -> Iterator[list[str]]:
+    start, n = 0, len(folded)
+    while start < n:
+        try:
+            end = folded.index("", start)
+        except ValueError:
+            end = n
+        if end - start > LONGEST:
+            ws = folded[start:end]
             for at in range(0, len(ws) - WINDOW + STEP, STEP):
                 yield ws[at : at + WINDOW]
+        elif end > start:
+            yield folded[start:end]
+        start = end + 1
+
+
+def windows(text: str) -> Iterator[list[str]]:
+    """Passages between sentence ends and line breaks; long ones as overlapping windows."""
+    return _windows(_folded(text))
 
 
 class Index:
@@ -136,7 +157,7 @@ class Index:
 
     def __init__(self, counts: np.ndarray, n_docs: int) -> None:
         self.counts, self.n_docs = counts, max(1, n_docs)
-        self.weights: dict[str, float] = {"0": 0.0}
+        self.weights = _Kept(self._weigh)
         self.groups = {label: {w for x in t.strip().split("\n") for w in words(x)} for label, t in EXEMPLARS.items() if label != "filler"}
         self.strong = {f"\x03{name}" for name in STRONG.split()}
         self.exemplars: list[tuple[Counter, float, str]] = []
@@ -147,14 +168,16 @@ class Index:
         for shape in SLOTS:
             self._add(Counter([f"\x02{shape}\x02"]), "slot")
 
+    def _weigh(self, word: str) -> float:
+        if word == "0":
+            return 0.0
+        if word[0] == "\x02":
+            return 12.0
+        w = max(0.0, math.log((self.n_docs + 1) / (float(self.counts[bucket(word)]) + 0.5)))
+        return w if word in _KNOWN else min(w, STRANGER)
+
     def weight(self, word: str) -> float:
-        w = self.weights.get(word)
-        if w is None:
-            if len(self.weights) > 500_000:
-                self.weights = {"0": 0.0}
-            w = math.log((self.n_docs + 1) / (float(self.counts[bucket(word)]) + 0.5)) if word[0] != "\x02" else 12.0
-            w = self.weights[word] = max(0.0, w if word in _KNOWN or word[0] == "\x02" else min(w, STRANGER))
-        return w
+        return self.weights[word]
 
     def _add(self, bag: Counter, label: str) -> None:
         total = sum(n * self.weight(w) for w, n in bag.items())
@@ -173,32 +196,33 @@ class Index:
 
     def covered(self, ws: list[str]) -> tuple[float, str | None]:
         """Share of a window's weight that contained exemplars cover, and the label of the one that holds most."""
-        candidates = {e for w in ws for e in self.anchors.get(w, ())}
-        if not candidates:
+        if self.anchors.keys().isdisjoint(ws):
             return 0.0, None
-        bag = Counter(ws)
-        total = sum(n * self.weight(w) for w, n in bag.items())
+        candidates = {e for w in ws for e in self.anchors.get(w, ())}
+        weights, bag = self.weights, Counter(ws)
+        total = sum(n * weights[w] for w, n in bag.items())
         if total <= 0:
             return 0.0, None
         mine: set[str] = set()
         best, label = 0.0, None
         for e in sorted(candidates):
             wanted, weight, kind = self.exemplars[e]
-            held = sum(min(n, bag[w]) * self.weight(w) for w, n in wanted.items() if w in bag)
+            held = sum(min(n, bag[w]) * weights[w] for w, n in wanted.items() if w in bag)
             if held >= min(CONTAINED * weight, EVIDENCE):
                 mine.update(wanted)
                 if held > best:
                     best, label = held, kind
-        share = sum(n * self.weight(w) for w, n in bag.items() if w in mine) / total
+        share = sum(n * weights[w] for w, n in bag.items() if w in mine) / total
         if share < COVERED and not self.strong.isdisjoint(bag):
             for kind, group in self.groups.items():
-                inside = sum(n * self.weight(w) for w, n in bag.items() if w in group)
+                inside = sum(n * weights[w] for w, n in bag.items() if w in group)
                 if inside >= GROUP_WEIGHT and inside >= OF_GROUP * total:
                     return inside / total, kind
         return share, label
 
     def spliced(self, ws: list[str], slots: bool) -> str | None:
         """The label of an exemplar that stands nearly word for word somewhere in a window; of placeholders, or of all else."""
+        weights = self.weights
         for at, w in enumerate(ws):
             for e in self.anchors.get(w, ()):
                 wanted, weight, kind = self.exemplars[e]
@@ -213,8 +237,8 @@ class Index:
                     continue
                 for start in range(max(0, at - size + 1), min(at, max(0, len(ws) - size)) + 1):
                     bag = Counter(ws[start : start + size])
-                    held = sum(min(n, bag[x]) * self.weight(x) for x, n in wanted.items() if x in bag)
-                    if held >= SPLICED and held >= CLOSE * max(weight, sum(n * self.weight(x) for x, n in bag.items())):
+                    held = sum(min(n, bag[x]) * weights[x] for x, n in wanted.items() if x in bag)
+                    if held >= SPLICED and held >= CLOSE * max(weight, sum(n * weights[x] for x, n in bag.items())):
                         return kind
         return None
 
@@ -223,10 +247,11 @@ class Index:
         if not text:
             return None
         text = marked(text)
-        if "\x02" not in text and self.anchors.keys().isdisjoint(vocabulary(text)):
+        folded = _folded(text)
+        if self.anchors.keys().isdisjoint(folded):
             return None
         near = []
-        for ws in windows(text):
+        for ws in _windows(folded):
             share, label = self.covered(ws)
             if label is None:
                 continue
