@@ -34,10 +34,11 @@ MODEL_ROUNDS, EM_ROUNDS = 4, 6
 #: Log-likelihood that a token's repair must gain, which is also its price; the gain from which it counts for the
 #: character model; the log-likelihood ratio of characters that are gone for good.
 GAIN, SURE_GAIN, LOSSY = 2.0, 0.5, 25.0
+#: Log-likelihood that a part's repair may fall short of the part where the record is known to be garbled by the chain.
+KNOWN_GARBLED = 3.0
 #: Pseudo-count of each chain in a pool, over all chains together.
 SMOOTHING = 1.0
 
-_SPACE = re.compile(r"[ \t\n\r]+")
 #: Letters, digits and all that isn't ASCII: what the character model sees; the rest is markup and punctuation.
 _PIECE = re.compile(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 _HIGH_RUN = re.compile(r"[^\x00-\x7f]+")
@@ -320,16 +321,15 @@ class Model:
     def evidence(self, text: str) -> dict[int, float]:
         """Log-likelihood ratio of each chain with any; -1 stands for loss that no chain explains."""
         out: dict[int, float] = {}
-        for token in _SPACE.split(text):
-            if token.isascii():
-                continue
-            for piece in _PIECE.findall(token):
-                if not piece.isascii():
-                    for k, g in self.gain(piece):
-                        out[k] = out.get(k, 0.0) + g
-            if _FOREIGN.search(token):
-                for k, g in self.gain(token, True):
+        for piece in _PIECE.findall(text):
+            if not piece.isascii():
+                for k, g in self.gain(piece):
                     out[k] = out.get(k, 0.0) + g
+        if _FOREIGN.search(text):
+            for token in _TOKEN.findall(text):
+                if not token.isascii() and _FOREIGN.search(token):
+                    for k, g in self.gain(token, True):
+                        out[k] = out.get(k, 0.0) + g
         if _LOST.search(text) or _MISREAD_LOSS.search(text):
             out[-1] = LOSSY
         elif _CONTROL.search(text) and not out:
@@ -337,13 +337,14 @@ class Model:
         return out
 
     def repair(self, text: str, chain: int) -> str:
-        """The text with the parts undone that the chain makes likelier; all else stays as it is."""
+        """The text with the parts undone that the chain, known to have garbled it, may have made; all else stays as it is."""
         wide = CHAINS[chain][0][1] in _WIDE
 
         def undone(m: re.Match) -> str:
-            if m[0].isascii() or not any(k == chain for k, _ in self.gain(m[0], wide)):
+            back = None if m[0].isascii() else undo_chain(m[0], CHAINS[chain])
+            if back is None or self._text_probability(back) < self._text_probability(m[0]) - KNOWN_GARBLED:
                 return m[0]
-            return undo_chain(m[0], CHAINS[chain]) or m[0]
+            return back
 
         return (_TOKEN if wide else _PIECE).sub(undone, text)
 
