@@ -162,6 +162,7 @@ class Index:
         self.strong = {f"\x03{name}" for name in STRONG.split()}
         self.exemplars: list[tuple[Counter, float, str]] = []
         self.anchors: dict[str, list[int]] = {}
+        self.inside: dict[str, list[int]] = {}
         for label, text in EXEMPLARS.items():
             for line in dict.fromkeys(tuple(words(x)) for x in text.strip().split("\n")):
                 self._add(Counter(line), label)
@@ -193,6 +194,14 @@ class Index:
                 break
             self.anchors.setdefault(w, []).append(number)
             rest -= bag[w] * self.weight(w)
+        # The same for exemplars that count inside running text, which must be held nearly whole.
+        if label == "slot" or (total >= SPLICED and SPLICED_WORDS <= bag.total() <= LONGEST):
+            rest = total
+            for w in sorted(bag, key=lambda x: (-bag[x] * self.weight(x), x)):
+                if rest < CLOSE * total:
+                    break
+                self.inside.setdefault(w, []).append(number)
+                rest -= bag[w] * self.weight(w)
 
     def covered(self, ws: list[str]) -> tuple[float, str | None]:
         """Share of a window's weight that contained exemplars cover, and the label of the one that holds most."""
@@ -224,7 +233,7 @@ class Index:
         """The label of an exemplar that stands nearly word for word somewhere in a window; of placeholders, or of all else."""
         weights = self.weights
         for at, w in enumerate(ws):
-            for e in self.anchors.get(w, ()):
+            for e in self.inside.get(w, ()):
                 wanted, weight, kind = self.exemplars[e]
                 size = wanted.total()
                 if (kind == "slot") != slots:
@@ -233,8 +242,6 @@ class Index:
                     if not spoken_of(ws, at):
                         return kind
                     continue
-                if weight < SPLICED or not SPLICED_WORDS <= size <= LONGEST:
-                    continue
                 for start in range(max(0, at - size + 1), min(at, max(0, len(ws) - size)) + 1):
                     bag = Counter(ws[start : start + size])
                     held = sum(min(n, bag[x]) * weights[x] for x, n in wanted.items() if x in bag)
@@ -251,16 +258,22 @@ class Index:
         if self.anchors.keys().isdisjoint(folded):
             return None
         near = []
+        slots, weights = "\x02" in text, self.weights
         for ws in _windows(folded):
-            share, label = self.covered(ws)
-            if label is None:
+            if self.anchors.keys().isdisjoint(ws):
                 continue
-            if share >= COVERED:
-                return label
-            near.append(ws)
-            if self.spliced(ws, True) is not None:
+            total = sum([weights[w] for w in ws])
+            # Exemplars cover words of theirs only.
+            theirs = sum([weights[w] for w in ws if w in _KNOWN or w[0] == "\x02"])
+            if theirs >= COVERED * total:
+                share, label = self.covered(ws)
+                if label is not None and share >= COVERED:
+                    return label
+            if slots and self.spliced(ws, True) is not None:
                 return "slot"
-        # What stands nearly word for word in a window is contained in it, so only those windows matter.
+            if theirs >= SPLICED and not self.inside.keys().isdisjoint(ws):
+                near.append(ws)
+        # Only windows with one of the words that such an exemplar can't do without matter.
         if near and _QUOTATION.search(text):
             near = list(windows(_QUOTATION.sub(" ” ", text)))
         for ws in near:
