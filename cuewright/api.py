@@ -189,7 +189,9 @@ def join(spark: SparkSession, sources: Sequence[str], out: str) -> list[tuple]:
 
 def split(spark: SparkSession, path: str, folder: str, ranges: Sequence[tuple[int, int]] = (), pattern: str = "part_%03d.mkv") -> list[tuple]:
     """Parts at the given ranges (end 0 is open), or at the chapters; each begins at a keyframe."""
-    m = open_media(spark, path)
+    # What lies before every range is neither part of one nor ends one, so its clusters aren't read.
+    first = min((a for a, _ in ranges), default=0)
+    m = open_media(spark, path, **({"startMs": first} if first > 0 else {}))
     spans = spark.createDataFrame([(n, a, b) for n, (a, b) in enumerate(ranges, 1)], "range_id int, start_ms long, end_ms long") if ranges else C.chapter_ranges(m.chapters).drop("path")
     if not spans.take(1):
         raise ValueError("no ranges and no chapters")

@@ -21,15 +21,17 @@ from cuewright.operators import containers as C
 from cuewright.operators import subtitles as U
 from cuewright.operators.ordered import FILE_CHUNK
 from cuewright.operators.tables import latest_rows
+from cuewright.plans.container_queries import SQL as _CONTAINER_SQL
 from cuewright.plans.container_queries import _SRT, _blocks, _chapters, _events, _folder, _segments, _tracks, _with
 from cuewright.runtime import table, work_folder
 from cuewright.sources import ebml as X
 from cuewright.sources.container_sink import edit_in_place, metadata_parts, write_containers, write_streams
 from cuewright.sources.container_source import Container, decode_containers, read_container
-from cuewright.streaming.clusters import cluster_stream
+from cuewright.streaming.clusters import cluster_stream, cue_stream
 
 QUERIES = {}
 SQL = {}
+_CUES = _CONTAINER_SQL["cue_index"]
 
 #: Text files of the round trip hold this many cues each.
 CUES_A_FILE = 1000
@@ -428,11 +430,29 @@ def subtitle_track_exists(spark, d):
 )
 def stream_clusters(spark, d):
     """Clusters and backward timecodes of the block stream, read as a stream with state kept between batches."""
-    folder = work_folder(spark, "stream")
+    return _streamed(spark, d).select("path", "block_seq", "cluster_ms", "opens_cluster", "went_backwards")
+
+
+def _run(stream: DataFrame, folder: str) -> DataFrame:
+    """What a stream gives of all there is, written to a folder."""
+    stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def _streamed(spark: SparkSession, d: str) -> DataFrame:
     source = f"{d}/blocks.parquet"
     schema = spark.read.parquet(source).drop("data").schema
     # As a pattern the path may be a file or a folder.
     stream = spark.readStream.schema(schema).parquet(source[:-1] + "[t]").dropDuplicates(["path", "block_seq"])
-    running = cluster_stream(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("path", "block_seq", "cluster_ms", "opens_cluster", "went_backwards")
+    return _run(cluster_stream(stream), work_folder(spark, "stream"))
+
+
+@query(
+    _CUES.replace("select path, cluster_ms, cue.t as time_ms, cue.n as track_number from q where cue is not null", "select q.path, q.cluster_ms, cue.t as time_ms, cue.n as track_number from q join h on h.path = q.path and h.rn = q.rn where cue is not null and not (key is null and q.rn = (select max(rn) from h as z where z.path = q.path))")
+)
+def stream_cues(spark, d):
+    """Index entries of the clustered stream as soon as they are known; a last cluster without a keyframe stays open."""
+    clustered = _streamed(spark, d)
+    folder = work_folder(spark, "clustered")
+    clustered.write.parquet(folder)
+    return _run(cue_stream(spark.readStream.schema(clustered.schema).parquet(folder)), work_folder(spark, "cues"))

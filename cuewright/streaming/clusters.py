@@ -20,15 +20,34 @@ _OUT = "path string, block_seq bigint, track_number bigint, timecode_ms bigint,
 _STATE = "cluster_ms bigint, last_ms bigint"
 
 
-def cluster_stream(blocks: DataFrame, width_ms: int = CLUSTER_MS, tolerance_ms: int = BACKWARD_TOLERANCE_MS) -> DataFrame:
+def _timeout(idle_ms: int | None) -> str:
+    return GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def _ended(state: GroupState, idle_ms: int | None) -> bool:
+    """Drops the state of a path that was idle for too long; else the time runs anew."""
+    if state.hasTimedOut:
+        state.remove()
+        return True
+    if idle_ms is not None:
+        state.setTimeoutDuration(idle_ms)
+    return False
+
+
+def cluster_stream(blocks: DataFrame, width_ms: int = CLUSTER_MS, tolerance_ms: int = BACKWARD_TOLERANCE_MS, idle_ms: int | None = None) -> DataFrame:
     """blocks + (cluster_ms, opens_cluster, went_backwards), the state of each path kept between batches.
 
     As in batch, a cluster begins at the first block and at each one that lies
     width_ms or more past its start, and a block more than tolerance_ms before
-    the one before it went backwards. Nothing is ever dropped as late.
+    the one before it went backwards. Nothing is ever dropped as late. The state
+    of a path (two numbers) is kept for good, or until no block of it came for
+    idle_ms; blocks after that begin anew. A path's part of a batch is folded in
+    one task: batches bound it (maxFilesPerTrigger).
     """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if _ended(state, idle_ms):
+            return
         rows = pd.concat(list(batches), ignore_index=True).sort_values("block_seq", ignore_index=True)
         start, last = state.get if state.exists else (None, None)
         starts, opens, back = [], [], []
@@ -44,18 +63,21 @@ def cluster_stream(blocks: DataFrame, width_ms: int = CLUSTER_MS, tolerance_ms:
         yield rows.assign(cluster_ms=starts, opens_cluster=opens, went_backwards=back)[["path", "block_seq", "track_number", "timecode_ms", "keyframe", "cluster_ms", "opens_cluster", "went_backwards"]]
 
     slim = blocks.select("path", F.col("block_seq").cast("bigint"), F.col("track_number").cast("bigint"), F.col("timecode_ms").cast("bigint"), "keyframe")
-    return slim.groupBy("path").applyInPandasWithState(fold, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return slim.groupBy("path").applyInPandasWithState(fold, _OUT, _STATE, "append", _timeout(idle_ms))
 
 
-def cue_stream(clustered: DataFrame, interval_ms: int = CUE_INTERVAL_MS) -> DataFrame:
+def cue_stream(clustered: DataFrame, interval_ms: int = CUE_INTERVAL_MS, idle_ms: int | None = None) -> DataFrame:
     """(path, cluster_ms, time_ms, track_number): index entries as soon as they are known.
 
     A cluster's entry is its first keyframe; one without any gets its first
     block when the next cluster opens, unless the last entry is nearer than
-    interval_ms. The last cluster of a path stays open.
+    interval_ms. The last cluster of a path stays open; idle_ms as in
+    cluster_stream().
     """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if _ended(state, idle_ms):
+            return
         rows = pd.concat(list(batches), ignore_index=True).sort_values("block_seq", ignore_index=True)
         last, start, done, first_ms, first_track = state.get if state.exists else (-interval_ms - 1, None, True, None, None)
         out = []
@@ -72,7 +94,7 @@ def cue_stream(clustered: DataFrame, interval_ms: int = CUE_INTERVAL_MS) -> Data
         yield pd.DataFrame(out, columns=["path", "cluster_ms", "time_ms", "track_number"])
 
     slim = clustered.select("path", "block_seq", "track_number", "timecode_ms", "keyframe", "cluster_ms")
-    return slim.groupBy("path").applyInPandasWithState(fold, "path string, cluster_ms bigint, time_ms bigint, track_number bigint", "last bigint, start bigint, done boolean, first_ms bigint, first_track bigint", "append", GroupStateTimeout.NoTimeout)
+    return slim.groupBy("path").applyInPandasWithState(fold, "path string, cluster_ms bigint, time_ms bigint, track_number bigint", "last bigint, start bigint, done boolean, first_ms bigint, first_track bigint", "append", _timeout(idle_ms))
 
 
 def windowed_counts(blocks: DataFrame, event_time: str, lateness: str = "1 second", window: str = "1 minute") -> DataFrame:

@@ -74,3 +74,29 @@ def test_rest(spark, media, tmp_path):
     for call in (lambda: api.demux(spark, a, out, [99]), lambda: api.extract_attachment(spark, a, 1, f"{out}/x"), lambda: api.extract_subtitle(spark, a, 1, f"{out}/x"), lambda: api.remove_track(spark, a, f"{out}/x.mkv", [1, 2])):
         with pytest.raises(ValueError):
             call()
+
+
+def test_progress_and_the_folder_for_intermediate_data(spark, monkeypatch):
+    import time
+
+    from cuewright import runtime
+
+    seen = []
+    with runtime.task_progress(spark, lambda done, total: seen.append((done, total)), 0.02):
+        spark.range(4, numPartitions=4).mapInArrow(lambda it: (time.sleep(0.3) or b for b in it), "id long").count()
+    assert seen and all(0 <= d <= t for d, t in seen)
+    with runtime.task_progress(spark, None):
+        pass
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        runtime._checkpoint_folder(Session())

@@ -55,3 +55,23 @@ def test_windows(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "w"))
     got = run(windowed_counts(stream, "ts"), "windows")
     assert {(r["start"].minute, r["track_number"], r["n_blocks"]) for r in got} >= {(0, 1, 2), (1, 2, 1)}
+
+
+def test_idle_paths_are_forgotten(spark, tmp_path):
+    import time
+
+    schema = "path string, block_seq long, track_number long, timecode_ms long, keyframe boolean"
+    source = str(tmp_path / "in")
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    put([("a", 1, 1, 5000, True)])
+    q = cluster_stream(spark.readStream.schema(schema).parquet(source), idle_ms=300).writeStream.format("memory").queryName("idle").outputMode("append").start()
+    q.processAllAvailable()
+    time.sleep(0.8)
+    put([("b", 1, 1, 0, True)])  # a batch in which the idle path times out
+    q.processAllAvailable()
+    time.sleep(0.5)
+    put([("a", 2, 1, 5100, True), ("b", 2, 1, 100, False)])
+    q.processAllAvailable()
+    q.stop()
+    got = {(r["path"], r["block_seq"]): (r["cluster_ms"], r["went_backwards"]) for r in spark.sql("select * from idle").collect()}
+    assert got[("a", 1)][0] == 5000 and got[("a", 2)][0] == 5100
