@@ -64,6 +64,8 @@ def test_idle_paths_are_forgotten(spark, tmp_path):
     source = str(tmp_path / "in")
     put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
     put([("a", 1, 1, 5000, True)])
+    # With timeouts Spark runs batches without data for ever, and waiting for the last of them never ends.
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     q = cluster_stream(spark.readStream.schema(schema).parquet(source), idle_ms=300).writeStream.format("memory").queryName("idle").outputMode("append").start()
     q.processAllAvailable()
     time.sleep(0.8)
@@ -73,5 +75,6 @@ def test_idle_paths_are_forgotten(spark, tmp_path):
     put([("a", 2, 1, 5100, True), ("b", 2, 1, 100, False)])
     q.processAllAvailable()
     q.stop()
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     got = {(r["path"], r["block_seq"]): (r["cluster_ms"], r["went_backwards"]) for r in spark.sql("select * from idle").collect()}
     assert got[("a", 1)][0] == 5000 and got[("a", 2)][0] == 5100
