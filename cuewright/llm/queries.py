@@ -179,3 +179,13 @@ SQL: dict[str, str] = {
           or regexp_matches(text, '(?i)(dolor|adipiscing|eiusmod|ullamco|incididunt|consectetur)|((asdf|qwer|foo bar|text|blah|test|aaa|xyz|lorem)( |$)){3}')
           or regexp_matches(text, '(?i)sample (transcript|speech|contribution|remarks|paragraph|body text)|goes here|text of the [a-z ]+ to follow|in this box|, do not publish|before release|beispieltext|hier steht später|platzhalter für|texte provisoire|à compléter par|texte d’exemple|texto de relleno|sustituir por|this is a placeholder for')""",
 }
+
+#: The same runs with their number of events and times.
+SQL["p1_runs"] = (
+    SQL["p1_found"]
+    .replace("false as ass, path, seq, text as body", "false as ass, path, seq, start_ms, end_ms, text as body")
+    .replace("select distinct 'ass', true, path, seq, case", "select distinct 'ass', true, path, seq, start_ms, end_ms, case")
+    .replace("v as (select source, path, seq,", "v as (select source, path, seq, start_ms, end_ms,")
+    .replace("f as (select source, path, seq,", "f as (select source, path, seq, start_ms, end_ms,")
+    .replace("max(seq) as last_seq from r", "max(seq) as last_seq, count(*) as n_events, min(start_ms) as start_ms, max(end_ms) as end_ms, max(end_ms) - min(start_ms) as duration_ms from r")
+)
