@@ -7,8 +7,9 @@ Options: table (see schemas.TABLES), payload (false leaves data columns null
 and attachment bytes unread), mode (PERMISSIVE skips a
 broken file or its rest, FAILFAST raises), laces (standard or compat: the bias
 of size differences, see ebml.lace_sizes), startMs and endMs (blocks of that
-time only; clusters that can't hold any are passed over unread), splitBytes (how much of a file one
-task reads when blocks are read). Files are read through pyarrow's file
+time only; clusters that can't hold any are passed over unread), splitBytes (how much of a file is read
+in one piece when blocks are read). A task takes many small files or pieces, up to DEFAULT_SPLIT
+bytes. Files are read through pyarrow's file
 systems, so any URI that those know will do; other file systems are registered
 with register_filesystem(), and contents held in a column are read by
 decode_containers().
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 import fnmatch
 import io
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from decimal import Decimal
 from typing import Any, BinaryIO
 
@@ -41,6 +42,8 @@ from cuewright.sources import ebml as X
 
 BATCH_ROWS, BATCH_BYTES = 4096, 16 << 20
 DEFAULT_SPLIT = 128 << 20
+#: What opening a file counts as beside its bytes where files share a task: at most 512 go to one.
+OPEN_COST = DEFAULT_SPLIT // 512
 #: Bytes read at once in the search for a cluster's mark, and elements after it that must be in order.
 SEARCH_BYTES, SEARCH_CHAIN = 1 << 20, 4
 
@@ -63,19 +66,19 @@ def resolve(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
-def list_files(path: str) -> list[str]:
-    """Files at a path, below a folder, or matching a pattern of the last path part."""
+def list_files(path: str) -> list[tuple[str, int]]:
+    """(path, bytes) of the files at a path, below a folder, or matching a pattern of the last path part."""
     head, _, last = path.rpartition("/")
     pattern = last if any(c in last for c in "*?[") else None
     system, where = resolve(head if pattern else path)
     prefix = path[: len(path) - len(path.split("://", 1)[1])] if "://" in path else ""
     info = system.get_file_info(where)
     if info.type == pafs.FileType.File:
-        return [path]
+        return [(path, info.size)]
     if info.type == pafs.FileType.NotFound:
         raise FileNotFoundError(path)
-    found = [i.path for i in system.get_file_info(pafs.FileSelector(where, recursive=True)) if i.type == pafs.FileType.File and not i.base_name.startswith(("_", "."))]
-    return [prefix + p for p in sorted(found) if pattern is None or fnmatch.fnmatch(p.rsplit("/", 1)[-1], pattern)]
+    found = [(i.path, i.size) for i in system.get_file_info(pafs.FileSelector(where, recursive=True)) if i.type == pafs.FileType.File and not i.base_name.startswith(("_", "."))]
+    return [(prefix + p, size) for p, size in sorted(found) if pattern is None or fnmatch.fnmatch(p.rsplit("/", 1)[-1], pattern)]
 
 
 def uid(v: int | None) -> Decimal | None:
@@ -325,8 +328,10 @@ class Container:
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str, start: int, end: int | None) -> None:
-        self.path, self.start, self.end = path, start, end
+    """Pieces (path, start, end) of files that one task reads."""
+
+    def __init__(self, pieces: list[tuple[str, int, int | None]]) -> None:
+        self.pieces = pieces
 
 
 class ContainerReader(DataSourceReader):
@@ -343,19 +348,22 @@ class ContainerReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
-        for path in list_files(self.path):
-            if self.table != "blocks":
-                out.append(_Part(path, 0, None))
-                continue
-            system, where = resolve(path)
-            size = system.get_file_info(where).size
-            starts = list(range(0, max(1, size), self.split))
-            out += [_Part(path, s, e) for s, e in zip(starts, [*starts[1:], None])]
-        return out or [_Part("", 0, None)]
+        pieces: list[tuple[str, int, int | None]] = []
+        held = 0
+        for path, size in list_files(self.path):
+            starts = list(range(0, max(1, size), self.split)) if self.table == "blocks" else [0]
+            for start, end in zip(starts, [*starts[1:], None]):
+                weight = (size if end is None else end) - start + OPEN_COST
+                if pieces and held + weight > DEFAULT_SPLIT + OPEN_COST:
+                    out.append(_Part(pieces))
+                    pieces, held = [], 0
+                pieces.append((path, start, end))
+                held += weight
+        return [*out, _Part(pieces)]
 
     def read(self, part: InputPartition) -> Iterator[pa.RecordBatch]:
-        if part.path:  # type: ignore[attr-defined]
-            yield from _batches(to_arrow_schema(self.schema), part.path, lambda: relation(Container(part.path, self.laces), self.table, part.start, part.end, self.payload, self.start_ms, self.end_ms), self.table, self.failfast)  # type: ignore[attr-defined]
+        rows_of = lambda path, start, end: lambda: relation(Container(path, self.laces), self.table, start, end, self.payload, self.start_ms, self.end_ms)
+        yield from _batches(to_arrow_schema(self.schema), ((p[0], rows_of(*p)) for p in part.pieces), self.table, self.failfast)  # type: ignore[attr-defined]
 
 
 def relation(c: Container, table: str, start: int = 0, end: int | None = None, payload: bool = True, start_ms: int | None = None, end_ms: int | None = None) -> Iterator[tuple]:
@@ -382,26 +390,27 @@ def relation(c: Container, table: str, start: int = 0, end: int | None = None, p
         yield from getattr(c, table)()
 
 
-def _batches(schema: pa.Schema, path: str, rows_of: Callable[[], Iterator[tuple]], table: str, failfast: bool) -> Iterator[pa.RecordBatch]:
-    """Rows in batches of bounded size; of a broken file what could be read, unless failfast."""
+def _batches(schema: pa.Schema, files: Iterable[tuple[str, Callable[[], Iterator[tuple]]]], table: str, failfast: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of files in batches of bounded size; of a broken file what could be read, unless failfast."""
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     rows: list[tuple] = []
     held = 0
-    try:
-        for row in rows_of():
-            rows.append(row)
-            held += sum(len(v) for v in row if isinstance(v, bytes))
-            if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
-                yield batch(rows)
-                rows, held = [], 0
-    except (X.FormatError, OSError) as e:
-        if table == "errors":
-            rows.append((path, "file", 0, str(e)))
-        elif failfast:
-            raise ValueError(f"{path}: {e}") from e
+    for path, rows_of in files:
+        try:
+            for row in rows_of():
+                rows.append(row)
+                held += sum(len(v) for v in row if isinstance(v, bytes))
+                if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
+                    yield batch(rows)
+                    rows, held = [], 0
+        except (X.FormatError, OSError) as e:
+            if table == "errors":
+                rows.append((path, "file", 0, str(e)))
+            elif failfast:
+                raise ValueError(f"{path}: {e}") from e
     if rows:
         yield batch(rows)
 
@@ -419,9 +428,8 @@ def decode_containers(files: DataFrame, table: str, path: str = "path", content:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for p, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if data is not None:
-                    yield from _batches(schema, p, lambda p=p, data=data: relation(Container(p, standard_laces, io.BytesIO(data)), table, payload=payload), table, failfast)
+            given = zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+            yield from _batches(schema, ((p, lambda p=p, data=data: relation(Container(p, standard_laces, io.BytesIO(data)), table, payload=payload)) for p, data in given if data is not None), table, failfast)
 
     return files.select(col(path).cast("string").alias("path"), col(content).cast("binary").alias("content")).mapInArrow(run, TABLES[table])
 

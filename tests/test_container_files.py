@@ -290,3 +290,21 @@ def test_other_file_systems(tmp_path):
     edit_in_place("else://f.mkv", metadata_parts({"title": "U"}, [{"track_index": 0, "track_id": 1, "type": "video", "codec": "h264"}]))
     c = Container("else://f.mkv")
     assert next(iter(c.segments()))[1] == "U" and [r[1:] for r in c.blocks()] == [r[1:] for r in before] and sorted(x.name for x in tmp_path.iterdir()) == ["f.mkv"]
+
+
+@pytest.mark.parametrize("table", ["seeks"])
+def test_small_files_share_a_task(spark, tmp_path, table):
+    """One task a file takes longer to start than to read it; a broken file among them takes only its own rows away."""
+    n = 700
+    info = metadata_parts({"title": "t"}, [{"track_index": 0, "track_id": 1, "type": "video", "codec": "h264", "track_uid": 5}], tags=[{"tag_index": 0, "target_type": "TRACK"}], simple_tags=[{"tag_index": 0, "node": 0, "name": "A", "value": "x"}])
+    for i in range(n):
+        with open(tmp_path / f"{i:03}.mkv", "wb") as f:
+            w = ContainerWriter(f)
+            w.start(info)
+            w.block(1, 0, True, b"x")
+            w.finish()
+    (tmp_path / "100.mkv").write_bytes(b"nothing of the kind")
+    df = read_container(spark, str(tmp_path), table)
+    assert df.rdd.getNumPartitions() == 2
+    rows = df.groupBy(F.element_at(F.split("path", "/"), -1).alias("file")).count().collect()
+    assert {r["file"] for r in rows} == {f"{i:03}.mkv" for i in range(n) if i != 100} and {r["count"] for r in rows} == {3 if table == "seeks" else 1}
