@@ -9,7 +9,7 @@ broken file or its rest, FAILFAST raises), laces (standard or compat: the bias
 of size differences, see ebml.lace_sizes), startMs and endMs (blocks of that
 time only; clusters that can't hold any are passed over unread), splitBytes (how much of a file is read
 in one piece when blocks are read). A task takes many small files or pieces, up to DEFAULT_SPLIT
-bytes. Files are read through pyarrow's file
+bytes; minBytes passes over smaller files. Files are read through pyarrow's file
 systems, so any URI that those know will do; other file systems are registered
 with register_filesystem(), and contents held in a column are read by
 decode_containers().
@@ -47,6 +47,9 @@ OPEN_COST = DEFAULT_SPLIT // 512
 #: Bytes read at once in the search for a cluster's mark, and elements after it that must be in order.
 SEARCH_BYTES, SEARCH_CHAIN = 1 << 20, 4
 
+#: Files of so many bytes are read at once instead of element by element.
+SMALL_FILE = 256 << 10
+
 _FILESYSTEMS: dict[str, Callable[[], pafs.FileSystem]] = {}
 
 
@@ -93,6 +96,9 @@ class Container:
         if f is None:
             system, where = resolve(path)
             f = system.open_input_file(where)
+            if f.size() <= SMALL_FILE:
+                with f:
+                    f = io.BytesIO(f.read())
         self.f = f
         self.length = f.seek(0, 2)
         self.segment = X.open_segment(self.f)
@@ -344,6 +350,7 @@ class ContainerReader(DataSourceReader):
         self.failfast = options.get("mode", "PERMISSIVE").upper() == "FAILFAST"
         low = {k.lower(): v for k, v in options.items()}
         self.start_ms, self.end_ms = (int(low[k]) if k in low else None for k in ("startms", "endms"))
+        self.least = int(low.get("minbytes", 0))
         self.split = int(options.get("splitbytes", options.get("splitBytes", DEFAULT_SPLIT)))
 
     def partitions(self) -> list[InputPartition]:
@@ -351,6 +358,8 @@ class ContainerReader(DataSourceReader):
         pieces: list[tuple[str, int, int | None]] = []
         held = 0
         for path, size in list_files(self.path):
+            if size < self.least:
+                continue
             starts = list(range(0, max(1, size), self.split)) if self.table == "blocks" else [0]
             for start, end in zip(starts, [*starts[1:], None]):
                 weight = (size if end is None else end) - start + OPEN_COST

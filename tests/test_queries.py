@@ -57,3 +57,16 @@ def test_attachments_are_written_for_their_queries_alone(spark, tmp_path):
     CORE["file_tags"](spark, d).collect()
     assert not os.path.exists(sc._cuewright_files[d] + "-attached") and d not in getattr(sc, "_cuewright_attached", {})
     assert CORE["file_attachments"](spark, d).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables here")
+def test_blocks_of_small_files_are_scanned_once(spark, monkeypatch):
+    from cuewright.plans import file_queries as Q
+
+    given, read = [], Q.read_container
+    monkeypatch.setattr(Q, "read_container", lambda *a, **options: given.append(options) or read(*a, **options))
+    whole = CORE["file_blocks"](spark, SF)
+    assert [o.get("minBytes", 0) > 1 << 20 for o in given] == [False, True]
+    # Numbers carried over many chunks are those of one.
+    cut = Q._numbered_in_files(lambda **options: Q._scan(spark, SF, "blocks", **options), chunk=300).select("path", "n", "track_number", "timecode_ms")
+    assert rows_of(cut.columns, cut.collect()) == rows_of(cut.columns, whole.select(*cut.columns).collect()) != []
