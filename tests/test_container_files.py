@@ -292,7 +292,7 @@ def test_other_file_systems(tmp_path):
     assert next(iter(c.segments()))[1] == "U" and [r[1:] for r in c.blocks()] == [r[1:] for r in before] and sorted(x.name for x in tmp_path.iterdir()) == ["f.mkv"]
 
 
-@pytest.mark.parametrize("table", ["seeks", "tags", "blocks", "segments", "simple_tags"])
+@pytest.mark.parametrize("table", ["seeks", "tags", "blocks", "segments", "simple_tags", "tracks"])
 def test_small_files_share_a_task(spark, tmp_path, table):
     """One task a file takes longer to start than to read it; a broken file among them takes only its own rows away."""
     n = 700
