@@ -1,5 +1,6 @@
 """The binary format: expected bytes, and files written and read back."""
 
+import io
 import os
 import struct
 from decimal import Decimal
@@ -292,6 +293,57 @@ def test_other_file_systems(tmp_path):
     assert next(iter(c.segments()))[1] == "U" and [r[1:] for r in c.blocks()] == [r[1:] for r in before] and sorted(x.name for x in tmp_path.iterdir()) == ["f.mkv"]
 
 
+def test_repeated_blocks_are_written_once(spark, tmp_path):
+    segments, tracks, blocks, *_ = frames(spark)
+    odd = spark.createDataFrame([("/in/a.mkv", 60, 1, 7800, None, b"n"), ("/in/a.mkv", 60, 1, 7800, False, b"n"), ("/in/a.mkv", 61, 1, 7900, True, None), ("/in/none.mkv", 0, 1, 0, True, b"no segment")], blocks.schema)
+    given = blocks.unionByName(odd)
+    done = write_containers(str(tmp_path), segments, tracks, given.unionByName(given).repartition(7), repeated=True)
+    assert sorted((d[0], d[2]) for d in done) == [("/in/a.mkv", 63), ("/in/b.mkv", 4)] and all(os.path.getsize(d[1]) == d[3] for d in done)
+    got = [r[5:9] for r in Container(str(tmp_path / "in" / "a.mkv")).blocks()]
+    want = [(r["track_number"], r["timecode_ms"], bool(r["keyframe"]), bytes(r["data"] or b"")) for r in given.where("path = '/in/a.mkv'").orderBy("block_seq").collect()]
+    assert got == want
+
+
+def test_blocks_in_bulk_are_cut_into_the_same_clusters():
+    import random
+
+    rnd = random.Random(5)
+    for scale in (1_000_000, 1, 7, 3_000, 999_983, 40_000_000_000):
+        rows, at = [], 0
+        for _ in range(400):
+            at = max(0, at + rnd.choice([0, 1, 40, 999, 1000, 33, -1, -40, -1200]))
+            rows.append((rnd.choice([1, 126, 127, 300]), at, rnd.random() < 0.1, bytes(rnd.choice([0, 1, 122, 123, 200]))))
+        # As the format has it: a cluster ends a second after its first block, or where a time doesn't fit 16 bits.
+        cuts, first = [], None
+        for i, (_, ms, *_) in enumerate(rows):
+            if first is None or ms - first >= 1000 or not -32768 <= ms * 1_000_000 // scale - first * 1_000_000 // scale <= 32767:
+                cuts, first = [*cuts, i], ms
+        bulk, single = ContainerWriter(io.BytesIO(), scale), ContainerWriter(io.BytesIO(), scale)
+        for w in (bulk, single):
+            w.start(metadata_parts({"timecode_scale": scale}))
+        bulk.blocks(rows[:150])
+        bulk.blocks(rows[150:])
+        for r in rows:
+            single.block(*r)
+        assert bulk.finish() == single.finish() and bulk.out.getvalue() == single.out.getvalue()
+        c = Container("x", f=io.BytesIO(bulk.out.getvalue()))
+        starts = [r[3] for r in c.blocks()]
+        assert [i for i, s in enumerate(starts) if i == 0 or s != starts[i - 1]] == cuts
+        assert [(r[5], r[7], r[8]) for r in c.blocks()] == [(t, k, d) for t, _, k, d in rows]
+
+
+def test_structs_are_taken_apart_as_to_pylist_does():
+    import pyarrow as pa
+
+    from cuewright.sources.container_sink import _plain
+
+    item = pa.struct([("i", pa.int32()), ("s", pa.string()), ("b", pa.binary()), ("k", pa.bool_()), ("f", pa.float64()), ("d", pa.decimal128(20, 0))])
+    rows = [None, [], [{"i": 1, "s": "x", "b": b"y", "k": True, "f": 0.5, "d": Decimal(3)}, {"i": None, "s": None, "b": None, "k": None, "f": None, "d": None}], [{"i": 2**31 - 1, "s": "", "b": b"", "k": False, "f": -1.0, "d": Decimal(10**19)}]]
+    whole = pa.array(rows * 3, pa.list_(item))
+    for a in (whole, whole.slice(2, 5), whole.slice(3), pa.array([None, 2**60 + 1], pa.int64()), pa.array([True, None]), pa.array([[1, None], None, [2**60 + 1]])):
+        assert _plain(a) == a.to_pylist()
+
+
 @pytest.mark.parametrize("table", ["seeks", "tags", "blocks", "segments", "simple_tags", "tracks"])
 def test_small_files_share_a_task(spark, tmp_path, table):
     """One task a file takes longer to start than to read it; a broken file among them takes only its own rows away."""
