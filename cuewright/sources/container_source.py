@@ -42,14 +42,15 @@ from cuewright.sources import ebml as X
 
 BATCH_ROWS, BATCH_BYTES = 4096, 16 << 20
 DEFAULT_SPLIT = 128 << 20
-#: What opening a file counts as beside its bytes where files share a task: at most 512 go to one.
-OPEN_COST = DEFAULT_SPLIT // 512
+#: Files that share a task at most: as many as make TASKS tasks of all files, between these bounds.
+LEAST_FILES, MOST_FILES, TASKS = 512, 4096, 64
 #: Bytes read at once in the search for a cluster's mark, and elements after it that must be in order.
 SEARCH_BYTES, SEARCH_CHAIN = 1 << 20, 4
 
 #: Files of so many bytes are read at once instead of element by element.
 SMALL_FILE = 256 << 10
 
+_LOCAL = pafs.LocalFileSystem()
 _FILESYSTEMS: dict[str, Callable[[], pafs.FileSystem]] = {}
 
 
@@ -66,7 +67,7 @@ def resolve(path: str) -> tuple[pafs.FileSystem, str]:
     scheme, mark, rest = path.partition("://")
     if mark and scheme in _FILESYSTEMS:
         return _FILESYSTEMS[scheme](), rest
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    return pafs.FileSystem.from_uri(path) if "://" in path else (_LOCAL, path)
 
 
 def list_files(path: str) -> list[tuple[str, int]]:
@@ -357,13 +358,14 @@ class ContainerReader(DataSourceReader):
         out: list[InputPartition] = []
         pieces: list[tuple[str, int, int | None]] = []
         held = 0
-        for path, size in list_files(self.path):
-            if size < self.least:
-                continue
+        files = [(path, size) for path, size in list_files(self.path) if size >= self.least]
+        # What opening a file counts as beside its bytes.
+        open_cost = DEFAULT_SPLIT // min(max(len(files) // TASKS, LEAST_FILES), MOST_FILES)
+        for path, size in files:
             starts = list(range(0, max(1, size), self.split)) if self.table == "blocks" else [0]
             for start, end in zip(starts, [*starts[1:], None]):
-                weight = (size if end is None else end) - start + OPEN_COST
-                if pieces and held + weight > DEFAULT_SPLIT + OPEN_COST:
+                weight = (size if end is None else end) - start + open_cost
+                if pieces and held + weight > DEFAULT_SPLIT + open_cost:
                     out.append(_Part(pieces))
                     pieces, held = [], 0
                 pieces.append((path, start, end))
@@ -407,11 +409,13 @@ def _batches(schema: pa.Schema, files: Iterable[tuple[str, Callable[[], Iterator
 
     rows: list[tuple] = []
     held = 0
+    heavy = [i for i, f in enumerate(schema) if pa.types.is_binary(f.type)]
     for path, rows_of in files:
         try:
             for row in rows_of():
                 rows.append(row)
-                held += sum(len(v) for v in row if isinstance(v, bytes))
+                for i in heavy:
+                    held += len(row[i] or b"")
                 if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
                     yield batch(rows)
                     rows, held = [], 0

@@ -344,6 +344,16 @@ def test_structs_are_taken_apart_as_to_pylist_does():
         assert _plain(a) == a.to_pylist()
 
 
+def test_many_files_make_few_tasks(monkeypatch):
+    """Starting a task costs as much as reading some hundred small files."""
+    from cuewright.sources import container_source as R
+
+    for n, least, most in ((700, 2, 2), (20_000, 40, 41), (160_000, 60, 70), (600_000, 146, 160)):
+        monkeypatch.setattr(R, "list_files", lambda path, n=n: [(f"{path}/{i}", 2000) for i in range(n)])
+        parts = R.ContainerReader(None, {"path": "/x", "table": "tracks"}).partitions()
+        assert least <= len(parts) <= most and [p[0] for x in parts for p in x.pieces] == [f"/x/{i}" for i in range(n)]
+
+
 @pytest.mark.parametrize("table", ["seeks", "tags", "blocks", "segments", "simple_tags", "tracks"])
 def test_small_files_share_a_task(spark, tmp_path, table):
     """One task a file takes longer to start than to read it; a broken file among them takes only its own rows away."""
